@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelflow.functions.labels import binary_label, class_text
@@ -187,3 +187,10 @@ def reevaluate(splits: DataFrame, path: str, config: TrainConfig) -> DataFrame:
     saved = splits.sparkSession.read.parquet(f"{path}/details")
     evaluate(saved, by="split").coalesce(1).write.mode("overwrite").parquet(f"{path}/metrics")
     return splits.sparkSession.read.parquet(f"{path}/metrics")
+
+
+def newest_runs(spark: SparkSession, root: str, limit: int = 20) -> DataFrame:
+    """Saved training runs below ``root``, newest first."""
+    runs = spark.read.schema("created_at string, record string").parquet(f"{root}/*/run")
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/run/[^/]+$", 1)
+    return runs.select(folder.alias("run"), "created_at", "record").orderBy(F.desc("created_at"), "run").limit(limit)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelflow.operators import sampling
+from labelflow.plans import file_queries as f
 from labelflow.plans import queries as q
 
 
@@ -66,5 +67,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         q.format_ratio,
         q.page_of_rows,
         q.newest_events,
+        f.dense_record_id,
+        f.preflight,
+        f.preflight_summary,
+        f.import_reconcile,
+        f.workbook_scan,
+        f.file_hash,
+        f.import_history,
+        f.incremental_import,
+        f.resume_score,
+        f.incremental_score,
+        f.stage_counts,
+        f.stage_clear,
+        f.stage_replace,
+        f.stage_append,
+        f.stage_union,
+        f.export_chunks,
+        f.csv_round_trip,
+        f.train_evaluate,
+        f.train_score,
+        f.reevaluate,
     ]
     return {function.__name__: function for function in functions}

@@ -118,6 +118,38 @@ def judged(extra: str = "error") -> str:
   case when error = '' then length({strip('text')}) || ' chars' end as reason, {extra} from {JUDGED} j"""
 
 
+ORDER_TEXTS = """(select lpad(cast(o_orderkey as varchar), 12, '0') as okey, o_orderstatus as status, o_orderpriority as priority,
+  cast(cast(o_totalprice as decimal(18,2)) as varchar) as price from orders)"""
+VARIANTS = f"""(select *, case when status = 'O' then 'a' when status = 'P' then 'b' when priority = '1-URGENT' then 'c' else 'd' end as folder from {ORDER_TEXTS} t)"""
+SCORED = "select doc_id, lang, source, n_chars, cast(n_chars > 1000 as bigint) as predicted from documents"
+
+
+def staged_counts(after: str | None, kept: int) -> str:
+    """Rows per stage when only the first ``kept`` stages remain."""
+    sample = "(select * from documents order by md5(cast(doc_id as varchar) || '42'), doc_id limit 150)"
+    judged_sample = JUDGED.replace("from documents)", f"from {sample} d)")
+    reviewed = f"(select doc_id, contains(text, 'tion') as label from {judged_sample} j where error = '')"
+    parts = floor_split(reviewed, "label", "doc_id", "doc_id", 0.8, 0.1, 42)
+    counts = [
+        ("raw", "select count(*) from documents"),
+        ("sampled", f"select count(*) from {sample} s"),
+        ("labeled", f"select count(*) from {judged_sample} j"),
+        ("reviewed", f"select count(*) from {reviewed} r"),
+        *[(part, f"select count(*) from ({parts}) p where split = '{part}'") for part in ("train", "val", "test")],
+        ("predictions", "select count(*) from documents"),
+    ]
+    tag = f"'{after}' as after, " if after else ""
+    return " union all ".join(
+        f"select {tag}'{stage}' as stage, " + (f"({sql})" if i < kept else "0") + " as rows" for i, (stage, sql) in enumerate(counts)
+    )
+
+
+def header_rows(folder: str, status: str, headers: str, missing: str, extra: str) -> str:
+    joined = headers.replace(",", "' || chr(10) || '")
+    return f"""select '{status}' as status, sha256('{joined}') as header_hash, '{headers}' as headers, '{missing}' as missing_columns,
+  '{extra}' as extra_columns, count(*) as rows from {VARIANTS} t where folder = '{folder}'"""
+
+
 def queries() -> dict[str, str]:
     small, keyword = "widget", "(p_name ilike '%{0}%' or p_type ilike '%{0}%')"
     prompt = system_prompt("判断文本", FIELDS).replace("'", "''")
@@ -194,4 +226,34 @@ from (select doc_id, case when eligible then error else '' end as error, case wh
         "format_ratio": "select p_partkey, case when p_type = 'ECONOMY' then '-' else printf('%.4f', p_retailprice) end as ratio from part",
         "page_of_rows": f"select * from {ORDERS} t order by o_orderkey limit 100 offset 200",
         "newest_events": "select event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as at from events order by ts desc, event_id desc limit 20",
+        "dense_record_id": f"select 100 + row_number() over (order by okey) as __record_id, okey, priority from {ORDER_TEXTS} t",
+        "preflight": " union all ".join([
+            header_rows("a", "matched", "okey,status,priority", "", ""),
+            header_rows("b", "reordered", "priority,okey,status", "", ""),
+            header_rows("c", "missing_columns", "okey,status", "priority", ""),
+            header_rows("d", "extra_columns", "okey,status,priority,price", "", "price"),
+        ]),
+        "preflight_summary": f"""select 'two' as name, count(*) filter (folder in ('a', 'b')) as total_rows, true as can_import_strict from {VARIANTS} t
+union all select 'four', count(*), false from {VARIANTS} t""",
+        "import_reconcile": f"""select row_number() over (order by folder, okey) as __record_id, okey, status,
+  case when folder = 'c' then '' else priority end as priority, case when folder = 'd' then price else '' end as price from {VARIANTS} t""",
+        "workbook_scan": """select row_number() over (order by o_orderkey) as __record_id, cast(o_orderkey as varchar) as o_orderkey, o_orderstatus,
+  cast(o_totalprice as varchar) as o_totalprice, o_orderpriority from orders""",
+        "import_history": " union all ".join(
+            f"""select 'imported' as status, '' as error_message, sha256('{names}') as header_hash, count(*) as rows, true as hashed
+from {VARIANTS} t where folder = '{folder}'"""
+            for folder, names in (("a", "okey' || chr(10) || 'status' || chr(10) || 'priority"), ("b", "priority' || chr(10) || 'okey' || chr(10) || 'status"))
+        ),
+        "incremental_import": f"""select row_number() over (order by status <> 'O', okey) as __record_id, okey, status, priority,
+  case when status = 'O' then '' else price end as price from {ORDER_TEXTS} t""",
+        "resume_score": SCORED,
+        "incremental_score": SCORED,
+        "stage_counts": staged_counts(None, 8),
+        "stage_clear": staged_counts("labeled", 3) + " union all " + staged_counts("derived", 1),
+        "stage_replace": """select cast(d.doc_id as varchar) as doc_id, lang, coalesce(cast(quality as varchar), '') as quality
+from documents d left join labels l on d.doc_id = l.doc_id""",
+        "stage_append": "select doc_id, lang, source, n_chars from documents where lang in ('en', 'fr')",
+        "stage_union": "select doc_id, lang, null::integer as quality, null::integer as toxic from documents union all select doc_id, null, quality, toxic from labels",
+        "export_chunks": "select (select count(*) from documents) as rows, (select count(*) from documents d join labels l on d.doc_id = l.doc_id) as filled, true as fits",
+        "csv_round_trip": "select conv_id, turn, md5(text) as text_md5 from conversations",
     }
