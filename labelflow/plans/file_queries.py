@@ -13,7 +13,7 @@ from labelflow.operators import classifier, judge, sampling, splits
 from labelflow.plans.fixtures import workbooks, write_csv_in_order
 from labelflow.plans.queries import JUDGE, _documents, _judge_input, _labelled, _rounded, keyword_scorer, table
 from labelflow.plans.stages import StageStore, export_csv, union_records, write_csv
-from labelflow.session import scratch_path
+from labelflow.session import materialize, scratch_path
 from labelflow.sources import imports
 from labelflow.sources.files import file_hashes, file_name
 from labelflow.streaming import incremental
@@ -125,10 +125,9 @@ def incremental_score(spark, sf_dir):
     """Two deliveries that overlap; every document is scored once."""
     root = scratch_path(spark, "incremental")
     store, documents = StageStore(spark, f"{root}/store"), _documents(spark, sf_dir)
-    schema = documents.schema.simpleString()[len("struct<"):-1]
     for rows in (documents.filter("lang <> 'de'"), documents.filter("lang <> 'en'")):
         rows.write.mode("append").parquet(f"{root}/in")
-        incremental.incremental_scoring(store, f"{root}/in", schema, _rule_scorer, "doc_id")
+        incremental.incremental_scoring(store, f"{root}/in", documents.schema, _rule_scorer, "doc_id")
     return store.read("predictions")
 
 
@@ -151,7 +150,7 @@ def stage_counts(spark, sf_dir):
 def stage_clear(spark, sf_dir):
     store = _filled_store(spark, sf_dir)
     store.clear_downstream("labeled")
-    counts = store.counts().withColumn("after", F.lit("labeled"))
+    counts, _ = materialize(store.counts().withColumn("after", F.lit("labeled")), "counts")
     store.clear("derived")
     return counts.unionByName(store.counts().withColumn("after", F.lit("derived"))).select("after", "stage", "rows")
 

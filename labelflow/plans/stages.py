@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,10 +98,10 @@ class StageStore:
         rows = self.spark.read.schema(self._schema(table)).option("recursiveFileLookup", "true").parquet(path)
         if without_part:
             rows = rows.filter(~F.col("_metadata.file_path").contains(f"/part-{without_part}/"))
-        if stage != "raw":
-            return rows
-        # Files written before the schema was widened have no such columns.
-        return rows.select(*SYSTEM_COLUMNS, *[F.coalesce(f"`{c}`", F.lit("")).alias(c) for c in rows.columns[len(SYSTEM_COLUMNS):]])
+        # Files written before a column was added have no such column.
+        added = {field.name for field in rows.schema.fields if field.metadata.get("added")}
+        filled = [F.coalesce(f"`{c}`", F.lit("")).alias(c) if c in added else F.col(f"`{c}`") for c in rows.columns]
+        return rows.select(*filled) if added else rows
 
     def _schema(self, table: str) -> T.StructType:
         stored = self.spark.read.text(f"{self._current(table)}/_schema", wholetext=True).first()[0]
@@ -143,10 +143,9 @@ class StageStore:
         path = f"{self.root}/{table}/v{(versions[-1] if versions else 0) + 1}"
         # The schema goes first: the version only counts once its rows are there.
         self._store_schema(path, df.schema)
-        seen = Observation()
-        writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append")
+        writer = df.write.mode("append")
         (writer.partitionBy(partition) if partition else writer).parquet(path)
-        return seen.get["rows"]
+        return self.spark.read.schema(df.schema).parquet(path).count()
 
     def _drop_older(self, table: str) -> None:
         for version in self._versions(table)[:-1]:
@@ -177,10 +176,9 @@ class StageStore:
             df.limit(0).write.mode("append").parquet(f"{self.root}/{stage}/v1")
         elif self._schema(stage).names != df.columns:
             raise ValueError(f"the columns of {stage} differ")
-        seen = Observation()
         target = f"{self._current(stage)}/part-{part or uuid.uuid4().hex}"
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(target)
-        return seen.get["rows"]
+        df.write.mode("overwrite").parquet(target)
+        return self.spark.read.schema(df.schema).parquet(target).count()
 
     def write_splits(self, df: DataFrame) -> None:
         """Write the train, val and test stages in one pass over ``df``."""
@@ -259,7 +257,11 @@ class StageStore:
         """Append imported rows and their ledger, widening the raw table if needed."""
         if self.exists("raw"):
             known = self._schema("raw")
-            added = [field for field in imported.rows.schema.fields if field.name not in known.names]
+            added = [
+                T.StructField(field.name, field.dataType, True, {"added": True})
+                for field in imported.rows.schema.fields
+                if field.name not in known.names
+            ]
             if added:
                 self._store_schema(self._current("raw"), T.StructType(known.fields + added))
             rows = imported.rows.select(*[f"`{name}`" for name in self._schema("raw").names])

@@ -2,7 +2,7 @@
 
 Operators that need an intermediate result twice write it as Parquet below the
 folder the cluster names in ``spark.checkpoint.dir``.  A written table cuts the
-lineage, survives lost executors, and reports its row count for free.
+lineage, survives lost executors, and knows its row count.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows of a narrow helper table (a key and a few numbers, about 100 bytes in a
@@ -45,14 +45,14 @@ def materialize(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame,
     """Write ``df`` to the scratch folder and read it back.
 
     The returned dict holds ``rows`` and any further aggregate given in
-    ``metrics``, all observed during the write.
+    ``metrics``, taken from the written table.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    seen = Observation()
+    df.write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
     columns = [F.count(F.lit(1)).alias("rows")] + [c.alias(k) for k, c in metrics.items()]
-    df.observe(seen, *columns).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get
+    return written, written.agg(*columns).first().asDict()
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelflow.operators.sampling import RECORD_ID
 from labelflow.plans.stages import StageStore
@@ -45,7 +46,7 @@ def resume_scoring(
 
 
 def incremental_scoring(
-    store: StageStore, source: str, schema: str, scorer: Callable[[DataFrame], DataFrame], id_col: str = RECORD_ID
+    store: StageStore, source: str, schema: T.StructType, scorer: Callable[[DataFrame], DataFrame], id_col: str = RECORD_ID
 ) -> None:
     """Score the Parquet files that arrived in ``source`` since the last run."""
     def score_batch(batch: DataFrame, number: int) -> None:
