@@ -15,15 +15,19 @@ SHEET_TITLE_LENGTH = 31
 # Fixed value: text shown for a number that cannot be read.
 NO_RATIO = "-"
 
+# The white space characters of Unicode.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 # Decimal numbers as text; Spark's own cast would also take "0.5d" and "0x1p-1".
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _SPECIAL = r"^[+-]?(?i:inf|infinity|nan)$"
 
 
 def strip(col: Column) -> Column:
-    """Remove Unicode white space on both ends (``trim`` only takes spaces)."""
-    space = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-    return F.regexp_replace(col.cast("string"), f"^{space}|{space}$", "")
+    """Remove Unicode white space on both ends (plain ``trim`` only takes spaces)."""
+    return F.btrim(col.cast("string"), F.lit(WHITE_SPACE))
 
 
 def none_to_empty(col: Column) -> Column:

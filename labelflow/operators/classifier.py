@@ -18,6 +18,7 @@ from labelflow.functions.labels import binary_label, class_text
 from labelflow.functions.text import is_missing, none_to_empty, strip
 from labelflow.operators.metrics import binary_metrics
 from labelflow.operators.sampling import RECORD_ID
+from labelflow.session import materialize, spread
 
 # Words, with each Chinese character a word of its own.
 TOKENS = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
@@ -122,7 +123,8 @@ def train_classifier(splits: DataFrame, config: TrainConfig = TrainConfig()) ->
     in regularization and are tried in order; a later one must be strictly
     better.  Metrics and details cover all three parts.
     """
-    samples = split_samples(splits, config)
+    # Written once: every pass below reads samples, not the plan behind them.
+    samples = materialize(spread(split_samples(splits, config), "index"), "samples")
     train = samples.filter(F.col("split") == "train")
     classes = {row["label"]: row["count"] for row in train.groupBy("label").count().collect()}
     if sum(classes.values()) < 2:

@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from labelflow.functions.labels import POSITIVE_WORDS
 from labelflow.functions.text import none_to_empty, strip
 from labelflow.operators.ordering import id_at_rank
+from labelflow.operators.sampling import RECORD_ID
+from labelflow.session import spread
 
 Scorer = Callable[[list[str]], list[str]]
 
@@ -81,8 +83,9 @@ class JudgeConfig:
     error_column: str = "LLM_ERROR"
     boolean_key: str = "is_target"
     reason_key: str = "core_reason"
-    id_column: str = "__record_id"
+    id_column: str = RECORD_ID
     limit: int | None = None
+    concurrency: int | None = None
 
 
 def normalize_fields(rows: list[dict]) -> list[Field]:
@@ -221,6 +224,12 @@ def ask(scorer: Scorer, text: Column) -> Column:
     return call.asNondeterministic()(text)
 
 
+def _with_tasks(df: DataFrame, id_column: str, concurrency: int | None) -> DataFrame:
+    if concurrency is not None:
+        return df.repartition(concurrency, F.col(f"`{id_column}`"))
+    return spread(df, id_column)
+
+
 def _judged(df: DataFrame, scorer: Scorer, text: Column) -> DataFrame:
     """Add ``__parsed`` and ``__failed`` (error text, empty when the reply is an object)."""
     asked = df.withColumn("__text", text).withColumn("__answer", ask(scorer, F.col("__text")))
@@ -237,21 +246,27 @@ def _judged(df: DataFrame, scorer: Scorer, text: Column) -> DataFrame:
 def judge(df: DataFrame, scorer: Scorer, config: JudgeConfig = JudgeConfig()) -> DataFrame:
     """Add a boolean label, a reason, the reply as JSON and an error text.
 
+
     Rows with empty text get an error; with ``limit`` only the first rows by id
-    that have text are judged and the others pass through with NULLs.
+    that have text are judged and the others pass through with NULLs.  With
+    ``concurrency`` at most that many batches are judged at a time.
     """
-    text = strip(none_to_empty(F.col(f"`{config.text_column}`")))
-    eligible = text != ""
-    chosen = eligible
+    clean = strip(none_to_empty(F.col(f"`{config.text_column}`")))
+    chosen = F.col("__clean") != ""
     if config.limit is not None:
-        last = id_at_rank(df.filter(eligible), config.id_column, config.limit) if config.limit > 0 else None
+        has_text = df.filter(clean != "")
+        last = id_at_rank(has_text, config.id_column, config.limit) if config.limit > 0 else None
         if config.limit <= 0:
             chosen = F.lit(False)
         elif last is not None:
-            chosen = eligible & (F.col(f"`{config.id_column}`") <= last)
-    judged = _judged(df, scorer, F.when(chosen, text))
+            chosen = chosen & (F.col(f"`{config.id_column}`") <= last)
+    # Flags are columns of their own, so that long texts are cleaned once.
+    tasks = _with_tasks(df, config.id_column, config.concurrency)
+    flagged = tasks.withColumn("__clean", clean).withColumn("__blank", F.col("__clean") == "").withColumn("__chosen", chosen)
+    judged = _judged(flagged, scorer, F.when(F.col("__chosen"), F.col("__clean")))
+    chosen = F.col("__chosen")
     parsed, failed = F.col("__parsed"), F.col("__failed")
-    error = F.when(~eligible, EMPTY_TEXT).when(chosen, failed)
+    error = F.when(F.col("__blank"), EMPTY_TEXT).when(chosen, failed)
     good = chosen & (failed == "")
     reason = F.coalesce(F.nullif(field_text(parsed, config.reason_key), F.lit("")), field_text(parsed, "reason"), F.lit(""))
     return judged.select(
@@ -271,13 +286,16 @@ def structured_judge(
     json_column: str = "LLM_JSON",
     error_column: str = "LLM_ERROR",
     typed: bool = False,
+    id_column: str = RECORD_ID,
+    concurrency: int | None = None,
 ) -> DataFrame:
     """Add one column per declared field, the declared part as JSON and an error.
 
     Other members of a reply are dropped.  Columns are text and empty when
     absent, or of the declared type and NULL when absent with ``typed``.
     """
-    judged = _judged(df, scorer, strip(none_to_empty(F.col(f"`{text_column}`"))))
+    tasks = _with_tasks(df, id_column, concurrency)
+    judged = _judged(tasks, scorer, strip(none_to_empty(F.col(f"`{text_column}`"))))
     parsed, good = F.col("__parsed"), F.col("__failed") == ""
     columns = []
     for field in fields:

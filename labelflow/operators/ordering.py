@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelflow.session import MAX_BROADCAST_ROWS, MAX_TASK_ROWS, broadcast_if_small, materialize
+from labelflow.session import MAX_BROADCAST_ROWS, MAX_TASK_ROWS, broadcast_if_small, materialize, measure
 
 KEY = "__key"
 PREFIX = "__prefix"
@@ -63,7 +63,7 @@ def select_cut(keys: DataFrame, n: int, task_rows: int = MAX_TASK_ROWS) -> tuple
 def group_sizes(keys: DataFrame, by: str) -> tuple[DataFrame, dict]:
     """Rows per group, written once, with the number of groups and the largest size."""
     sizes = keys.groupBy(by).agg(F.count(F.lit(1)).alias("size"))
-    return materialize(sizes, "sizes", total=F.sum("size"), largest=F.max("size"))
+    return measure(sizes, "sizes", total=F.sum("size"), largest=F.max("size"))
 
 
 def group_cuts(
@@ -91,7 +91,7 @@ def group_cuts(
     located = _locate(targets, counts.withColumn("__upto", F.sum(ROWS).over(running)), [by], PREFIX)
     digits = DIGITS
     while True:
-        located, found = materialize(located, "located", largest=F.max(ROWS))
+        located, found = measure(located, "located", largest=F.max(ROWS))
         buckets = broadcast_if_small(located.select(by, PREFIX).distinct(), found["rows"])
         inside = keys.withColumn(PREFIX, prefix(digits)).join(buckets, [by, PREFIX])
         if (found["largest"] or 0) <= task_rows or digits >= 30:
@@ -159,7 +159,7 @@ def global_rank(
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     parts = max(2, -(-rows // task_rows))
     ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    ranged, _ = materialize(ranged, "ranged")
+    ranged = materialize(ranged, "ranged")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias(ROWS))
     offsets = offsets.select("__part", F.coalesce(F.sum(ROWS).over(before), F.lit(0)).alias("__before"))

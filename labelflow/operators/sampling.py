@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from labelflow.functions.text import MISSING_STRATUM, fold_missing
 from labelflow.operators import ordering as o
 from labelflow.operators.filters import keyword_filter
-from labelflow.session import MAX_BROADCAST_ROWS, join_groups, materialize
+from labelflow.session import MAX_BROADCAST_ROWS, join_groups, materialize, measure
 
 RECORD_ID = "__record_id"
 SOURCE = "__sample_source"
@@ -81,7 +81,7 @@ def proportional_allocation(
     ties.  Adds ``take``.  ``seen`` are the known ``rows`` and ``total``.
     """
     if seen is None:
-        sizes, seen = materialize(sizes, "sizes", total=F.sum("size"))
+        sizes, seen = measure(sizes, "sizes", total=F.sum("size"))
     total = seen["total"] or 0
     n = max(0, min(n, total))
     if n == 0:
@@ -123,7 +123,7 @@ def _allocate_in_parallel(shares: DataFrame, n: int, by_key: list, by_fraction:
         ranked = ranked.withColumn(name, F.col(used) + _bump(F.lit(True), "__rank", n - used_now))
         return ranked.drop("__rank").unionByName(df.filter(~flag).withColumn(name, F.col(used)))
 
-    based, _ = materialize(add_one(shares, empty, "__floor", by_key, "__base"), "based")
+    based = materialize(add_one(shares, empty, "__floor", by_key, "__base"), "based")
     return add_one(based, open_, "__base", by_fraction, "take")
 
 

@@ -150,7 +150,7 @@ def stage_counts(spark, sf_dir):
 def stage_clear(spark, sf_dir):
     store = _filled_store(spark, sf_dir)
     store.clear_downstream("labeled")
-    counts, _ = materialize(store.counts().withColumn("after", F.lit("labeled")), "counts")
+    counts = materialize(store.counts().withColumn("after", F.lit("labeled")), "counts")
     store.clear("derived")
     return counts.unionByName(store.counts().withColumn("after", F.lit("derived"))).select("after", "stage", "rows")
 

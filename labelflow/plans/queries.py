@@ -348,7 +348,7 @@ FIELDS = judge.normalize_fields([
 
 
 def judge_structured(spark, sf_dir):
-    judged = judge.structured_judge(_judge_input(spark, sf_dir), keyword_scorer, FIELDS, "text", "raw", "error")
+    judged = judge.structured_judge(_judge_input(spark, sf_dir), keyword_scorer, FIELDS, "text", "raw", "error", id_column="doc_id")
     return judged.select("doc_id", "is_target", "core_reason", "confidence", "level", "raw", "error")
 
 

@@ -41,20 +41,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/labelflow-{app}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
-    """Write ``df`` to the scratch folder and read it back.
-
-    The returned dict holds ``rows`` and any further aggregate given in
-    ``metrics``, taken from the written table.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the scratch folder and read it back."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    written = spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def measure(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """Materialize ``df`` and count its ``rows``, with further aggregates if given."""
+    written = materialize(df, name)
     columns = [F.count(F.lit(1)).alias("rows")] + [c.alias(k) for k, c in metrics.items()]
     return written, written.agg(*columns).first().asDict()
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute rows by a unique key when fewer files than cores feed ``df``.
+
+    For work that costs far more per row than a shuffle does.  Tables of many
+    files already have enough partitions and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, F.col(f"`{key}`"))
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when the known row count allows it."""
     return F.broadcast(df) if rows <= limit else df
@@ -77,7 +89,7 @@ def join_groups(
     """
     if rows <= limit:
         return df.join(F.broadcast(groups), key)
-    groups, _ = materialize(groups, "groups")
-    heavy, _ = materialize(groups.orderBy(F.desc(weight), key).limit(HEAVY_KEYS), "heavy")
+    groups = materialize(groups, "groups")
+    heavy = materialize(groups.orderBy(F.desc(weight), key).limit(HEAVY_KEYS), "heavy")
     light = df.join(F.broadcast(heavy.select(key)), key, "left_anti")
     return df.join(F.broadcast(heavy), key).unionByName(light.join(groups, key))

@@ -32,7 +32,7 @@ def profiles(spark: SparkSession, paths: list[str], multi_line: bool | None = No
         _read_heads, "file_no long, file_path string, cells array<string>"
     )
     if multi_line is not None:
-        return materialize(heads.withColumn("line_safe", F.lit(not multi_line)), "heads")[0]
+        return materialize(heads.withColumn("line_safe", F.lit(not multi_line)), "heads")
     line = F.col("value")
     odd = (F.length(line) - F.length(F.replace(line, F.lit('"')))) % 2 == 1
     lines = spark.read.text(paths).select(
@@ -42,14 +42,14 @@ def profiles(spark: SparkSession, paths: list[str], multi_line: bool | None = No
     )
     counted = lines.groupBy("file_path").agg((~F.max("odd")).alias("line_safe"), F.count_if("filled").alias("lines"))
     heads = heads.join(counted, "file_path", "left").fillna({"line_safe": True, "lines": 0})
-    heads, _ = materialize(heads.withColumn("row_count", F.greatest(F.col("lines") - 1, F.lit(0))).drop("lines"), "heads")
+    heads = materialize(heads.withColumn("row_count", F.greatest(F.col("lines") - 1, F.lit(0))).drop("lines"), "heads")
     unsafe = _paths(heads, False)
     if not unsafe:
         return heads
     records = _scan(spark, unsafe, "c0 string", True).groupBy(_path()).agg(F.count(F.lit(1)).alias("records"))
     counted = heads.join(records, "file_path", "left")
     counted = counted.withColumn("row_count", F.when(F.col("line_safe"), F.col("row_count")).otherwise(F.coalesce("records", F.lit(0))))
-    return materialize(counted.drop("records"), "heads")[0]
+    return materialize(counted.drop("records"), "heads")
 
 
 def _path() -> Column:

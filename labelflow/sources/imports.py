@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelflow.session import broadcast_if_small, join_groups, materialize
+from labelflow.session import broadcast_if_small, join_groups, materialize, measure
 from labelflow.sources import csv_files, headers as h, workbook
 from labelflow.sources.files import file_hashes, file_name
 
@@ -86,7 +86,7 @@ def _blocks(source: Source) -> DataFrame:
     return materialize(
         source.cells.groupBy("file_path", "block").agg(F.count(F.lit(1)).alias("records"), F.min("seq").alias("first_seq")),
         "blocks",
-    )[0]
+    )
 
 
 def preflight(source: Source, reference: list[str] | None = None, blocks: DataFrame | None = None) -> Preflight:
@@ -102,7 +102,7 @@ def preflight(source: Source, reference: list[str] | None = None, blocks: DataFr
     files = files.join(records, "file_path", "left").fillna(0, ["records"])
     if "row_count" not in files.columns:
         files = files.withColumn("row_count", F.col("records"))
-    files, _ = materialize(files, "profiles")
+    files = materialize(files, "profiles")
     if not reference:
         first = files.orderBy("file_no").select("headers").first()
         reference = list(first["headers"]) if first else []
@@ -154,7 +154,7 @@ def import_files(
         "header_hash",
         places.alias("places"),
     )
-    files, seen = materialize(files, "files")
+    files, seen = measure(files, "files")
     rows = join_groups(
         source.cells, files.select("file_path", "__source_file", "__batch_id", "places", "records"), "file_path", seen["rows"], "records"
     )
@@ -192,7 +192,7 @@ def _number(rows: DataFrame, files: DataFrame, blocks: DataFrame, start: int) ->
     offsets = offsets.join(before_file, "file_path").select(
         "file_path", "block", (F.lit(start) + F.col("before_file") + F.col("before_block") - F.col("first_seq")).alias("shift")
     )
-    offsets, seen = materialize(offsets, "offsets")
+    offsets, seen = measure(offsets, "offsets")
     numbered = rows.join(broadcast_if_small(offsets, seen["rows"]), ["file_path", "block"])
     return numbered.withColumn("__record_id", F.col("shift") + F.col("seq"))
 

@@ -21,6 +21,7 @@ from labelflow.session import materialize
 from labelflow.sources.files import list_files, one_slash
 
 ROWS_PER_BATCH = 5_000
+BOOKS_PER_TASK = 16
 CELL_SCHEMA = "file_no long, file_path string, row_no long, seq long, cells array<string>"
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -41,8 +42,11 @@ def sheet_rows(workbooks: DataFrame) -> DataFrame:
 
     Row 1 is the header; ``seq`` numbers the rows below it that hold a value.
     """
-    parsed = workbooks.select("file_no", "file_path", "content").mapInPandas(_read_batches, CELL_SCHEMA)
-    return materialize(parsed, "sheets")[0]
+    books = workbooks.select("file_path").count()
+    tasks = max(-(-books // BOOKS_PER_TASK), min(books, workbooks.sparkSession.sparkContext.defaultParallelism), 1)
+    spread = workbooks.select("file_no", "file_path", "content").repartition(tasks, "file_path")
+    parsed = spread.mapInPandas(_read_batches, CELL_SCHEMA)
+    return materialize(parsed, "sheets")
 
 
 def profiles(workbooks: DataFrame, rows: DataFrame) -> DataFrame:
