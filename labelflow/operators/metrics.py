@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelflow.functions.labels import NEGATIVE_LABEL, POSITIVE_LABEL
+from labelflow.operators.paging import page
 
 RATIOS = ("accuracy", "precision", "recall", "f1")
 COUNTS = ("support", "tp", "tn", "fp", "fn")
@@ -109,4 +110,4 @@ def prediction_distribution(df: DataFrame, label_text: str) -> DataFrame:
 
 def misclassified(df: DataFrame, id_col: str, limit: int = 200) -> DataFrame:
     """The first ``limit`` wrongly predicted rows by id, for review."""
-    return df.filter(~F.col("is_correct")).orderBy(id_col).limit(limit)
+    return page(df.filter(~F.col("is_correct")), 0, limit, id_col)

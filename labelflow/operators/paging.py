@@ -19,11 +19,15 @@ def page(df: DataFrame, offset: int, limit: int, id_col: str = RECORD_ID) -> Dat
     offset, limit = max(0, offset), max(0, limit)
     if not isinstance(df.schema[id_col].dataType, T.IntegralType):
         return df.orderBy(id_col).offset(offset).limit(limit)
-    first = id_at_rank(df, id_col, offset + 1) if limit else None
-    if first is None:
+    if limit == 0:
         return df.limit(0)
+    inside = F.col(f"`{id_col}`").isNotNull()
+    if offset:
+        first = id_at_rank(df, id_col, offset + 1)
+        if first is None:
+            return df.limit(0)
+        inside = F.col(f"`{id_col}`") >= first
     last = id_at_rank(df, id_col, offset + limit)
-    inside = F.col(f"`{id_col}`") >= first
     if last is not None:
         inside = inside & (F.col(f"`{id_col}`") <= last)
     return df.filter(inside).orderBy(id_col)

@@ -104,12 +104,20 @@ class StageStore:
         return rows.select(*filled) if added else rows
 
     def _schema(self, table: str) -> T.StructType:
-        stored = self.spark.read.text(f"{self._current(table)}/_schema", wholetext=True).first()[0]
+        fs, hadoop = self._fs(f"{self._current(table)}/_schema")
+        stream = fs.open(hadoop)
+        stored = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
         return T.StructType.fromJson(json.loads(stored))
 
+    def _store(self, path: str, text: str = "") -> None:
+        fs, hadoop = self._fs(path)
+        stream = fs.create(hadoop, True)
+        stream.write(bytearray(text, "utf-8"))
+        stream.close()
+
     def _store_schema(self, path: str, schema: T.StructType) -> None:
-        row = self.spark.range(1).select(F.lit(schema.json()).alias("value"))
-        row.coalesce(1).write.mode("overwrite").text(f"{path}/_schema")
+        self._store(f"{path}/_schema", schema.json())
 
     def require_column(self, stage: str, name: str) -> None:
         if name not in self.read(stage).columns:
@@ -210,16 +218,12 @@ class StageStore:
         for stage in gone:
             if stage in PARTS:
                 if self.exists(stage):
-                    self._store_mark(f"{self._current('splits')}/_dropped_{stage}")
+                    self._store(f"{self._current('splits')}/_dropped_{stage}")
             else:
                 self._delete(f"{self.root}/{self._table(stage)}")
             if stage == "predictions":  # what was scored before has to be scored again
                 self._delete(f"{self.root}/streams/scoring")
 
-    def _store_mark(self, path: str) -> None:
-        fs, hadoop = self._fs(path)
-        fs.create(hadoop, True).close()
-
     def clear_downstream(self, step: str) -> None:
         """Drop every stage after ``step``; unknown steps drop nothing."""
         self.drop(*DOWNSTREAM.get(step, ()))
