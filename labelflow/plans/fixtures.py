@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelflow.plans.stages import CSV_OPTIONS
+
 CSV_FILES = 4
 WORKBOOK_ROWS = 5_000
 SPREADSHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -20,7 +22,7 @@ PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
 def write_csv_in_order(df: DataFrame, key: str, path: str, mode: str = "overwrite") -> str:
     """CSV files whose names sort in the order of ``key``."""
     ordered = df.repartitionByRange(CSV_FILES, key).sortWithinPartitions(key)
-    ordered.write.mode(mode).options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    ordered.write.mode(mode).options(**CSV_OPTIONS).csv(path)
     return path
 
 

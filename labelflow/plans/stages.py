@@ -35,6 +35,10 @@ DOWNSTREAM = {
 SCOPES = ("derived", "raw", "models", "history", "all")
 # Fixed value: rows of a spreadsheet sheet, header included.
 SHEET_ROWS = 1_048_576
+# Quotes are doubled, and white space around a value is part of the value.
+CSV_OPTIONS = dict(
+    header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+)
 
 
 class StageStore:
@@ -311,10 +315,10 @@ def union_records(*tables: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV files with a header, quotes doubled inside quoted cells."""
-    df.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def export_csv(df: DataFrame, path: str, sheet_rows: int = SHEET_ROWS) -> None:
     """CSV files no longer than a spreadsheet sheet, header included, NULL as empty."""
     writer = _as_text(df).write.mode("overwrite").option("maxRecordsPerFile", sheet_rows - 1)
-    writer.options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    writer.options(**CSV_OPTIONS).csv(path)
