@@ -36,8 +36,8 @@ def none_to_empty(col: Column) -> Column:
 
 def is_missing(col: Column, trim: bool = False) -> Column:
     """NULL or empty text; with ``trim`` also text of white space only."""
-    text = none_to_empty(col)
-    return (strip(text) if trim else text) == ""
+    text = col.cast("string")
+    return text.isNull() | ((strip(text) if trim else text) == "")
 
 
 def fold_missing(col: Column, placeholder: str, trim: bool = False) -> Column:

@@ -57,13 +57,17 @@ def select_cut(keys: DataFrame, n: int, task_rows: int = MAX_TASK_ROWS) -> tuple
         if found["count"] <= task_rows or digits >= 30:
             break
         digits += DIGITS
-    return inside.orderBy(KEY).offset(wanted - 1).limit(1).first()[KEY], total
+    last = [row[KEY] for row in inside.orderBy(KEY).offset(wanted - 1).limit(2).collect()]
+    if len(set(last)) < len(last):
+        raise ValueError("the id column must be unique")
+    return last[0], total
 
 
 def group_sizes(keys: DataFrame, by: str) -> tuple[DataFrame, dict]:
-    """Rows per group, written once, with the number of groups and the largest size."""
+    """Rows per group, written once, with the extent of the table and the largest size."""
     sizes = keys.groupBy(by).agg(F.count(F.lit(1)).alias("size"))
-    return measure(sizes, "sizes", total=F.sum("size"), largest=F.max("size"))
+    key_bytes = F.sum(F.octet_length(by))
+    return measure(sizes, "sizes", bytes=key_bytes, total=F.sum("size"), largest=F.max("size"))
 
 
 def group_cuts(
@@ -84,15 +88,16 @@ def group_cuts(
         ranked = keys.withColumn("rank", _row_number(by))
         if max_rank is not None:  # a literal bound lets each task keep only its first rows
             ranked = ranked.filter(F.col("rank") <= max_rank)
-        wanted = broadcast_if_small(targets, 2 * seen["rows"])
+        wanted = broadcast_if_small(targets, seen)
         return ranked.join(wanted, [by, "rank"]).select(by, "cut", KEY)
     counts = keys.groupBy(by, prefix().alias(PREFIX)).agg(F.count(F.lit(1)).alias(ROWS))
     running = Window.partitionBy(by).orderBy(PREFIX)
     located = _locate(targets, counts.withColumn("__upto", F.sum(ROWS).over(running)), [by], PREFIX)
     digits = DIGITS
     while True:
-        located, found = measure(located, "located", largest=F.max(ROWS))
-        buckets = broadcast_if_small(located.select(by, PREFIX).distinct(), found["rows"])
+        key_bytes = F.sum(F.octet_length(by))
+        located, found = measure(located, "located", bytes=key_bytes, largest=F.max(ROWS))
+        buckets = broadcast_if_small(located.select(by, PREFIX).distinct(), found)
         inside = keys.withColumn(PREFIX, prefix(digits)).join(buckets, [by, PREFIX])
         if (found["largest"] or 0) <= task_rows or digits >= 30:
             break
@@ -102,7 +107,7 @@ def group_cuts(
         finer = finer.withColumn("__upto", F.sum(ROWS).over(running))
         located = _locate(located.drop(ROWS), finer, [by, PREFIX], "__next")
     ranked = inside.withColumn("rank", _row_number(by, PREFIX))
-    wanted = broadcast_if_small(located.select(by, "cut", PREFIX, "rank"), found["rows"])
+    wanted = broadcast_if_small(located.select(by, "cut", PREFIX, "rank"), found)
     return ranked.join(wanted, [by, PREFIX, "rank"]).select(by, "cut", KEY)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from labelflow.functions.text import MISSING_STRATUM, fold_missing
 from labelflow.operators import ordering as o
 from labelflow.operators.filters import keyword_filter
-from labelflow.session import MAX_BROADCAST_ROWS, join_groups, materialize, measure
+from labelflow.session import MAX_BROADCAST_ROWS, is_small, join_groups, materialize, measure
 
 RECORD_ID = "__record_id"
 SOURCE = "__sample_source"
@@ -78,10 +78,10 @@ def proportional_allocation(
     Each group gets the floor of its proportional share.  Groups left with
     nothing get one draw each, in key order, while draws remain.  What is left
     goes one by one to the groups with the largest fraction, key order breaking
-    ties.  Adds ``take``.  ``seen`` are the known ``rows`` and ``total``.
+    ties.  Adds ``take``.  ``seen`` is the measured size, with the ``total``.
     """
     if seen is None:
-        sizes, seen = measure(sizes, "sizes", total=F.sum("size"))
+        sizes, seen = measure(sizes, "sizes", bytes=F.sum(F.octet_length(key)), total=F.sum("size"))
     total = seen["total"] or 0
     n = max(0, min(n, total))
     if n == 0:
@@ -90,7 +90,7 @@ def proportional_allocation(
     shares = sizes.withColumn("__share", share).withColumn("__floor", F.floor("__share"))
     shares = shares.withColumn("__fraction", F.col("__share") - F.col("__floor"))
     by_key, by_fraction = [F.col(key)], [F.desc("__fraction"), F.col(key)]
-    if seen["rows"] <= max_strata:
+    if is_small(seen, max_strata):
         allocated = _allocate_in_one_task(shares, n, by_key, by_fraction)
     else:
         allocated = _allocate_in_parallel(shares, n, by_key, by_fraction, max_strata)
@@ -153,7 +153,7 @@ def stratified_sample(
     cuts = o.group_cuts(keys, targets, STRATUM, seen, task_rows, max_rank=n).withColumnRenamed(o.KEY, "__cut")
     bounds = plan.join(cuts.drop("cut"), STRATUM, "left")
     bounds = bounds.select(STRATUM, "size", F.coalesce("__cut", F.lit(o.ALL_CUT)).alias("__cut"))
-    rows = join_groups(keyed, bounds, STRATUM, seen["rows"], "size", max_broadcast)
+    rows = join_groups(keyed, bounds, STRATUM, seen, "size", max_broadcast)
     return (
         rows.filter(F.col(o.KEY) <= F.col("__cut"))
         .select(*df.columns)

@@ -103,7 +103,7 @@ def assign_splits(
         F.max(F.when(F.col("cut") == 0, F.col("__cut"))).alias("__cut_train"),
         F.max(F.when(F.col("cut") == 1, F.col("__cut"))).alias("__cut_val"),
     )
-    rows = join_groups(keyed, bounds, LABEL, seen["rows"], "size", max_broadcast)
+    rows = join_groups(keyed, bounds, LABEL, seen, "size", max_broadcast)
     part = (
         F.when(F.col(o.KEY) <= F.col("__cut_train"), "train")
         .when(F.col(o.KEY) <= F.col("__cut_val"), "val")

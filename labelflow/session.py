@@ -13,9 +13,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of a narrow helper table (a key and a few numbers, about 100 bytes in a
-# hash relation) that every executor may hold: about 100 MB.
+# Rows of a helper table (a key and a few numbers) that every executor may hold,
+# and the bytes its keys may take per row: about 100 MB of keys in all.
 MAX_BROADCAST_ROWS = 1_000_000
+KEY_BYTES = 100
 # Rows one task may sort by itself; larger inputs are divided first.
 MAX_TASK_ROWS = 4_000_000
 # Keys treated as heavy when a group table is too large to broadcast.
@@ -67,27 +68,32 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, F.col(f"`{key}`"))
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the known row count allows it."""
-    return F.broadcast(df) if rows <= limit else df
+def is_small(seen: dict, limit: int) -> bool:
+    """Whether a measured table has at most ``limit`` rows of ordinary width."""
+    return seen["rows"] <= limit and (seen.get("bytes") or 0) <= limit * KEY_BYTES
+
+
+def broadcast_if_small(df: DataFrame, seen: dict, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when the measured size allows it."""
+    return F.broadcast(df) if is_small(seen, limit) else df
 
 
 def join_groups(
     df: DataFrame,
     groups: DataFrame,
     key: str,
-    rows: int,
+    seen: dict,
     weight: str,
     limit: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Inner join of a large table with one row per group.
 
-    ``rows`` is the number of groups and ``weight`` the column with the rows
-    each group holds in ``df``.  A group table beyond ``limit`` is joined in
-    two parts: the heaviest keys by broadcast, so no key floods a task, and
-    the others by a shuffle.
+    ``seen`` is the measured size of ``groups`` and ``weight`` its column with
+    the rows each group holds in ``df``.  A group table beyond ``limit`` is
+    joined in two parts: the heaviest keys by broadcast, so no key floods a
+    task, and the others by a shuffle.
     """
-    if rows <= limit:
+    if is_small(seen, limit):
         return df.join(F.broadcast(groups), key)
     groups = materialize(groups, "groups")
     heavy = materialize(groups.orderBy(F.desc(weight), key).limit(HEAVY_KEYS), "heavy")

@@ -78,7 +78,7 @@ def workbook_source(spark: SparkSession, paths: list[str]) -> Source:
 def workbook_content_source(workbooks: DataFrame, paths: list[str]) -> Source:
     """Workbooks given as ``(file_no, file_path, content)`` rows."""
     rows = workbook.sheet_rows(workbooks)
-    return Source(workbook.profiles(workbooks, rows), workbook.cells(rows), paths)
+    return Source(workbook.profiles(rows), workbook.cells(rows), paths)
 
 
 def _blocks(source: Source) -> DataFrame:
@@ -154,10 +154,9 @@ def import_files(
         "header_hash",
         places.alias("places"),
     )
-    files, seen = measure(files, "files")
-    rows = join_groups(
-        source.cells, files.select("file_path", "__source_file", "__batch_id", "places", "records"), "file_path", seen["rows"], "records"
-    )
+    files, seen = measure(files, "files", bytes=F.sum(F.octet_length("file_path") + 4 * F.size("places")))
+    placed = files.select("file_path", "__source_file", "__batch_id", "places", "records")
+    rows = join_groups(source.cells, placed, "file_path", seen, "records")
     rows = _number(rows, files, blocks, start)
     values = [
         F.coalesce(F.get("cells", F.get("places", F.lit(i)) - 1), F.lit("")).alias(name) for i, name in enumerate(columns)
@@ -192,8 +191,8 @@ def _number(rows: DataFrame, files: DataFrame, blocks: DataFrame, start: int) ->
     offsets = offsets.join(before_file, "file_path").select(
         "file_path", "block", (F.lit(start) + F.col("before_file") + F.col("before_block") - F.col("first_seq")).alias("shift")
     )
-    offsets, seen = measure(offsets, "offsets")
-    numbered = rows.join(broadcast_if_small(offsets, seen["rows"]), ["file_path", "block"])
+    offsets, seen = measure(offsets, "offsets", bytes=F.sum(F.octet_length("file_path")))
+    numbered = rows.join(broadcast_if_small(offsets, seen), ["file_path", "block"])
     return numbered.withColumn("__record_id", F.col("shift") + F.col("seq"))
 
 

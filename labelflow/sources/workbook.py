@@ -40,23 +40,21 @@ def read_workbooks(spark: SparkSession, paths: list[str]) -> DataFrame:
 def sheet_rows(workbooks: DataFrame) -> DataFrame:
     """Rows of the first sheet of every workbook, parsed once and written.
 
-    Row 1 is the header; ``seq`` numbers the rows below it that hold a value.
+    Row 0 only says that the workbook was read; row 1 is the header; ``seq``
+    numbers the rows below it that hold a value.
     """
-    books = workbooks.select("file_path").count()
-    tasks = max(-(-books // BOOKS_PER_TASK), min(books, workbooks.sparkSession.sparkContext.defaultParallelism), 1)
+    cores = workbooks.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores, len(workbooks.inputFiles()) // BOOKS_PER_TASK)
     spread = workbooks.select("file_no", "file_path", "content").repartition(tasks, "file_path")
-    parsed = spread.mapInPandas(_read_batches, CELL_SCHEMA)
-    return materialize(parsed, "sheets")
+    return materialize(spread.mapInPandas(_read_batches, CELL_SCHEMA), "sheets")
 
 
-def profiles(workbooks: DataFrame, rows: DataFrame) -> DataFrame:
+def profiles(rows: DataFrame) -> DataFrame:
     """Per workbook: header cells and the number of rows below the header."""
-    files = workbooks.select("file_no", "file_path")
     heads = rows.filter("row_no = 1").select("file_path", "cells")
-    counts = rows.groupBy("file_path").agg((F.max("row_no") - 1).alias("row_count"))
-    profiled = files.join(heads, "file_path", "left").join(counts, "file_path", "left")
-    profiled = profiled.withColumn("cells", F.coalesce("cells", F.array().cast("array<string>")))
-    return profiled.fillna(0, ["row_count"])
+    files = rows.groupBy("file_no", "file_path").agg(F.greatest(F.max("row_no") - 1, F.lit(0)).alias("row_count"))
+    profiled = files.join(heads, "file_path", "left")
+    return profiled.withColumn("cells", F.coalesce("cells", F.array().cast("array<string>")))
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -68,7 +66,7 @@ def cells(rows: DataFrame) -> DataFrame:
 def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for file_no, path, content in batch.itertuples(index=False):
-            rows, seq = [], 0
+            rows, seq = [(file_no, path, 0, None, [])], 0
             for row_no, values in _first_sheet(content):
                 filled = row_no > 1 and any(values)
                 rows.append((file_no, path, row_no, seq if filled else None, values))
