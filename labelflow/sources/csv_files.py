@@ -5,14 +5,13 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator
-from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelflow.session import materialize
-from labelflow.sources.files import list_files, one_slash
+from labelflow.sources.files import list_files, literal_path, one_slash
 
 FILES_PER_TASK = 256
 # Low bits of Spark's monotonic id: the position of a row inside its task.
@@ -43,7 +42,7 @@ def profiles(spark: SparkSession, paths: list[str], multi_line: bool | None = No
     counted = lines.groupBy("file_path").agg((~F.max("odd")).alias("line_safe"), F.count_if("filled").alias("lines"))
     heads = heads.join(counted, "file_path", "left").fillna({"line_safe": True, "lines": 0})
     heads = materialize(heads.withColumn("row_count", F.greatest(F.col("lines") - 1, F.lit(0))).drop("lines"), "heads")
-    unsafe = _paths(heads, False)
+    unsafe, _ = _layout(heads)[False]
     if not unsafe:
         return heads
     records = _scan(spark, unsafe, "c0 string", True).groupBy(_path()).agg(F.count(F.lit(1)).alias("records"))
@@ -56,9 +55,15 @@ def _path() -> Column:
     return one_slash(F.col("_metadata.file_path")).alias("file_path")
 
 
-def _paths(heads: DataFrame, line_safe: bool) -> list[str]:
-    chosen = heads.filter(F.col("line_safe") == line_safe).select("file_path").orderBy("file_path")
-    return [unquote(row["file_path"]) for row in chosen.collect()]
+def _layout(heads: DataFrame) -> dict[bool, tuple[list[str], int]]:
+    """File names and the widest header, apart for line-safe files and others."""
+    found = heads.select("file_path", "line_safe", F.size("cells").alias("width")).orderBy("file_path").collect()
+    layout = {}
+    for line_safe in (True, False):
+        files = [row for row in found if row["line_safe"] == line_safe]
+        names = [literal_path(row["file_path"]) for row in files]
+        layout[line_safe] = names, max([row["width"] for row in files], default=0)
+    return layout
 
 
 def _scan(spark: SparkSession, paths: list[str], schema: str, multi_line: bool) -> DataFrame:
@@ -87,14 +92,12 @@ def cells(spark: SparkSession, heads: DataFrame) -> DataFrame:
     Cells are read by position with one schema as wide as the widest header, so
     files with any mix of headers need one scan.
     """
-    width = heads.agg(F.max(F.size("cells"))).first()[0] or 0
-    columns = [f"c{i}" for i in range(max(1, width))]
-    schema = ", ".join(f"{name} string" for name in columns)
     tables = []
-    for line_safe in (True, False):
-        paths = _paths(heads, line_safe)
+    for line_safe, (paths, width) in _layout(heads).items():
         if not paths:
             continue
+        columns = [f"c{i}" for i in range(max(1, width))]
+        schema = ", ".join(f"{name} string" for name in columns)
         table = _scan(spark, paths, schema, not line_safe).select(
             _path(),
             F.col("_metadata.file_block_start").alias("block"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -20,6 +21,11 @@ def one_slash(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
+def literal_path(uri: str) -> str:
+    """A path Spark reads as that one file, whatever characters its name holds."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
+
+
 def file_name(path: Column) -> Column:
     encoded = F.replace(F.element_at(F.split(path, "/"), -1), F.lit("+"), F.lit("%2B"))
     return F.url_decode(encoded)

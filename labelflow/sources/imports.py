@@ -58,17 +58,22 @@ class Imported:
 
 @dataclass(frozen=True)
 class Source:
-    """Profiled files and their records, whatever the file format."""
+    """Profiled files and their records, whatever the file format.
+
+    ``written`` says that the records are a written table.  Block and sequence
+    number of a record that is parsed on the fly hold for one job only, since
+    Spark may cut the files differently in the next.
+    """
 
     profiles: DataFrame
     cells: DataFrame
     paths: list[str]
+    written: bool
 
 
 def csv_source(spark: SparkSession, paths: list[str], multi_line: bool | None = None) -> Source:
     heads = csv_files.profiles(spark, paths, multi_line)
-    cells = csv_files.cells(spark, heads)
-    return Source(heads, cells, paths)
+    return Source(heads, csv_files.cells(spark, heads), paths, written=False)
 
 
 def workbook_source(spark: SparkSession, paths: list[str]) -> Source:
@@ -78,31 +83,12 @@ def workbook_source(spark: SparkSession, paths: list[str]) -> Source:
 def workbook_content_source(workbooks: DataFrame, paths: list[str]) -> Source:
     """Workbooks given as ``(file_no, file_path, content)`` rows."""
     rows = workbook.sheet_rows(workbooks)
-    return Source(workbook.profiles(rows), workbook.cells(rows), paths)
-
-
-def _blocks(source: Source) -> DataFrame:
-    """Records per block of a file and the first sequence number in it."""
-    return materialize(
-        source.cells.groupBy("file_path", "block").agg(F.count(F.lit(1)).alias("records"), F.min("seq").alias("first_seq")),
-        "blocks",
-    )
+    return Source(workbook.profiles(rows), workbook.cells(rows), paths, written=True)
 
 
-def preflight(source: Source, reference: list[str] | None = None, blocks: DataFrame | None = None) -> Preflight:
-    """Compare the header of every file with the reference, or with the first file's.
-
-    ``records`` counts the rows an import would take; ``row_count`` is the
-    sheet's row count, blank rows included, where the format knows it.
-    """
-    blocks = _blocks(source) if blocks is None else blocks
+def _classified(source: Source, reference: list[str] | None) -> Preflight:
     files = source.profiles.withColumn("positions", h.normalize_headers(F.col("cells")))
     files = files.withColumn("headers", h.named(F.col("positions")))
-    records = blocks.groupBy("file_path").agg(F.sum("records").alias("records"))
-    files = files.join(records, "file_path", "left").fillna(0, ["records"])
-    if "row_count" not in files.columns:
-        files = files.withColumn("row_count", F.col("records"))
-    files = materialize(files, "profiles")
     if not reference:
         first = files.orderBy("file_no").select("headers").first()
         reference = list(first["headers"]) if first else []
@@ -114,14 +100,27 @@ def preflight(source: Source, reference: list[str] | None = None, blocks: DataFr
         file_name(F.col("file_path")).alias("file_name"),
         "headers",
         "positions",
-        "row_count",
-        "records",
+        *[name for name in ("row_count",) if name in files.columns],
         h.header_hash(have).alias("header_hash"),
         h.header_status(have, wanted).alias("status"),
         h.missing_columns(have, wanted).alias("missing_columns"),
         h.extra_columns(have, wanted).alias("extra_columns"),
     )
-    return Preflight(reference, classified)
+    return Preflight(reference, materialize(classified, "classified"))
+
+
+def preflight(source: Source, reference: list[str] | None = None) -> Preflight:
+    """Compare the header of every file with the reference, or with the first file's.
+
+    ``records`` counts the rows an import would take; ``row_count`` also counts
+    blank rows where the profile knows them.
+    """
+    report = _classified(source, reference)
+    records = source.cells.groupBy("file_path").agg(F.count(F.lit(1)).alias("records"))
+    files = report.files.join(records, "file_path", "left").fillna(0, ["records"])
+    if "row_count" not in files.columns:
+        files = files.withColumn("row_count", F.col("records"))
+    return Preflight(report.reference, files)
 
 
 def import_files(
@@ -136,28 +135,30 @@ def import_files(
     column is empty text.  Extra columns widen the schema if allowed.  Fails
     before reading any record when a header does not fit the options.
     """
-    blocks = _blocks(source)
-    report = preflight(source, reference, blocks)
+    report = _classified(source, reference)
     _reject(report.files, options)
     columns = list(report.reference)
     if options.allow_extra_columns:
         columns += _added_columns(report.files)
+    cells = source.cells if source.written else materialize(source.cells, "cells")
+    blocks = cells.groupBy("file_path", "block").agg(F.count(F.lit(1)).alias("records"), F.min("seq").alias("first_seq"))
+    blocks = materialize(blocks, "blocks")
+    records = blocks.groupBy("file_path").agg(F.sum("records").alias("records"))
     run = uuid.uuid4().hex
     batch = F.concat(F.lit("batch_"), F.substring(F.md5(F.concat(F.lit(run), "file_path")), 1, 10))
     places = F.array(*[F.array_position("positions", F.lit(name)) for name in columns]).cast("array<int>")
-    files = report.files.select(
+    files = report.files.join(records, "file_path", "left").select(
         "file_no",
         "file_path",
         F.col("file_name").alias("__source_file"),
         batch.alias("__batch_id"),
-        "records",
+        F.coalesce("records", F.lit(0)).alias("records"),
         "header_hash",
         places.alias("places"),
     )
     files, seen = measure(files, "files", bytes=F.sum(F.octet_length("file_path") + 4 * F.size("places")))
     placed = files.select("file_path", "__source_file", "__batch_id", "places", "records")
-    rows = join_groups(source.cells, placed, "file_path", seen, "records")
-    rows = _number(rows, files, blocks, start)
+    rows = _number(join_groups(cells, placed, "file_path", seen, "records"), files, blocks, start)
     values = [
         F.coalesce(F.get("cells", F.get("places", F.lit(i)) - 1), F.lit("")).alias(name) for i, name in enumerate(columns)
     ]

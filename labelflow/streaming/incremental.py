@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from labelflow.operators.sampling import RECORD_ID
 from labelflow.plans.stages import StageStore
+from labelflow.sources.files import literal_path
 from labelflow.sources.imports import ImportOptions, csv_source, import_files
 
 # Files one batch takes: their names pass through the driver.
@@ -75,7 +76,8 @@ def incremental_import(store: StageStore, source: str, options: ImportOptions =
     reconciled import and appends to the raw stage.
     """
     def import_batch(batch: DataFrame, number: int) -> None:
-        paths = [row["path"] for row in batch.select("path").orderBy("path").collect()]
+        names = batch.select("file_path").orderBy("file_path").collect()
+        paths = [literal_path(row["file_path"]) for row in names]
         if paths:
             start = store.next_id(without_part=f"batch-{number}")
             imported = import_files(csv_source(store.spark, paths), store.columns(), options, start)
@@ -88,7 +90,7 @@ def incremental_import(store: StageStore, source: str, options: ImportOptions =
         .load(source)
     )
     query = (
-        stream.select("path")
+        stream.select("_metadata.file_path")
         .writeStream.foreachBatch(import_batch)
         .option("checkpointLocation", f"{store.root}/streams/import")
         .trigger(availableNow=True)
