@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -84,6 +86,26 @@ def score(df: DataFrame, model: PipelineModel, text: str) -> DataFrame:
     )
 
 
+def score_with(df: DataFrame, predict: Callable[[list[str]], list[float]], text: str) -> DataFrame:
+    """Like ``score`` with any function from texts to positive probabilities.
+
+    The function is called in tasks on Arrow batches of the text column only.
+    """
+    @F.pandas_udf("double")
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(predict(texts.tolist()), index=texts.index, dtype="float64")
+
+    positive = probability.asNondeterministic()(strip(none_to_empty(F.col(f"`{text}`"))))
+    scored, p = df.withColumn("__positive", positive), F.col("__positive")
+    return scored.select(
+        *[f"`{name}`" for name in df.columns],
+        class_text((p > 0.5).cast("int")).alias(LABEL_TEXT),
+        p.alias(POSITIVE_PROBABILITY),
+        F.greatest(p, 1 - p).alias(CONFIDENCE),
+    )
+
+
 def _predict(df: DataFrame, model: PipelineModel) -> DataFrame:
     probability = vector_to_array(F.col("__probability"))
     scored = model.transform(df).withColumn("__p", probability)

@@ -74,6 +74,14 @@ class Field:
     enum_options: str = ""
 
 
+# The fields asked for when none are given.
+DEFAULT_FIELDS = [
+    Field("is_target", "boolean", "判断文本是否属于目标类别", "true"),
+    Field("core_reason", "string", "用一句话说明判定理由", "涉及低空物流配送场景"),
+    Field("confidence", "number", "输出 0 到 1 之间的置信度", "0.86"),
+]
+
+
 @dataclass(frozen=True)
 class JudgeConfig:
     text_column: str = "摘要"
@@ -108,8 +116,8 @@ def normalize_fields(rows: list[dict]) -> list[Field]:
     return list(fields.values())
 
 
-def field_rows(fields: list[Field]) -> list[dict]:
-    """The inverse of ``normalize_fields`` for an editor."""
+def field_rows(fields: list[Field] | None = None) -> list[dict]:
+    """The inverse of ``normalize_fields`` for an editor; the default fields if none."""
     labels = {value: label for label, value in FIELD_TYPES.items()}
     return [
         {
@@ -120,7 +128,7 @@ def field_rows(fields: list[Field]) -> list[dict]:
             "required": f.required,
             "enum_options": f.enum_options,
         }
-        for f in fields
+        for f in fields or DEFAULT_FIELDS
     ]
 
 
@@ -203,14 +211,15 @@ def _ask(scorer: Scorer, texts: list[str]) -> list[tuple[str | None, str | None]
     except Exception as error:
         if len(texts) == 1:
             return [(None, str(error) or type(error).__name__)]
-        return [answer for text in texts for answer in _ask(scorer, [text])]
+        half = len(texts) // 2
+        return _ask(scorer, texts[:half]) + _ask(scorer, texts[half:])
 
 
 def ask(scorer: Scorer, text: Column) -> Column:
     """Struct of reply and error for each text; NULL texts are not sent.
 
-    A failing batch is asked again text by text, so that one bad text only
-    spoils its own row.
+    A failing batch is asked again in halves, so that one bad text only spoils
+    its own row.
     """
     @F.pandas_udf("reply string, error string")
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -86,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.csv_round_trip,
         f.train_evaluate,
         f.train_score,
+        f.score_with_function,
         f.reevaluate,
     ]
     return {function.__name__: function for function in functions}

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelflow.functions.labels import class_text
 from labelflow.operators import classifier, judge, sampling, splits
 from labelflow.plans.fixtures import workbooks, write_csv_in_order
 from labelflow.plans.queries import JUDGE, _documents, _judge_input, _labelled, _rounded, keyword_scorer, table
@@ -207,13 +208,36 @@ def train_evaluate(spark, sf_dir):
 
 
 def train_score(spark, sf_dir):
+    """Scores of all documents, and whether label, probability and confidence agree."""
     result = classifier.train_classifier(_split_documents(spark, sf_dir), TRAIN)
     scored = classifier.score(table(spark, sf_dir, "documents").select("doc_id", "text"), result.model, "text")
-    return scored.drop("text")
+    p, label = F.col(classifier.POSITIVE_PROBABILITY), F.col(classifier.LABEL_TEXT)
+    agree = (F.abs(F.col(classifier.CONFIDENCE) - F.greatest(p, 1 - p)) < 1e-9) & (label == class_text((p > 0.5).cast("int")))
+    return scored.select("doc_id", agree.alias("agree"))
+
+
+def score_with_function(spark, sf_dir):
+    """Scores by a given function of the text in place of a trained model."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = classifier.score_with(documents, lambda texts: [0.75 if "tion" in text else 0.25 for text in texts], "text")
+    return scored.select(
+        "doc_id",
+        F.col(classifier.LABEL_TEXT).alias("label"),
+        F.col(classifier.POSITIVE_PROBABILITY).alias("positive"),
+        F.col(classifier.CONFIDENCE).alias("confidence"),
+    )
 
 
 def reevaluate(spark, sf_dir):
+    """A saved model on the current splits: supports, classes, and whether the ratios add up."""
     path = scratch_path(spark, "model")
     rows = _split_documents(spark, sf_dir)
     classifier.save_result(classifier.train_classifier(rows, TRAIN), path)
-    return _rounded(classifier.reevaluate(rows, path, TRAIN))
+    metrics = classifier.reevaluate(rows, path, TRAIN)
+    right = (F.col("tp") + F.col("tn")) / F.col("support")
+    return metrics.select(
+        "split",
+        "support",
+        (F.col("tp") + F.col("fn")).alias("positives"),
+        (F.abs(F.col("accuracy") - right) < 1e-9).alias("adds_up"),
+    )

@@ -256,4 +256,10 @@ from documents d left join labels l on d.doc_id = l.doc_id""",
         "stage_union": "select doc_id, lang, null::integer as quality, null::integer as toxic from documents union all select doc_id, null, quality, toxic from labels",
         "export_chunks": "select (select count(*) from documents) as rows, (select count(*) from documents d join labels l on d.doc_id = l.doc_id) as filled, true as fits",
         "csv_round_trip": "select conv_id, turn, md5(text) as text_md5 from conversations",
+        "train_score": "select doc_id, true as agree from documents",
+        "score_with_function": """select doc_id, case when contains(text, 'tion') then '正样本' else '负样本' end as label,
+  case when contains(text, 'tion') then 0.75::double else 0.25::double end as positive, 0.75::double as confidence from documents""",
+        "reevaluate": f"""select split, count(*) as support, count(*) filter (quality = 1) as positives, true as adds_up
+from ({floor_split("(select d.doc_id, text, quality from documents d join labels l on d.doc_id = l.doc_id)", "quality", "doc_id", "doc_id, text, quality", 0.8, 0.1, 42)}) t
+where {strip("text")} <> '' group by split""",
     }

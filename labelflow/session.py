@@ -37,9 +37,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _application_root(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark).rstrip('/')}/labelflow-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{checkpoint_root(spark).rstrip('/')}/labelflow-{app}/{name}-{uuid.uuid4().hex}"
+    return f"{_application_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables; DataFrames built on them end here."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_application_root(spark))
+    root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(root, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

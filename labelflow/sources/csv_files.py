@@ -25,6 +25,8 @@ def profiles(spark: SparkSession, paths: list[str], multi_line: bool | None = No
     split it.  That is read off the lines (an odd number of quotes) unless
     ``multi_line`` says it.
     """
+    if not paths:
+        return spark.createDataFrame([], "file_no long, file_path string, cells array<string>, line_safe boolean")
     files = list_files(spark, paths)
     tasks = -(-files.count() // FILES_PER_TASK)
     heads = files.repartition(max(1, tasks)).mapInPandas(

@@ -186,6 +186,12 @@ def test_files_keep_the_order_given(spark, tmp_path):
     assert [r["file_path"].rsplit("/", 1)[1] for r in listed] == ["z.csv", "x.csv", "y.csv", "b.csv"]
 
 
+def test_no_files(spark):
+    source = imports.csv_source(spark, [])
+    assert imports.preflight(source).summary().first().asDict() == {"files": 0, "total_rows": 0, "can_import_strict": False}
+    assert imports.import_files(source).rows.count() == 0
+
+
 def test_names_with_glob_characters(spark, tmp_path):
     write(tmp_path, "a[1]{x}?*.csv", "a\n1\n")
     write(tmp_path, "a1.csv", "a\n2\n")

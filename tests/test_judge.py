@@ -88,6 +88,7 @@ def test_normalize_fields():
     assert got[1].requirement == "相关程度。可选值：高,中,低" and not got[1].required
     assert got[2].requirement == "按字段说明输出"
     assert judge.normalize_fields(judge.field_rows(got))[0] == got[0]
+    assert judge.normalize_fields(judge.field_rows()) == judge.DEFAULT_FIELDS
     assert judge.field_schema(got).simpleString() == "struct<is_target:boolean,level:string,名称_1:string>"
 
 
