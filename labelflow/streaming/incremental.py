@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,11 +38,38 @@ def resume_scoring(
     scorer: Callable[[DataFrame], DataFrame],
     id_col: str = RECORD_ID,
     restart: bool = False,
+    slices: int = 1,
 ) -> int:
-    """Score a whole table into the predictions stage, going on where a run stopped."""
+    """Score a whole table into the predictions stage, going on where a run stopped.
+
+    With several ``slices`` the table is scored in that many ranges of its
+    integer id, each kept once it is written, so that a failure costs one range.
+    Returns the number of rows scored.
+    """
     if restart:
         store.drop("predictions")
+    if slices == 1:
+        return _score_missing(store, rows, scorer, id_col)
+    low, high = rows.agg(F.min(id_col), F.max(id_col)).first()
+    if low is None:
+        return 0
+    width, scored = -(-(high - low + 1) // slices), 0
+    for start in range(low, high + 1, width):
+        inside = F.col(f"`{id_col}`").between(start, start + width - 1)
+        scored += _score_missing(store, rows.filter(inside), scorer, id_col, inside)
+    return scored
+
+
+def _score_missing(
+    store: StageStore,
+    rows: DataFrame,
+    scorer: Callable[[DataFrame], DataFrame],
+    id_col: str,
+    inside: Column | None = None,
+) -> int:
     done = store.read("predictions") if store.exists("predictions") else None
+    if done is not None and inside is not None:
+        done = done.filter(inside)
     return store.append("predictions", score_pending(rows, done, scorer, id_col))
 
 

@@ -27,6 +27,18 @@ def test_resumed_scoring_adds_only_what_is_missing(spark, store):
     assert incremental.resume_scoring(store, ids(spark, 0, 3), double, restart=True) == 3
 
 
+def test_a_failed_run_keeps_its_finished_slices(spark, store):
+    def fragile(rows):
+        return double(rows.withColumn("__record_id", F.when(F.col("__record_id") < 8, F.col("__record_id")).otherwise(F.raise_error(F.lit("stop")).cast("long"))))
+
+    with pytest.raises(Exception, match="stop"):
+        incremental.resume_scoring(store, ids(spark, 0, 11), fragile, slices=3)
+    assert store.read("predictions").count() == 8
+    assert incremental.resume_scoring(store, ids(spark, 0, 11), double, slices=3) == 3
+    assert sorted(tuple(r) for r in store.read("predictions").collect()) == [(i, 2 * i) for i in range(11)]
+    assert incremental.resume_scoring(store, ids(spark, 5, 5), double, slices=3) == 0
+
+
 def test_incremental_scoring(spark, store, tmp_path):
     source = str(tmp_path / "in")
     schema = ids(spark, 0, 1).schema
