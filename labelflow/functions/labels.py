@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelflow.functions.columns import by_name
 from labelflow.functions.text import none_to_empty, strip
 
 # Words read as the positive and the negative class.
@@ -29,7 +30,7 @@ def binary_label(df: DataFrame, name: str, strict: bool = False) -> Column:
 
     A value that names no class gives NULL, or fails the query with ``strict``.
     """
-    col, kind = F.col(f"`{name}`"), _kind(df, name)
+    col, kind = by_name(name), _kind(df, name)
     if isinstance(kind, T.BooleanType):
         value = col.cast("int")
     elif isinstance(kind, T.NumericType):
@@ -45,7 +46,7 @@ def binary_label(df: DataFrame, name: str, strict: bool = False) -> Column:
 
 def truth(df: DataFrame, name: str) -> Column:
     """The column as a boolean that is never NULL."""
-    col, kind = F.col(f"`{name}`"), _kind(df, name)
+    col, kind = by_name(name), _kind(df, name)
     if isinstance(kind, T.BooleanType):
         value = col
     elif isinstance(kind, T.NumericType):

@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelflow.functions.columns import by_name, columns_except
 from labelflow.functions.labels import binary_label, class_text
 from labelflow.functions.text import is_missing, none_to_empty, strip
 from labelflow.operators.metrics import binary_metrics
@@ -60,11 +61,11 @@ def training_samples(
 
     A label that names no class fails the query, or drops the row if not ``strict``.
     """
-    words = strip(none_to_empty(F.col(f"`{text}`")))
-    kept = df.filter((words != "") & ~is_missing(F.col(f"`{label}`")))
+    words = strip(none_to_empty(by_name(text)))
+    kept = df.filter((words != "") & ~is_missing(by_name(label)))
     samples = kept.select(
         *extra,
-        F.col(f"`{id_col}`").alias("index"),
+        by_name(id_col).alias("index"),
         words.alias("text"),
         binary_label(df, label, strict).alias("label"),
     )
@@ -77,9 +78,9 @@ def split_samples(splits: DataFrame, config: TrainConfig) -> DataFrame:
 
 def score(df: DataFrame, model: PipelineModel, text: str) -> DataFrame:
     """Add the class text, the positive probability and the confidence to every row."""
-    scored = _predict(df.withColumn("__text", strip(none_to_empty(F.col(f"`{text}`")))), model)
+    scored = _predict(df.withColumn("__text", strip(none_to_empty(by_name(text)))), model)
     return scored.select(
-        *[f"`{name}`" for name in df.columns],
+        *columns_except(df, LABEL_TEXT, POSITIVE_PROBABILITY, CONFIDENCE),
         class_text(F.col("predicted_label")).alias(LABEL_TEXT),
         F.col("positive_probability").alias(POSITIVE_PROBABILITY),
         F.col("confidence").alias(CONFIDENCE),
@@ -96,10 +97,10 @@ def score_with(df: DataFrame, predict: Callable[[list[str]], list[float]], text:
         for texts in batches:
             yield pd.Series(predict(texts.tolist()), index=texts.index, dtype="float64")
 
-    positive = probability.asNondeterministic()(strip(none_to_empty(F.col(f"`{text}`"))))
+    positive = probability.asNondeterministic()(strip(none_to_empty(by_name(text))))
     scored, p = df.withColumn("__positive", positive), F.col("__positive")
     return scored.select(
-        *[f"`{name}`" for name in df.columns],
+        *columns_except(df, LABEL_TEXT, POSITIVE_PROBABILITY, CONFIDENCE),
         class_text((p > 0.5).cast("int")).alias(LABEL_TEXT),
         p.alias(POSITIVE_PROBABILITY),
         F.greatest(p, 1 - p).alias(CONFIDENCE),

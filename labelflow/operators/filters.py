@@ -8,6 +8,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelflow.functions.columns import by_name
 from labelflow.functions.text import none_to_empty
 
 
@@ -41,7 +42,7 @@ def keyword_filter(
         raise ValueError(f"unknown field mode: {field_mode}")
 
     def hit(name: str, word: str) -> Column:
-        text = none_to_empty(F.col(f"`{name}`"))
+        text = none_to_empty(by_name(name))
         if literal:
             return F.lower(text).contains(word.lower())
         return text.ilike("%" + word.replace("\\", "\\\\") + "%")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelflow.functions.columns import by_name, columns_except
 from labelflow.functions.labels import POSITIVE_WORDS
 from labelflow.functions.text import none_to_empty, strip
 from labelflow.operators.ordering import id_at_rank
@@ -235,7 +236,7 @@ def ask(scorer: Scorer, text: Column) -> Column:
 
 def _with_tasks(df: DataFrame, id_column: str, concurrency: int | None) -> DataFrame:
     if concurrency is not None:
-        return df.repartition(concurrency, F.col(f"`{id_column}`"))
+        return df.repartition(concurrency, by_name(id_column))
     return spread(df, id_column)
 
 
@@ -260,7 +261,7 @@ def judge(df: DataFrame, scorer: Scorer, config: JudgeConfig = JudgeConfig()) ->
     that have text are judged and the others pass through with NULLs.  With
     ``concurrency`` at most that many batches are judged at a time.
     """
-    clean = strip(none_to_empty(F.col(f"`{config.text_column}`")))
+    clean = strip(none_to_empty(by_name(config.text_column)))
     chosen = F.col("__clean") != ""
     if config.limit is not None:
         has_text = df.filter(clean != "")
@@ -268,7 +269,7 @@ def judge(df: DataFrame, scorer: Scorer, config: JudgeConfig = JudgeConfig()) ->
         if config.limit <= 0:
             chosen = F.lit(False)
         elif last is not None:
-            chosen = chosen & (F.col(f"`{config.id_column}`") <= last)
+            chosen = chosen & (by_name(config.id_column) <= last)
     # Flags are columns of their own, so that long texts are cleaned once.
     tasks = _with_tasks(df, config.id_column, config.concurrency)
     flagged = tasks.withColumn("__clean", clean).withColumn("__blank", F.col("__clean") == "").withColumn("__chosen", chosen)
@@ -279,7 +280,7 @@ def judge(df: DataFrame, scorer: Scorer, config: JudgeConfig = JudgeConfig()) ->
     good = chosen & (failed == "")
     reason = F.coalesce(F.nullif(field_text(parsed, config.reason_key), F.lit("")), field_text(parsed, "reason"), F.lit(""))
     return judged.select(
-        *df.columns,
+        *columns_except(df, config.label_column, config.reason_column, config.raw_column, config.error_column),
         F.when(good, field_truth(parsed, config.boolean_key)).alias(config.label_column),
         F.when(good, strip(reason)).alias(config.reason_column),
         F.when(good, F.to_json(parsed)).alias(config.raw_column),
@@ -304,7 +305,7 @@ def structured_judge(
     absent, or of the declared type and NULL when absent with ``typed``.
     """
     tasks = _with_tasks(df, id_column, concurrency)
-    judged = _judged(tasks, scorer, strip(none_to_empty(F.col(f"`{text_column}`"))))
+    judged = _judged(tasks, scorer, strip(none_to_empty(by_name(text_column))))
     parsed, good = F.col("__parsed"), F.col("__failed") == ""
     columns = []
     for field in fields:
@@ -315,7 +316,7 @@ def structured_judge(
             columns.append(F.coalesce(F.when(good, field_text(parsed, field.name)), F.lit("")).alias(field.name))
     members = [F.try_variant_get(parsed, _path(f.name), "variant").alias(f.name) for f in fields]
     declared = F.to_json(F.struct(*members), {"ignoreNullFields": "false"})
-    kept = [f"`{name}`" for name in df.columns if name not in {f.name for f in fields}]
+    kept = columns_except(df, *[field.name for field in fields], json_column, error_column)
     return judged.select(
         *kept,
         *columns,
@@ -326,11 +327,11 @@ def structured_judge(
 
 def judge_failures(df: DataFrame, error_column: str = "LLM_ERROR") -> DataFrame:
     """The rows whose judgement failed."""
-    return df.filter(F.col(f"`{error_column}`") != "")
+    return df.filter(by_name(error_column) != "")
 
 
 def promote(df: DataFrame, error_column: str | None = None) -> DataFrame:
     """Labelled rows that pass review: all of them, or those without an error."""
     if error_column is None:
         return df
-    return df.filter(none_to_empty(F.col(f"`{error_column}`")) == "")
+    return df.filter(none_to_empty(by_name(error_column)) == "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelflow.functions.columns import by_name, quote
 from labelflow.functions.labels import NEGATIVE_LABEL, POSITIVE_LABEL
 from labelflow.operators.paging import page
 
@@ -34,7 +35,7 @@ def binary_metrics(
     A ratio with nothing below the line is 0.  ``loss`` adds the mean of a
     per-row loss column.
     """
-    p, y = F.col(f"`{prediction}`"), F.col(f"`{label}`")
+    p, y = by_name(prediction), by_name(label)
     counts = {
         "support": F.count(F.lit(1)),
         "correct": F.count_if(p == y),
@@ -45,8 +46,8 @@ def binary_metrics(
     }
     aggregates = [value.alias(name) for name, value in counts.items()]
     if loss:
-        aggregates.append(F.coalesce(F.avg(f"`{loss}`"), F.lit(0.0)).alias("loss"))
-    grouped = df.groupBy(f"`{by}`") if by else df.groupBy()
+        aggregates.append(F.coalesce(F.avg(quote(loss)), F.lit(0.0)).alias("loss"))
+    grouped = df.groupBy(quote(by)) if by else df.groupBy()
     sums = grouped.agg(*aggregates)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     sums = (
@@ -57,7 +58,7 @@ def binary_metrics(
     both = F.col("precision") + F.col("recall")
     sums = sums.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), both))
     keep = ([by] if by else []) + list(RATIOS) + list(COUNTS) + (["loss"] if loss else [])
-    return sums.select(*[f"`{name}`" for name in keep])
+    return sums.select(*[quote(name) for name in keep])
 
 
 def metric_support(support: Column, tp: Column, tn: Column, fp: Column, fn: Column) -> Column:
@@ -99,7 +100,7 @@ def assessment(metrics: DataFrame, by: str = "split") -> DataFrame:
 
 def prediction_distribution(df: DataFrame, label_text: str) -> DataFrame:
     """One row: total, positive, negative and other predictions."""
-    text = F.col(f"`{label_text}`")
+    text = by_name(label_text)
     counts = df.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(text == POSITIVE_LABEL).alias("positive"),

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelflow.functions.columns import by_name
 from labelflow.session import MAX_BROADCAST_ROWS, MAX_TASK_ROWS, broadcast_if_small, materialize, measure
 
 KEY = "__key"
@@ -28,7 +29,7 @@ ALL_CUT = "~"
 
 def sort_key(id_col: str, seed: int) -> Column:
     """Sort key of the seeded shuffle; ids must be unique and not NULL."""
-    return F.md5(F.concat(F.col(f"`{id_col}`").cast("string"), F.lit(str(seed))))
+    return F.md5(F.concat(by_name(id_col).cast("string"), F.lit(str(seed))))
 
 
 def prefix(digits: int = DIGITS) -> Column:
@@ -130,7 +131,7 @@ def id_at_rank(df: DataFrame, id_col: str, rank: int, task_rows: int = 65_536) -
     Counts rows per equal-width range of ids, keeps the range that holds the
     rank, and repeats inside it; the driver sees at most ``task_rows`` counts.
     """
-    ids = df.select(F.col(f"`{id_col}`").alias("id")).filter("id is not null")
+    ids = df.select(by_name(id_col).alias("id")).filter("id is not null")
     low, high, total = ids.agg(F.min("id"), F.max("id"), F.count("id")).first()
     if rank < 1 or rank > total:
         return None

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelflow.functions.columns import by_name
 from labelflow.operators.ordering import id_at_rank
 from labelflow.operators.sampling import RECORD_ID
 
@@ -18,19 +19,19 @@ def page(df: DataFrame, offset: int, limit: int, id_col: str = RECORD_ID) -> Dat
     """
     offset, limit = max(0, offset), max(0, limit)
     if not isinstance(df.schema[id_col].dataType, T.IntegralType):
-        return df.orderBy(id_col).offset(offset).limit(limit)
+        return df.orderBy(by_name(id_col)).offset(offset).limit(limit)
     if limit == 0:
         return df.limit(0)
-    inside = F.col(f"`{id_col}`").isNotNull()
+    inside = by_name(id_col).isNotNull()
     if offset:
         first = id_at_rank(df, id_col, offset + 1)
         if first is None:
             return df.limit(0)
-        inside = F.col(f"`{id_col}`") >= first
+        inside = by_name(id_col) >= first
     last = id_at_rank(df, id_col, offset + limit)
     if last is not None:
-        inside = inside & (F.col(f"`{id_col}`") <= last)
-    return df.filter(inside).orderBy(id_col)
+        inside = inside & (by_name(id_col) <= last)
+    return df.filter(inside).orderBy(by_name(id_col))
 
 
 def head(df: DataFrame, limit: int) -> DataFrame:

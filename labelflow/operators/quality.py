@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelflow.functions.columns import by_name, quote
 from labelflow.functions.labels import normalize_label
 from labelflow.functions.text import MISSING_LABEL, fold_missing, is_missing, to_number
 
@@ -13,7 +14,7 @@ from labelflow.functions.text import MISSING_LABEL, fold_missing, is_missing, to
 def _column(df: DataFrame, name: str) -> Column:
     if name not in df.columns:
         raise ValueError(f"no such column: {name}")
-    return F.col(f"`{name}`")
+    return by_name(name)
 
 
 def label_distribution(df: DataFrame, label: str, trim: bool = False) -> DataFrame:
@@ -105,4 +106,4 @@ def row_count(df: DataFrame) -> DataFrame:
 
 def next_record_id(df: DataFrame, id_col: str = "__record_id") -> DataFrame:
     """One row with the id that follows the largest one in use."""
-    return df.agg((F.coalesce(F.max(f"`{id_col}`"), F.lit(0)) + 1).cast("long").alias("next_id"))
+    return df.agg((F.coalesce(F.max(quote(id_col)), F.lit(0)) + 1).cast("long").alias("next_id"))

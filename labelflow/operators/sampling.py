@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelflow.functions.columns import by_name, columns_except
 from labelflow.functions.text import MISSING_STRATUM, fold_missing
 from labelflow.operators import ordering as o
 from labelflow.operators.filters import keyword_filter
@@ -62,7 +63,7 @@ def filtered_sample(
 
 def strata_sizes(df: DataFrame, column: str) -> DataFrame:
     """Rows per stratum, with missing values folded into one stratum."""
-    stratum = fold_missing(F.col(f"`{column}`"), MISSING_STRATUM).alias(STRATUM)
+    stratum = fold_missing(by_name(column), MISSING_STRATUM).alias(STRATUM)
     return df.groupBy(stratum).agg(F.count(F.lit(1)).alias("size"))
 
 
@@ -144,7 +145,7 @@ def stratified_sample(
         raise ValueError("a strata column is needed")
     if column not in df.columns:
         raise ValueError(f"no such column: {column}")
-    stratum = fold_missing(F.col(f"`{column}`"), MISSING_STRATUM)
+    stratum = fold_missing(by_name(column), MISSING_STRATUM)
     keyed = df.withColumn(STRATUM, stratum).withColumn(o.KEY, o.sort_key(id_col, seed))
     keys = keyed.select(STRATUM, o.KEY)
     sizes, seen = o.group_sizes(keys, STRATUM)
@@ -152,10 +153,10 @@ def stratified_sample(
     targets = plan.filter("take < size").select(STRATUM, F.lit(0).alias("cut"), F.col("take").alias("rank"))
     cuts = o.group_cuts(keys, targets, STRATUM, seen, task_rows, max_rank=n).withColumnRenamed(o.KEY, "__cut")
     bounds = plan.join(cuts.drop("cut"), STRATUM, "left")
-    bounds = bounds.select(STRATUM, "size", F.coalesce("__cut", F.lit(o.ALL_CUT)).alias("__cut"))
-    rows = join_groups(keyed, bounds, STRATUM, seen, "size", max_broadcast)
+    bounds = bounds.select(STRATUM, F.col("size").alias("__size"), F.coalesce("__cut", F.lit(o.ALL_CUT)).alias("__cut"))
+    rows = join_groups(keyed, bounds, STRATUM, seen, "__size", max_broadcast)
     return (
         rows.filter(F.col(o.KEY) <= F.col("__cut"))
-        .select(*df.columns)
+        .select(*columns_except(df))
         .withColumn(SOURCE, F.lit("stratified"))
     )

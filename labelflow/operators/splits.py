@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelflow.functions.columns import by_name, columns_except
 from labelflow.functions.text import is_missing, none_to_empty, strip
 from labelflow.operators import ordering as o
 from labelflow.operators.sampling import RECORD_ID
@@ -85,7 +86,7 @@ def assign_splits(
     if rule not in RULES:
         raise ValueError(f"unknown split rule: {rule}")
     trim = rule == "largest_remainder" if trim is None else trim
-    col = F.col(f"`{label}`")
+    col = by_name(label)
     text = strip(none_to_empty(col)) if trim else none_to_empty(col)
     keyed = df.filter(~is_missing(col, trim)).withColumn(LABEL, text)
     keyed = keyed.withColumn(o.KEY, o.sort_key(id_col, seed))
@@ -99,17 +100,17 @@ def assign_splits(
     edge = F.when(F.col("rank") <= 0, o.NONE_CUT).when(F.col("rank") >= F.col("size"), o.ALL_CUT)
     bounds = targets.join(cuts, [LABEL, "cut"], "left").withColumn("__cut", F.coalesce(edge, o.KEY))
     bounds = bounds.groupBy(LABEL).agg(
-        F.max("size").alias("size"),
+        F.max("size").alias("__size"),
         F.max(F.when(F.col("cut") == 0, F.col("__cut"))).alias("__cut_train"),
         F.max(F.when(F.col("cut") == 1, F.col("__cut"))).alias("__cut_val"),
     )
-    rows = join_groups(keyed, bounds, LABEL, seen, "size", max_broadcast)
+    rows = join_groups(keyed, bounds, LABEL, seen, "__size", max_broadcast)
     part = (
         F.when(F.col(o.KEY) <= F.col("__cut_train"), "train")
         .when(F.col(o.KEY) <= F.col("__cut_val"), "val")
         .otherwise("test")
     )
-    return rows.withColumn("split", part).select(*df.columns, "split")
+    return rows.select(*columns_except(df, "split"), part.alias("split"))
 
 
 def split_sizes(splits: DataFrame) -> DataFrame:

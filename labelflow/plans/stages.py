@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelflow.functions.columns import by_name, quote
 from labelflow.functions.text import none_to_empty
 from labelflow.operators.judge import promote
 from labelflow.operators.paging import page
@@ -104,7 +105,7 @@ class StageStore:
             rows = rows.filter(~F.col("_metadata.file_path").contains(f"/part-{without_part}/"))
         # Files written before a column was added have no such column.
         added = {field.name for field in rows.schema.fields if field.metadata.get("added")}
-        filled = [F.coalesce(f"`{c}`", F.lit("")).alias(c) if c in added else F.col(f"`{c}`") for c in rows.columns]
+        filled = [F.coalesce(quote(c), F.lit("")).alias(c) if c in added else by_name(c) for c in rows.columns]
         return rows.select(*filled) if added else rows
 
     def _schema(self, table: str) -> T.StructType:
@@ -272,7 +273,7 @@ class StageStore:
             ]
             if added:
                 self._store_schema(self._current("raw"), T.StructType(known.fields + added))
-            rows = imported.rows.select(*[f"`{name}`" for name in self._schema("raw").names])
+            rows = imported.rows.select(*[quote(name) for name in self._schema("raw").names])
         else:
             rows = imported.rows
         count = self.append("raw", rows, part=part)
@@ -302,7 +303,7 @@ class StageStore:
 
 def _as_text(df: DataFrame) -> DataFrame:
     """Every column as text with NULL as empty text; the record id stays a number."""
-    return df.select(*[F.col(f"`{c}`") if c == RECORD_ID else none_to_empty(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return df.select(*[by_name(c) if c == RECORD_ID else none_to_empty(by_name(c)).alias(c) for c in df.columns])
 
 
 def union_records(*tables: DataFrame) -> DataFrame:

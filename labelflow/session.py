@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelflow.functions.columns import by_name
+
 # Rows of a helper table (a key and a few numbers) that every executor may hold,
 # and the bytes its keys may take per row: about 100 MB of keys in all.
 MAX_BROADCAST_ROWS = 1_000_000
@@ -74,7 +76,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if len(df.inputFiles()) >= cores:
         return df
-    return df.repartition(cores, F.col(f"`{key}`"))
+    return df.repartition(cores, by_name(key))
 
 
 def is_small(seen: dict, limit: int) -> bool:

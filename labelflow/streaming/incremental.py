@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelflow.functions.columns import by_name
 from labelflow.operators.sampling import RECORD_ID
 from labelflow.plans.stages import StageStore
 from labelflow.sources.files import literal_path
@@ -55,7 +56,7 @@ def resume_scoring(
         return 0
     width, scored = -(-(high - low + 1) // slices), 0
     for start in range(low, high + 1, width):
-        inside = F.col(f"`{id_col}`").between(start, start + width - 1)
+        inside = by_name(id_col).between(start, start + width - 1)
         scored += _score_missing(store, rows.filter(inside), scorer, id_col, inside)
     return scored
 

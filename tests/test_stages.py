@@ -1,11 +1,16 @@
+import sys
+
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from labelflow.operators import sampling, splits
+from labelflow.operators import judge, quality, sampling, splits
 from labelflow.plans import stages
 from labelflow.plans.stages import StageStore
 from labelflow.sources import imports
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @pytest.fixture()
 def store(spark, tmp_path):
@@ -144,3 +149,26 @@ def test_union_records(spark):
     a, b = spark.createDataFrame([(1, 2)], "x int, y int"), spark.createDataFrame([(3, 4)], "z int, x int")
     assert stages.union_records(a, b).columns == ["x", "y", "z"]
     assert {tuple(r) for r in stages.union_records(a, b).collect()} == {(1, 2, None), (4, None, 3)}
+
+
+def test_odd_column_names_go_through_the_whole_flow(spark, store, tmp_path):
+    path = tmp_path / "odd.csv"
+    path.write_text('a.b,"x`y, (z)",size,split,rank\n' + "".join(f"g{i % 2},text {i},{i},s,r\n" for i in range(20)))
+    store.add_import(imports.import_files(imports.csv_source(spark, [str(path)])))
+    names = ["a.b", "x`y, (z)", "size", "split", "rank"]
+    assert store.read("raw").columns == ["__record_id", "__batch_id", "__source_file", *names]
+    store.write_sample(sampling.stratified_sample(store.read("raw"), "a.b", 10))
+    assert store.read("sampled").columns[3:-1] == names
+    parts = splits.assign_splits(store.read("sampled"), "a.b")
+    assert parts.columns == [*[c for c in store.read("sampled").columns if c != "split"], "split"]
+    scorer = lambda texts: ['{"is_target": true}' for _ in texts]
+    config = judge.JudgeConfig(text_column="x`y, (z)", raw_column="raw.json")
+    judged = judge.judge(judge.judge(store.read("sampled"), scorer, config), scorer, config)
+    store.write_labels(judged)
+    assert store.promote("LLM_ERROR") == 10
+    assert store.read("reviewed").columns == [*store.read("sampled").columns, "LLM判定", "LLM理由", "raw.json", "LLM_ERROR"]
+    assert quality.label_distribution(store.read("reviewed"), "a.b").count() == 2
+    assert store.preview("reviewed", 3, 2).count() == 3
+    assert sampling.filtered_sample(store.read("raw"), ["x`y, (z)"], ["text 1"], 50).count() == 11
+    stages.export_csv(store.read("reviewed"), str(tmp_path / "out"))
+    assert sum(len(f.read_text().splitlines()) - 1 for f in (tmp_path / "out").glob("part-*.csv")) == 10
