@@ -199,7 +199,8 @@ def save_result(result: TrainResult, path: str) -> None:
     evaluate(saved, by="split").coalesce(1).write.mode("overwrite").parquet(f"{path}/metrics")
     record = {"config": asdict(result.config), "candidates": result.candidates}
     stamp = datetime.now(timezone.utc).isoformat()
-    row = spark.range(1).select(F.lit(stamp).alias("created_at"), F.lit(json.dumps(record, ensure_ascii=False)).alias("record"))
+    text = json.dumps(record, ensure_ascii=False)
+    row = spark.range(1).select(F.lit(stamp).alias("created_at"), F.lit(text).alias("record"))
     row.coalesce(1).write.mode("overwrite").parquet(f"{path}/run")
 
 

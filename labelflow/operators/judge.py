@@ -226,10 +226,9 @@ def ask(scorer: Scorer, text: Column) -> Column:
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sent = texts.dropna()
-            answers = pd.DataFrame(None, index=texts.index, columns=["reply", "error"], dtype=object)
-            if len(sent):
-                answers.loc[sent.index] = pd.DataFrame(_ask(scorer, sent.tolist()), index=sent.index, columns=answers.columns, dtype=object)
-            yield answers
+            answers = _ask(scorer, sent.tolist()) if len(sent) else []
+            frame = pd.DataFrame(answers, index=sent.index, columns=["reply", "error"], dtype=object)
+            yield frame.reindex(texts.index)
 
     return call.asNondeterministic()(text)
 

@@ -54,13 +54,14 @@ def cohen_kappa(df: DataFrame, first: str, second: str, drop_missing: bool = Fal
         pairs = pairs.filter("a <> '' and b <> ''")
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     none = F.lit(0).cast("long")
-    as_first = F.struct(F.col("a").alias("label"), F.col("n").alias("n_a"), none.alias("n_b"))
-    as_second = F.struct(F.col("b").alias("label"), none.alias("n_a"), F.col("n").alias("n_b"))
     same = F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)
-    sides = pairs.select(
-        F.explode(F.array(F.struct(as_first.alias("s"), same.alias("same")), F.struct(as_second.alias("s"), none.alias("same")))).alias("e")
-    ).select("e.s.label", "e.s.n_a", "e.s.n_b", "e.same")
-    marginals = sides.groupBy("label").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.sum("same").alias("same"))
+
+    def side(label: str, n_a: Column, n_b: Column, same: Column) -> Column:
+        return F.struct(F.col(label).alias("label"), n_a.alias("n_a"), n_b.alias("n_b"), same.alias("same"))
+
+    n = F.col("n")
+    sides = pairs.select(F.inline(F.array(side("a", n, none, same), side("b", none, n, none))))
+    marginals = sides.groupBy("label").agg(*[F.sum(name).alias(name) for name in ("n_a", "n_b", "same")])
     total = F.sum("n_a")
     chance = F.sum(F.col("n_a").cast("double") * F.col("n_b").cast("double"))
     sums = marginals.agg(total.alias("n"), F.sum("same").alias("same"), chance.alias("chance"))
@@ -89,14 +90,18 @@ def quality_summary(
     by_label = reduced.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.count_if("low").alias("low"))
     shown = fold_missing(F.col("label"), MISSING_LABEL)
     missing = F.when(F.col("label") == "", F.col("rows")).otherwise(0)
-    items = [("label_distribution", shown, F.col("rows")), ("total", None, F.col("rows")), ("missing_label_count", None, missing)]
+
+    def entry(item: str, rows: Column, label: Column = F.lit(None)) -> Column:
+        return F.struct(F.lit(item).alias("item"), label.cast("string").alias("label"), rows.cast("long").alias("rows"))
+
+    entries = [
+        entry("label_distribution", F.col("rows"), shown),
+        entry("total", F.col("rows")),
+        entry("missing_label_count", missing),
+    ]
     if confidence_column:
-        items.append(("low_confidence_count", None, F.col("low")))
-    entries = F.array(*[
-        F.struct(F.lit(item).alias("item"), (F.lit(None) if text is None else text).cast("string").alias("label"), rows.cast("long").alias("rows"))
-        for item, text, rows in items
-    ])
-    parts = by_label.select(F.explode(entries).alias("e")).select("e.*")
+        entries.append(entry("low_confidence_count", F.col("low")))
+    parts = by_label.select(F.inline(F.array(*entries)))
     return parts.groupBy("item", "label").agg(F.sum("rows").alias("rows"))
 
 

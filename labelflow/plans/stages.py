@@ -142,7 +142,8 @@ class StageStore:
         """``(stage, rows)``; 0 for a stage that does not exist."""
         parts = []
         for i, stage in enumerate(STAGES):
-            rows = self.read(stage).agg(F.count(F.lit(1)).alias("rows")) if self.exists(stage) else self.spark.range(1).select(F.lit(0).cast("long").alias("rows"))
+            rows = self.read(stage) if self.exists(stage) else self.spark.range(0)
+            rows = rows.agg(F.count(F.lit(1)).alias("rows"))
             parts.append(rows.select(F.lit(i).alias("position"), F.lit(stage).alias("stage"), "rows"))
         table = parts[0]
         for part in parts[1:]:
@@ -294,10 +295,8 @@ class StageStore:
     def dataset_stats(self) -> DataFrame:
         """One row: row_count, column_count, raw_data_ready."""
         columns = F.lit(len(self.columns())).cast("long").alias("column_count")
-        if self.exists("raw"):
-            rows = self.read("raw").agg(F.count(F.lit(1)).alias("row_count"))
-        else:
-            rows = self.spark.range(1).select(F.lit(0).cast("long").alias("row_count"))
+        rows = self.read("raw") if self.exists("raw") else self.spark.range(0)
+        rows = rows.agg(F.count(F.lit(1)).alias("row_count"))
         return rows.select("row_count", columns, (F.col("row_count") > 0).alias("raw_data_ready"))
 
 

@@ -48,8 +48,9 @@ def profiles(spark: SparkSession, paths: list[str], multi_line: bool | None = No
     if not unsafe:
         return heads
     records = _scan(spark, unsafe, "c0 string", True).groupBy(_path()).agg(F.count(F.lit(1)).alias("records"))
-    counted = heads.join(records, "file_path", "left")
-    counted = counted.withColumn("row_count", F.when(F.col("line_safe"), F.col("row_count")).otherwise(F.coalesce("records", F.lit(0))))
+    counted = heads.join(records, "file_path", "left").fillna(0, ["records"])
+    rows = F.when(F.col("line_safe"), F.col("row_count")).otherwise(F.col("records"))
+    counted = counted.withColumn("row_count", rows)
     return materialize(counted.drop("records"), "heads")
 
 

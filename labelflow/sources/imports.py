@@ -171,9 +171,9 @@ def _reject(files: DataFrame, options: ImportOptions) -> None:
         bad = bad | (F.size("missing_columns") > 0)
     if not options.allow_extra_columns:
         bad = bad | (F.size("extra_columns") > 0)
-    names = [row["file_name"] for row in files.filter(bad).orderBy("file_no").select("file_name").limit(NAMES_IN_ERROR).collect()]
-    if names:
-        raise ValueError(f"headers do not fit: {', '.join(names)}")
+    first = files.filter(bad).orderBy("file_no").select("file_name").limit(NAMES_IN_ERROR).collect()
+    if first:
+        raise ValueError(f"headers do not fit: {', '.join(row['file_name'] for row in first)}")
 
 
 def _added_columns(files: DataFrame) -> list[str]:
@@ -189,9 +189,8 @@ def _number(rows: DataFrame, files: DataFrame, blocks: DataFrame, start: int) ->
     by_block = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before_file = files.select("file_path", F.coalesce(F.sum("records").over(by_file), F.lit(0)).alias("before_file"))
     offsets = blocks.withColumn("before_block", F.coalesce(F.sum("records").over(by_block), F.lit(0)))
-    offsets = offsets.join(before_file, "file_path").select(
-        "file_path", "block", (F.lit(start) + F.col("before_file") + F.col("before_block") - F.col("first_seq")).alias("shift")
-    )
+    shift = F.lit(start) + F.col("before_file") + F.col("before_block") - F.col("first_seq")
+    offsets = offsets.join(before_file, "file_path").select("file_path", "block", shift.alias("shift"))
     offsets, seen = measure(offsets, "offsets", bytes=F.sum(F.octet_length("file_path")))
     numbered = rows.join(broadcast_if_small(offsets, seen), ["file_path", "block"])
     return numbered.withColumn("__record_id", F.col("shift") + F.col("seq"))
