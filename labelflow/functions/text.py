@@ -56,7 +56,13 @@ def to_number(col: Column) -> Column:
 def format_ratio(col: Column) -> Column:
     """Four decimals, or a dash when the value is not a number."""
     number = to_number(col)
-    return F.when(number.isNull(), NO_RATIO).otherwise(F.format_string("%.4f", number))
+    sign = F.when(number < 0, "-").otherwise("")
+    return (
+        F.when(number.isNull(), NO_RATIO)
+        .when(F.isnan(number), "nan")
+        .when(F.abs(number) == float("inf"), F.concat(sign, F.lit("inf")))
+        .otherwise(F.format_string("%.4f", number))
+    )
 
 
 def parse_keywords(col: Column) -> Column:

@@ -234,9 +234,9 @@ def ask(scorer: Scorer, text: Column) -> Column:
 
 
 def _with_tasks(df: DataFrame, id_column: str, concurrency: int | None) -> DataFrame:
-    if concurrency is not None:
-        return df.repartition(concurrency, by_name(id_column))
-    return spread(df, id_column)
+    if id_column not in df.columns:
+        return df if concurrency is None else df.repartition(concurrency)
+    return spread(df, id_column) if concurrency is None else df.repartition(concurrency, by_name(id_column))
 
 
 def _judged(df: DataFrame, scorer: Scorer, text: Column) -> DataFrame:

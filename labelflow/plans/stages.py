@@ -313,12 +313,23 @@ def union_records(*tables: DataFrame) -> DataFrame:
     return result
 
 
+def _marked(df: DataFrame) -> DataFrame:
+    """Put a byte order mark before the header, so that spreadsheets read UTF-8.
+
+    A first name that has to be quoted stays as it is: the mark would be inside.
+    """
+    first, *others = df.columns
+    if any(character in first for character in ',"\r\n'):
+        return df
+    return df.select(by_name(first).alias("\ufeff" + first), *[quote(name) for name in others])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV files with a header, quotes doubled inside quoted cells."""
-    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+    _marked(df).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def export_csv(df: DataFrame, path: str, sheet_rows: int = SHEET_ROWS) -> None:
     """CSV files no longer than a spreadsheet sheet, header included, NULL as empty."""
-    writer = _as_text(df).write.mode("overwrite").option("maxRecordsPerFile", sheet_rows - 1)
+    writer = _marked(_as_text(df)).write.mode("overwrite").option("maxRecordsPerFile", sheet_rows - 1)
     writer.options(**CSV_OPTIONS).csv(path)

@@ -19,6 +19,9 @@ LEDGER = (
 )
 SYSTEM_COLUMNS = ["__record_id", "__batch_id", "__source_file"]
 NAMES_IN_ERROR = 20
+# The file types that can be read.
+CSV_SUFFIX = ".csv"
+WORKBOOK_SUFFIXES = (".xlsx", ".xlsm", ".xltx", ".xltm")
 
 
 @dataclass(frozen=True)
@@ -86,6 +89,26 @@ def workbook_content_source(workbooks: DataFrame, paths: list[str]) -> Source:
     return Source(workbook.profiles(rows), workbook.cells(rows), paths, written=True)
 
 
+def open_source(spark: SparkSession, paths: list[str]) -> Source:
+    """CSV files and workbooks by their suffix, in the order given."""
+    books = [path.lower().endswith(WORKBOOK_SUFFIXES) for path in paths]
+    for path, is_book in zip(paths, books):
+        if not is_book and not path.lower().endswith(CSV_SUFFIX):
+            raise ValueError(f"neither a CSV file nor a workbook: {path}")
+    if all(books) and paths:
+        return workbook_source(spark, paths)
+    if not any(books):
+        return csv_source(spark, paths)
+    profiles, cells = [], []
+    for wanted, open_one in ((False, csv_source), (True, workbook_source)):
+        places = [i for i, is_book in enumerate(books) if is_book == wanted]
+        part = open_one(spark, [paths[i] for i in places])
+        numbers = F.array(*[F.lit(i).cast("long") for i in places])
+        profiles.append(part.profiles.drop("line_safe").withColumn("file_no", F.get(numbers, F.col("file_no").cast("int"))))
+        cells.append(part.cells if part.written else materialize(part.cells, "cells"))
+    return Source(profiles[0].unionByName(profiles[1]), cells[0].unionByName(cells[1]), paths, written=True)
+
+
 def _classified(source: Source, reference: list[str] | None) -> Preflight:
     files = source.profiles.withColumn("positions", h.normalize_headers(F.col("cells")))
     files = files.withColumn("headers", h.named(F.col("positions")))

@@ -40,7 +40,8 @@ def test_names_and_ratios(spark):
     assert column(spark, ['a/b\\c:d*e?f"g<h>i|j'], tx.safe_file_name) == ["a_b_c_d_e_f_g_h_i_j"]
     assert column(spark, ["[t]:*?/\\" + "x" * 40, ""], tx.safe_sheet_title) == ["_t______" [:8] + "x" * 23, "sheet1"]
     assert column(spark, ["x" * 40], lambda c: tx.safe_sheet_title(c, 12)) == ["x" * 28 + "_12"]
-    assert column(spark, ["0.5", "n/a", None], tx.format_ratio) == ["0.5000", "-", "-"]
+    ratios = column(spark, ["0.5", "n/a", None, "NaN", "-inf", "1e400"], tx.format_ratio)
+    assert ratios == ["0.5000", "-", "-", "nan", "-inf", "inf"]
 
 
 def test_user_prompt(spark):

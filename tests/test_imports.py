@@ -186,6 +186,20 @@ def test_files_keep_the_order_given(spark, tmp_path):
     assert [r["file_path"].rsplit("/", 1)[1] for r in listed] == ["z.csv", "x.csv", "y.csv", "b.csv"]
 
 
+def test_files_by_suffix(spark, tmp_path):
+    paths = [
+        write(tmp_path, "a.csv", "x,y\n1,2\n"),
+        book(tmp_path, "b.XLSX", [["y", "x"], [4, 3]]),
+        write(tmp_path, "c.csv", "x,y\n5,6\n"),
+    ]
+    imported = imports.import_files(imports.open_source(spark, paths))
+    assert rows(imported.rows) == [(1, "a.csv", "1", "2"), (2, "b.XLSX", "3", "4"), (3, "c.csv", "5", "6")]
+    assert rows(imports.import_files(imports.open_source(spark, paths[1:2])).rows) == [(1, "b.XLSX", "4", "3")]
+    assert imports.import_files(imports.open_source(spark, paths[:1])).rows.count() == 1
+    with pytest.raises(ValueError, match="notes.txt"):
+        imports.open_source(spark, ["notes.txt"])
+
+
 def test_no_files(spark):
     source = imports.csv_source(spark, [])
     assert imports.preflight(source).summary().first().asDict() == {"files": 0, "total_rows": 0, "can_import_strict": False}

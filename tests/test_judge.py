@@ -119,6 +119,7 @@ def test_structured_judge(df):
     assert rows["fenced"]["is_target"] == "true" and rows["fenced"]["level"] == "" and rows["fenced"]["LLM_ERROR"] == ""
     assert json.loads(rows["fenced"]["LLM_JSON"]) == {"is_target": True, "level": None}
     assert rows["boom"]["is_target"] == rows["boom"]["LLM_JSON"] == "" and rows["boom"]["LLM_ERROR"] == "service down"
+    assert judge.structured_judge(df.select("text").limit(1), scorer, spec, "text", concurrency=2).count() == 1
     typed = by_text(judge.structured_judge(df.filter("id < 8"), scorer, spec, "text", id_column="id", typed=True, concurrency=3))
     assert typed["fenced"]["is_target"] is True and typed["fenced"]["level"] is None
 

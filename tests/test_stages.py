@@ -138,7 +138,7 @@ def test_csv_output(spark, tmp_path):
     df = spark.createDataFrame([(i, None if i % 2 else f'q"{i},\n') for i in range(25)], "id long, v string").coalesce(1)
     stages.export_csv(df, str(tmp_path / "out"), sheet_rows=11)
     files = sorted((tmp_path / "out").glob("part-*.csv"))
-    assert len(files) == 3 and all(f.read_text().startswith("id,v\n") for f in files)
+    assert len(files) == 3 and all(f.read_text("utf-8").startswith("\ufeffid,v\n") for f in files)
     assert '0,"q""0,\n"\n1,\n' in files[0].read_text()
     stages.write_csv(df, str(tmp_path / "plain"))
     imported = imports.import_files(imports.csv_source(spark, [str(tmp_path / "plain")]))
