@@ -5,6 +5,8 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,10 +37,11 @@ def profiles(spark: SparkSession, paths: list[str], multi_line: bool | None = No
     if multi_line is not None:
         return materialize(heads.withColumn("line_safe", F.lit(not multi_line)), "heads")
     line = F.col("value")
-    odd = (F.length(line) - F.length(F.replace(line, F.lit('"')))) % 2 == 1
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"')))
+    odd = F.when(line.contains('"'), quotes % 2 == 1).otherwise((F.ltrim(line) == "") & (line != ""))
     lines = spark.read.text(paths).select(
         _path(),
-        (odd | line.rlike(r"^\s+$")).alias("odd"),
+        odd.alias("odd"),
         (line != "").alias("filled"),
     )
     counted = lines.groupBy("file_path").agg((~F.max("odd")).alias("line_safe"), F.count_if("filled").alias("lines"))
@@ -90,7 +93,7 @@ def _read_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def cells(spark: SparkSession, heads: DataFrame) -> DataFrame:
-    """All records of the profiled files as ``(file_path, block, seq, cells)``.
+    """All records of the profiled files as ``(file_path, block, seq, c0, c1, ...)``.
 
     Cells are read by position with one schema as wide as the widest header, so
     files with any mix of headers need one scan.
@@ -102,16 +105,18 @@ def cells(spark: SparkSession, heads: DataFrame) -> DataFrame:
         columns = [f"c{i}" for i in range(max(1, width))]
         schema = ", ".join(f"{name} string" for name in columns)
         table = _scan(spark, paths, schema, not line_safe).select(
-            _path(),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.array(*[F.coalesce(name, F.lit("")) for name in columns]).alias("cells"),
+            _path(), F.col("_metadata.file_block_start").alias("block"), *columns
         )
         # Blank records go first: the sequence numbers must have no gaps.
-        kept = table.filter(F.exists("cells", lambda cell: cell != ""))
-        seq = F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS))
-        tables.append(kept.withColumn("seq", seq).select("file_path", "block", "seq", "cells"))
+        kept = table.filter(reduce(or_, [F.coalesce(name, F.lit("")) != "" for name in columns]))
+        seq = F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS)).alias("seq")
+        tables.append(kept.select("file_path", "block", seq, *columns))
     if not tables:
-        return spark.createDataFrame([], "file_path string, block long, seq long, cells array<string>")
-    return tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
+        return spark.createDataFrame([], "file_path string, block long, seq long, c0 string")
+    return tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1], allowMissingColumns=True)
 
 
+def cells_as_array(records: DataFrame) -> DataFrame:
+    """The same records with their cells as one array."""
+    columns = records.columns[3:]
+    return records.select("file_path", "block", "seq", F.array(*columns).alias("cells"))

@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelflow.session import broadcast_if_small, join_groups, materialize, measure
+from labelflow.session import broadcast_if_small, materialize, measure
 from labelflow.sources import csv_files, headers as h, workbook
 from labelflow.sources.files import file_hashes, file_name
 
@@ -105,7 +105,7 @@ def open_source(spark: SparkSession, paths: list[str]) -> Source:
         part = open_one(spark, [paths[i] for i in places])
         numbers = F.array(*[F.lit(i).cast("long") for i in places])
         profiles.append(part.profiles.drop("line_safe").withColumn("file_no", F.get(numbers, F.col("file_no").cast("int"))))
-        cells.append(part.cells if part.written else materialize(part.cells, "cells"))
+        cells.append(part.cells if part.written else csv_files.cells_as_array(materialize(part.cells, "cells")))
     return Source(profiles[0].unionByName(profiles[1]), cells[0].unionByName(cells[1]), paths, written=True)
 
 
@@ -179,13 +179,23 @@ def import_files(
         "header_hash",
         places.alias("places"),
     )
-    files, seen = measure(files, "files", bytes=F.sum(F.octet_length("file_path") + 4 * F.size("places")))
-    placed = files.select("file_path", "__source_file", "__batch_id", "places", "records")
-    rows = _number(join_groups(cells, placed, "file_path", seen, "records"), files, blocks, start)
-    values = [
-        F.coalesce(F.get("cells", F.get("places", F.lit(i)) - 1), F.lit("")).alias(name) for i, name in enumerate(columns)
-    ]
-    return Imported(rows.select(*SYSTEM_COLUMNS, *values), _ledger(files, source, options), columns)
+    files = materialize(files, "files")
+    # Blocks are of even size, so a join on them has no heavy keys.
+    offsets, seen = _offsets(files, blocks, start)
+    layouts = [row["places"] for row in files.select("places").distinct().limit(2).collect()]
+    if len(layouts) == 1 and "cells" not in cells.columns:
+        values = [F.coalesce(f"c{i - 1}", F.lit("")) if i else F.lit("") for i in layouts[0]]
+    else:
+        cells = cells if "cells" in cells.columns else csv_files.cells_as_array(cells)
+        values = [F.coalesce(F.get("cells", F.get("places", F.lit(i)) - 1), F.lit("")) for i in range(len(columns))]
+    rows = cells.join(broadcast_if_small(offsets, seen), ["file_path", "block"])
+    rows = rows.select(
+        (F.col("shift") + F.col("seq")).alias("__record_id"),
+        "__batch_id",
+        "__source_file",
+        *[value.alias(name) for value, name in zip(values, columns)],
+    )
+    return Imported(rows, _ledger(files, source, options), columns)
 
 
 def _reject(files: DataFrame, options: ImportOptions) -> None:
@@ -206,17 +216,17 @@ def _added_columns(files: DataFrame) -> list[str]:
     return [row["name"] for row in firsts.orderBy("at").collect()]
 
 
-def _number(rows: DataFrame, files: DataFrame, blocks: DataFrame, start: int) -> DataFrame:
-    """Dense ids: rows before the file, before the block, and before the row."""
+def _offsets(files: DataFrame, blocks: DataFrame, start: int) -> tuple[DataFrame, dict]:
+    """Per block what its rows need: the shift from sequence number to id, and its file's columns."""
     by_file = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     by_block = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before_file = files.select("file_path", F.coalesce(F.sum("records").over(by_file), F.lit(0)).alias("before_file"))
-    offsets = blocks.withColumn("before_block", F.coalesce(F.sum("records").over(by_block), F.lit(0)))
+    before_file = files.withColumn("before_file", F.coalesce(F.sum("records").over(by_file), F.lit(0)))
+    before_block = blocks.withColumn("before_block", F.coalesce(F.sum("records").over(by_block), F.lit(0)))
     shift = F.lit(start) + F.col("before_file") + F.col("before_block") - F.col("first_seq")
-    offsets = offsets.join(before_file, "file_path").select("file_path", "block", shift.alias("shift"))
-    offsets, seen = measure(offsets, "offsets", bytes=F.sum(F.octet_length("file_path")))
-    numbered = rows.join(broadcast_if_small(offsets, seen), ["file_path", "block"])
-    return numbered.withColumn("__record_id", F.col("shift") + F.col("seq"))
+    offsets = before_block.drop("records").join(before_file, "file_path")
+    offsets = offsets.select("file_path", "block", shift.alias("shift"), "__batch_id", "__source_file", "places")
+    texts = F.octet_length("file_path") + F.octet_length("__source_file") + 4 * F.size("places")
+    return measure(offsets, "offsets", bytes=F.sum(texts))
 
 
 def _ledger(files: DataFrame, source: Source, options: ImportOptions) -> DataFrame:

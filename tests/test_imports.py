@@ -126,8 +126,6 @@ def test_dense_ids_over_split_files(spark, tmp_path):
 
 def test_hot_file_beyond_the_broadcast_bound(spark, tmp_path, monkeypatch):
     paths = [write(tmp_path, f"{k}.csv", "a\n" + "v\n" * (50 if k == 3 else 2)) for k in range(6)]
-    monkeypatch.setattr("labelflow.session.HEAVY_KEYS", 1)
-    monkeypatch.setattr("labelflow.session.join_groups.__defaults__", (2,))
     monkeypatch.setattr("labelflow.session.broadcast_if_small.__defaults__", (2,))
     imported = imports.import_files(imports.csv_source(spark, paths))
     assert [r[0] for r in rows(imported.rows)] == list(range(1, 61))
