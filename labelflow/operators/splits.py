@@ -77,8 +77,8 @@ def assign_splits(
     ``rule="floor"`` cuts each label's shuffle at the rounded-down ratios, so
     small labels lean to the test part; ``"largest_remainder"`` keeps every
     part filled.  ``trim`` also treats white space as no label (the default for
-    the second rule).  Wide rows are not shuffled: each label has two cut keys,
-    and a row compares its own key with them.
+    the second rule).  Each label has two cut keys and a row compares its own
+    key with them, so wide rows are not shuffled while the labels fit a broadcast.
     """
     validate_ratios(train, val, test)
     if label not in df.columns:
