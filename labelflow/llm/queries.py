@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from labelflow import session
-from labelflow.llm import quality_rules, secret_scan, url_filters, warc
+from labelflow.llm import embedding_dedup, language_id, mixing, ngram_join, packing, quality_rules, secret_scan, toxicity, url_filters, warc
 
 SITE_RULES = [
     url_filters.Rule("net/", "site", "block"),
@@ -29,6 +30,12 @@ PATTERN_RULES = [
     url_filters.Rule("/health/adult/", "pattern", "allow"),
 ]
 
+TOXICITY = [
+    toxicity.Category("low_quality", "quality = 0"),
+    toxicity.Category("toxic", "toxic = 1"),
+    toxicity.Category("toxic_low_quality", "toxic = 1 and quality = 0"),
+]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,6 +45,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = session.scratch_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), archives)
@@ -45,6 +56,24 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(index, payloads=False).drop("payload", "url")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"), TOXICITY, "toxic")
+    return toxicity.score(docs.select("doc_id", "text"), chain).drop("text")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "pages"), language_id.train(table(spark, sf_dir, "documents")))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.tokens(F.col("text")).alias("n_tokens"))
+    counted = session.materialize(docs, "counted")
+    target = mixing.Target()
+    mixed = mixing.realise(counted, mixing.plan(counted, target), target)
+    return mixed.select("doc_id", "source", "n_tokens", F.col("__mix.__copy").alias("copy"), F.col("__mix.turn").alias("turn"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = url_filters.rules_table(spark, SITE_RULES + PATTERN_RULES)
     return url_filters.judge(table(spark, sf_dir, "pages"), rules)
@@ -55,6 +84,25 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(versions, session.scratch_path(spark, "ledger")))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.cluster(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    functions = [op1_quality_rules, op3_warc, op7_url_filters, op8_secret_scan]
+    functions = [
+        op1_quality_rules,
+        op2_embedding_dedup,
+        op3_warc,
+        op4_toxicity,
+        op5_language_id,
+        op6_mixing,
+        op7_url_filters,
+        op8_secret_scan,
+        op9_packing,
+        op10_ngram_join,
+    ]
     return {f.__name__: f for f in functions}

@@ -124,7 +124,8 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> D
     update_ledger(versions, ledger, rules)
     paths = versions.select("path", blob_id(F.col("text")).alias("blob"))
     spans = F.coalesce("spans", F.array().cast("array<struct<start:int,rank:int,stop:int,kind:string>>"))
-    return paths.join(blob_findings(versions.sparkSession, ledger, rules), "blob", "left").select("path", "blob", spans.alias("spans"))
+    found = session.materialize(blob_findings(versions.sparkSession, ledger, rules), "findings")
+    return paths.join(found, "blob", "left").select("path", "blob", spans.alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:

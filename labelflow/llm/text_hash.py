@@ -28,6 +28,9 @@ FOLDED_VALUES = BYTE_VALUES.copy()
 FOLDED_VALUES[ord("A") : ord("Z") + 1] = BYTE_VALUES[ord("a") : ord("z") + 1]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# ASCII letters and digits, and all bytes of other characters.
+IS_LETTER = np.zeros(256, bool)
+IS_LETTER[[b for b in range(256) if b >= 128 or chr(b).isalnum()]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
