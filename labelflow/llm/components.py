@@ -2,8 +2,9 @@
 
 Each round points nodes at smaller neighbours (large star, then small star) and is
 written to the scratch folder, so lineage stays short and lost executors cost one
-round.  Minima are combined before the shuffle and written, so the join that
-follows shuffles plain tables on both sides and Spark can split a hub's links.
+round.  Minima are combined before the shuffle and written.  They then meet the
+links by broadcast while their measured size allows it, and else in a shuffle join of
+two plain tables, in which Spark can split a hub's links.
 """
 
 from __future__ import annotations
@@ -14,23 +15,27 @@ from pyspark.sql import functions as F
 from labelflow import session
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """``edges`` hold u > v; all smaller neighbours of u, and u, point at the smallest."""
-    least = session.materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
-    moved = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``edges`` with the smallest neighbour of ``u`` as ``m``."""
+    least, seen = session.measure(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    return edges.join(session.broadcast_if_small(least, seen), "u")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """All larger neighbours of u point at the smallest of u and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = session.materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """``edges`` hold u > v; all smaller neighbours of u, and u, point at the smallest."""
+    moved = F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u"))
+    return _with_least(edges).select(moved.alias("u"), F.col("m").alias("v"))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node that has a link to another; component is the smallest node reachable."""
-    edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     edges, state = _written(edges)
     while state["rows"]:
         following, reached = _written(_small_star(_large_star(edges)))
@@ -42,4 +47,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
-    return session.measure(edges, "edges", sum=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    return session.measure(edges.distinct(), "edges", sum=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))

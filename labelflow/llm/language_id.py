@@ -132,21 +132,21 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
     sums = lambda prefix: [F.sum(c).alias(f"{prefix}{k}") for k, c in enumerate(f)]
     # Declared languages are at most the known ones and none: a table of bounded size.
     markup = first.groupBy(F.col("declared").alias("said")).agg(*sums("m"))
-    total = first.agg(*sums("g"))
-    together = session.materialize(markup.join(F.broadcast(total)), "markup")
+    markup = session.materialize(markup, "markup")
+    total = markup.agg(*[F.sum(f"m{k}") for k in range(count)]).first()
+    everywhere = [F.lit(x or 0.0) for x in total]
     for level in ("suffix", "domain", "host"):
         grouped, seen = session.measure(first.groupBy(level).agg(*sums(level[0])), level, bytes=F.sum(F.octet_length(level)))
         first = first.join(session.broadcast_if_small(grouped, seen), level)
-    first = first.join(F.broadcast(together), F.col("declared") == F.col("said"))
+    first = first.join(F.broadcast(markup), F.col("declared") == F.col("said"))
 
     own = [F.col(c) for c in f]
-    prior = [(F.col(f"g{k}") - own[k] + 1.0) for k in range(count)]
-    prior = _shares(prior)
+    prior = _shares([everywhere[k] - own[k] + 1.0 for k in range(count)])
     for level in ("s", "d", "h"):
         prior = _shares([F.greatest(F.col(f"{level}{k}") - own[k], F.lit(0.0)) + STRENGTH * prior[k] for k in range(count)])
         first = first.withColumns({f"prior_{level}{k}": p for k, p in enumerate(prior)})
         prior = [F.col(f"prior_{level}{k}") for k in range(count)]
-    said = [(F.greatest(F.col(f"m{k}") - own[k], F.lit(0.0)) + SMOOTHING) / (F.greatest(F.col(f"g{k}") - own[k], F.lit(0.0)) + SMOOTHING * (count + 1)) for k in range(count)]
+    said = [(F.greatest(F.col(f"m{k}") - own[k], F.lit(0.0)) + SMOOTHING) / (F.greatest(everywhere[k] - own[k], F.lit(0.0)) + SMOOTHING * (count + 1)) for k in range(count)]
     fused = first.select("page_id", "declared", *f, *_softmax([F.col(t[k]) + F.log(said[k]) + F.log(prior[k]) for k in range(count)], _columns(model, "p")))
     languages = F.array(*[F.lit(x) for x in model.languages])
     best = lambda names: F.element_at(languages, F.array_position(F.array(*names), F.array_max(F.array(*names))).cast("int"))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from labelflow import session
+from labelflow.functions.columns import by_name
 
 SECTIONS = 32
 LEVELS = 5
@@ -90,7 +91,7 @@ def plan(docs: DataFrame, target: Target, source_col: str = "source") -> DataFra
 
     ``docs`` has ``source_col``, ``doc_id`` and ``n_tokens``.
     """
-    rows = docs.select(F.col(source_col).alias("source"), "doc_id", "n_tokens")
+    rows = docs.select(by_name(source_col).alias("source"), "doc_id", "n_tokens")
     sources = session.materialize(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "sources")
     exponent = _exponent(sources, target)
     total = sources.agg(F.sum("tokens")).first()[0] or 0
@@ -145,8 +146,8 @@ def realise(docs: DataFrame, weights: DataFrame, target: Target, source_col: str
     """``docs`` once per pass that visits them, with ``copy`` and ``turn`` (the block's place in that pass) in ``__mix``."""
     seen = weights.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("source")).alias("bytes")).first().asDict()
     small = weights.select(F.struct("source", "passes", "blocks", "rest", "cut_turn", "cut_place").alias("__w"))
-    joined = docs.join(session.broadcast_if_small(small, seen), F.col(f"`{source_col}`").eqNullSafe(F.col("__w.source")))
-    doc_id, w = F.col(f"`{id_col}`"), lambda c: F.col(f"__w.{c}")
+    joined = docs.join(session.broadcast_if_small(small, seen), by_name(source_col).eqNullSafe(F.col("__w.source")))
+    doc_id, w = by_name(id_col), lambda c: F.col(f"__w.{c}")
     block = _block(doc_id, w("blocks"), target.seed)
     turn = lambda k: _turn(w("source"), k, block, target.seed)
     last = turn(w("passes"))
@@ -154,11 +155,11 @@ def realise(docs: DataFrame, weights: DataFrame, target: Target, source_col: str
     copies = w("passes") + F.when((w("rest") > 0) & F.coalesce(fits, F.lit(False)), 1).otherwise(0)
     repeated = joined.withColumn("__copy", F.explode(F.when(copies > 0, F.sequence(F.lit(0), (copies - 1).cast("int"))).otherwise(F.array().cast("array<int>"))))
     mix = F.struct("__copy", turn(F.col("__copy").cast("long")).alias("turn"))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns], mix.alias("__mix"))
+    return repeated.select(*[by_name(c) for c in docs.columns], mix.alias("__mix"))
 
 
 def mix(docs: DataFrame, target: Target = Target(), source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` mixed to the target, as rows of ``docs``."""
-    counted = docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("n_tokens"))
+    counted = docs.select(by_name(source_col).alias("source"), by_name(id_col).alias("doc_id"), tokens(by_name(text_col)).alias("n_tokens"))
     counted = session.materialize(counted, "counted")
     return realise(docs, plan(counted, target), target, source_col, id_col).drop("__mix")

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelflow import session
+from labelflow.functions.columns import by_name
 from labelflow.llm import counters
 from labelflow.llm import text_hash as th
 from labelflow.llm.components import components
@@ -133,10 +134,10 @@ def signatures(docs: DataFrame, rule: Jaccard) -> DataFrame:
     return session.materialize(docs.select("doc_id", "text").mapInArrow(run, schema), "signatures")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, rule: Jaccard) -> DataFrame:
-    """The ``(a, b)`` of ``pairs`` whose whole sets reach the threshold."""
-    needed, seen = session.measure(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
-    texts = session.materialize(docs.join(session.broadcast_if_small(needed, seen), "doc_id"), "texts")
+def verify(pairs: DataFrame, seen: dict, docs: DataFrame, rule: Jaccard) -> DataFrame:
+    """The ``(a, b)`` of ``pairs`` (of measured size) whose whole sets reach the threshold."""
+    needed, size = session.measure(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
+    texts = session.materialize(docs.join(session.broadcast_if_small(needed, size), "doc_id"), "texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
     words, percent = rule.words, rule.percent
@@ -161,67 +162,82 @@ def verify(pairs: DataFrame, docs: DataFrame, rule: Jaccard) -> DataFrame:
                 keep = pa.array((both > 0) & (100 * both >= percent * union))
                 yield part.select(["a", "b"]).filter(keep)
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    joined = session.broadcast_if_small(pairs, seen).join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    return joined.mapInArrow(run, "a long, b long")
 
 
 class _Search:
     """Rounds of candidate pairs between documents of different components."""
 
     def __init__(self, docs: DataFrame, postings: DataFrame, meta: DataFrame, rule: Jaccard):
-        self.docs, self.rule, self.meta = docs, rule, meta
-        self.postings = postings
-        self.links: DataFrame | None = None
+        self.docs, self.rule, self.meta, self.postings = docs, rule, meta, postings
         self.tested: DataFrame | None = None
-        self.labels: DataFrame | None = None
-
-    def test(self, pairs: DataFrame) -> int:
-        """Filter and verify pairs (``a`` < ``b``) that were not tested before; how many links they gave."""
+        # Links of the last test, and everything that earlier ones joined, as stars.
+        self.fresh: DataFrame | None = None
+        self.stars: DataFrame | None = None
+
+    def links(self) -> DataFrame:
+        """Links with the same components as all links found."""
+        return self.fresh if self.stars is None else self.stars.select("node", "component").union(self.fresh)
+
+    def labels(self) -> DataFrame:
+        if self.fresh is not None:
+            self.stars = session.materialize(components(self.links().toDF("a", "b")), "stars")
+            self.fresh = self.stars.limit(0).toDF("a", "b")
+        return self.stars
+
+    def test(self, pairs: DataFrame) -> None:
+        """Filter and verify pairs (``a`` < ``b``) that were not tested before."""
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        a = self.meta.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
-        b = self.meta.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
+        pairs, seen = session.measure(pairs, "met")
+        used = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        used, used_seen = session.measure(used, "used")
+        meta, meta_seen = session.measure(self.meta.join(session.broadcast_if_small(used, used_seen), "doc_id"), "meta")
+        meta = session.broadcast_if_small(meta, meta_seen)
+        a = meta.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
+        b = meta.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
         sized = pairs.join(a, "a").join(b, "b")
         apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
         length = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.rule.percent
         suffix = apart <= F.col("na") + F.col("nb") - 2 * self.rule.overlap(F.col("na"), F.col("nb"))
-        pairs = session.materialize(sized.where(length).where(suffix).select("a", "b"), "pairs")
+        pairs, seen = session.measure(sized.where(length).where(suffix).select("a", "b").distinct(), "pairs")
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
-        found, seen = session.measure(verify(pairs, self.docs, self.rule), "links")
-        self.links = found if self.links is None else self.links.union(found)
-        self.labels = components(self.links) if seen["rows"] or self.labels is None else self.labels
-        return seen["rows"]
+        found = session.materialize(verify(pairs, seen, self.docs, self.rule), "links")
+        self.fresh = found if self.fresh is None else self.fresh.union(found)
 
-    def stars(self) -> None:
+    def star(self) -> None:
         """First round: every document against the smallest and the largest id of each n-gram it shares."""
         ends = [self.postings.select(F.col(c).alias("c"), "doc_id") for c in ("low", "high")]
         self.test(_ordered(ends[0].union(ends[1])))
 
     def open_postings(self) -> tuple[DataFrame, dict]:
         """Postings of the n-grams that still touch several components, with a bound on the pairs between them."""
-        labels = self.labels.withColumnsRenamed({"node": "doc_id"})
-        labelled = self.postings.select("token", "doc_id", "n", "pos").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        labels, seen = session.measure(self.labels().withColumnRenamed("node", "doc_id"), "labels")
+        labelled = self.postings.select("token", "doc_id", "n", "pos").join(session.broadcast_if_small(labels, seen), "doc_id", "left")
+        labelled = session.materialize(labelled.withColumn("component", F.coalesce("component", "doc_id")), "labelled")
         sizes = labelled.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("squares"))
-        several = sizes.where("groups > 1").select("token", ((F.col("all") * F.col("all") - F.col("squares")) / 2 / F.col("all")).alias("pairs"))
-        several = session.materialize(several, "several")
-        return session.measure(labelled.join(several, "token"), "open", pairs=F.sum("pairs"))
+        pairs = (F.col("all") * F.col("all") - F.col("squares")) / 2
+        several, seen = session.measure(sizes.where("groups > 1").select("token", pairs.alias("pairs")), "several", pairs=F.sum("pairs"))
+        rows, counted = session.measure(labelled.join(session.broadcast_if_small(several.select("token"), seen), "token"), "open")
+        return rows, {"rows": counted["rows"], "pairs": seen["pairs"] or 0}
 
-    def star_round(self, rows: DataFrame, number: int) -> int:
+    def star_round(self, rows: DataFrame, number: int) -> None:
         """Every document of an n-gram against one of its documents, drawn anew in each round."""
         drawn = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(number)).alias("h"), F.col("doc_id").alias("c"), F.col("component").alias("cc"))).alias("centre"))
-        drawn = session.materialize(drawn, "drawn")
-        pairs = rows.join(drawn, "token").where(F.col("component") != F.col("centre.cc")).select(F.col("centre.c").alias("c"), "doc_id")
-        return self.test(_ordered(pairs))
+        drawn, seen = session.measure(drawn, "drawn")
+        pairs = rows.join(session.broadcast_if_small(drawn, seen), "token").where(F.col("component") != F.col("centre.cc")).select(F.col("centre.c").alias("c"), "doc_id")
+        self.test(_ordered(pairs))
 
-    def all_pairs(self, rows: DataFrame) -> int:
+    def all_pairs(self, rows: DataFrame) -> None:
         """All pairs between components that the prefix, length and positional filters leave."""
         size = F.struct("n", "doc_id")
         x = rows.where(F.col("pos") < self.rule.index(F.col("n"))).select("token", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("cx"), size.alias("sx"))
         y = rows.select("token", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cy"), size.alias("sy"))
         met = x.join(y, "token").where("cx != cy").where("sx < sy").where(F.col("nx") * 100 >= F.col("ny") * self.rule.percent)
         first = met.groupBy("x", "y", "nx", "ny").agg(F.min(F.struct("px", "py")).alias("at"))
-        most = 1 + F.least(F.col("nx") - F.col("at.px"), F.col("ny") - F.col("at.py")) - 1
-        return self.test(_ordered(first.where(most >= self.rule.overlap(F.col("nx"), F.col("ny"))).select(F.col("x").alias("c"), F.col("y").alias("doc_id"))))
+        most = F.least(F.col("nx") - F.col("at.px"), F.col("ny") - F.col("at.py"))
+        self.test(_ordered(first.where(most >= self.rule.overlap(F.col("nx"), F.col("ny"))).select(F.col("x").alias("c"), F.col("y").alias("doc_id"))))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -231,7 +247,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def cluster(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    docs = docs.select(by_name(id_col).cast("long").alias("doc_id"), by_name(text_col).cast("string").alias("text"))
     signed = signatures(docs, rule)
     filled = signed.where("n > 0 and doc_id is not null")
     key = ["f1", "f2", "n"]
@@ -243,10 +259,10 @@ def cluster(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "doc_id",
     postings = session.materialize(rows.join(ends, "token"), "postings")
 
     search = _Search(docs.where("doc_id is not null"), postings, meta, rule)
-    search.stars()
+    search.star()
     for number in range(MAX_STAR_ROUNDS + 1):
         left, seen = search.open_postings()
-        if number == MAX_STAR_ROUNDS or (seen["pairs"] or 0) <= PAIRS_PER_POSTING * seen["rows"]:
+        if number == MAX_STAR_ROUNDS or seen["pairs"] <= PAIRS_PER_POSTING * seen["rows"]:
             break
         search.star_round(left, number)
     if seen["rows"]:
@@ -255,7 +271,7 @@ def cluster(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "doc_id",
     # Texts of one document may fall into several classes: they link through its id.
     same = filled.join(classes, key).where("doc_id != kept").select(F.col("kept").alias("a"), F.col("doc_id").alias("b"))
     repeated = filled.groupBy("doc_id").agg(F.countDistinct(*key).alias("texts")).where("texts > 1").select(F.col("doc_id").alias("b"))
-    links = search.links.union(same.join(repeated, "b").select("a", "b"))
+    links = search.links().toDF("a", "b").union(same.join(repeated, "b").select("a", "b"))
     labels = components(links).withColumnsRenamed({"node": "kept"})
     named = classes.join(labels, "kept", "left").select(*key, F.coalesce("component", "kept").alias("component"))
     joined = signed.join(named, key, "left")

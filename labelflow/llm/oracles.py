@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from labelflow.llm import quality_rules
 from labelflow.llm import queries as q
 from labelflow.llm import secret_scan as ss
-from labelflow.llm.url_filters import Rule
+from labelflow.llm.url_filters import UPPER, Rule
 
 
 def _text(value: str) -> str:
@@ -76,5 +77,81 @@ WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
 SELECT doc_id, {zeros}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN found USING (doc_id)"""
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]+"
+
+
+def _quality_rules() -> str:
+    limits = quality_rules.Limits()
+    lengths = sorted({*limits.window_char_share, quality_rules.REPEAT_WINDOW})
+    ctes, joins, columns, verdict = [], [], [], []
+    for n in lengths:
+        ctes.append(
+            f"""w{n} AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS k, row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) AS r
+  FROM (SELECT doc_id, i, array_to_string(words[i:i + {n - 1}], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - {n - 2})) AS i FROM t) x) y),
+c{n} AS (SELECT doc_id, count(DISTINCT j) AS repeated, coalesce(sum(length(words[j])) FILTER (WHERE later), 0) AS chars FROM (
+  SELECT doc_id, j, bool_or(r > 1) AS later FROM (SELECT doc_id, r, unnest(range(i, i + {n})) AS j FROM w{n} WHERE k > 1) x GROUP BY doc_id, j) y JOIN t USING (doc_id) GROUP BY doc_id)"""
+        )
+        joins.append(f"LEFT JOIN c{n} USING (doc_id)")
+        if n in limits.window_char_share:
+            columns.append(f"cast(coalesce(c{n}.chars, 0) AS bigint) AS dup_chars_{n}")
+            verdict.append(f"dup_chars_{n} <= {limits.window_char_share[n]}::double * word_chars")
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+), t AS (SELECT doc_id, text, regexp_extract_all(text, '{WORD}') AS words FROM d
+), lines AS (
+  SELECT doc_id, line, length(regexp_replace(line, '{SPACE}', '', 'g')) AS chars, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS r
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d) x WHERE regexp_matches(line, '{WORD}')
+), l AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE r > 1) AS n_dup_lines, coalesce(sum(chars) FILTER (WHERE r > 1), 0) AS dup_line_chars FROM lines GROUP BY doc_id
+), {", ".join(ctes)}
+, m AS (
+  SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '{SPACE}', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(c8.repeated, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, cast(coalesce(dup_line_chars, 0) AS bigint) AS dup_line_chars, {", ".join(columns)}
+  FROM t LEFT JOIN l USING (doc_id) {" ".join(joins)}
+), f AS (SELECT *, n_words < {limits.min_words} OR 100 * n_repeat_words > {limits.repeat_words_pct} * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND n_dup_lines <= {limits.line_share}::double * n_lines AND dup_line_chars <= {limits.line_char_share}::double * word_chars AND {" AND ".join(verdict)} AS kept FROM f"""
+
+
+def _reached(nodes: str, links: str) -> str:
+    """Smallest node reachable from each of ``nodes(node)`` over ``links(a, b)``, as ``reached(node, component)``."""
+    return f"""edges AS (SELECT a, b FROM {links} UNION ALL SELECT b, a FROM {links}
+), reach (node, root) AS (SELECT node, node FROM {nodes} UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node WHERE r.root < e.b
+), reached AS (SELECT node, min(root) AS component FROM reach GROUP BY node)"""
+
+
+def _embedding_dedup() -> str:
+    return f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id AS node, label, embedding::double[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+), links AS (SELECT x.node AS a, y.node AS b FROM v x JOIN v y ON x.label = y.label AND x.node < y.node AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.98
+), ids AS (SELECT vec_id AS node FROM embeddings
+), {_reached("ids", "links")}
+, counts AS (SELECT a AS node, count(*) AS n FROM edges GROUP BY a)
+SELECT node AS vec_id, coalesce(n, 0) AS n_links, component AS component_id, node = component AS kept FROM reached LEFT JOIN counts USING (node)"""
+
+
+def _ngram_join() -> str:
+    fold = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({fold}, '{WORD}') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), k -> array_to_string(words[k:k + 4], ' ')) END) AS gram FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
+), links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), ids AS (SELECT doc_id AS node FROM documents
+), {_reached("ids", "links")}
+SELECT node AS doc_id, coalesce(n, 0) AS n_shingles, component AS component_id FROM reached LEFT JOIN n ON n.doc_id = node"""
+
+
 def queries() -> dict[str, str]:
-    return {"op3_warc": _warc(), "op7_url_filters": _url_filters(), "op8_secret_scan": _secret_scan()}
+    return {
+        "op1_quality_rules": _quality_rules(),
+        "op2_embedding_dedup": _embedding_dedup(),
+        "op3_warc": _warc(),
+        "op7_url_filters": _url_filters(),
+        "op8_secret_scan": _secret_scan(),
+        "op10_ngram_join": _ngram_join(),
+    }

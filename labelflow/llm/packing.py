@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelflow import session
+from labelflow.functions.columns import by_name
 from labelflow.llm import text_hash as th
 
 SCHEMA = "doc_id long, piece int, source string, cluster long, start long, n_tokens int, bin_id long, bin_offset int"
@@ -150,7 +151,7 @@ def pack_shard(rows: pa.Table, layout: Layout) -> pa.Table:
 
 def pack(docs: DataFrame, layout: Layout = Layout(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per piece: document, first word, length, bin and offset in it."""
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    docs = docs.select(by_name(id_col).cast("long").alias("doc_id"), by_name(source_col).cast("string").alias("source"), by_name(text_col).cast("string").alias("text"))
     rows = lengths(docs)
     room = layout.capacity - 1
     numbered = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / room).cast("int"))))

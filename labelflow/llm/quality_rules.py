@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from labelflow.functions.columns import by_name
 from labelflow.llm import text_hash as th
 
 REPEAT_WINDOW = 8
@@ -52,7 +53,7 @@ def measure(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id",
                 columns = _measure(chunk, limits)
                 yield pa.RecordBatch.from_arrays([ids.slice(chunk.start, chunk.rows), *map(pa.array, columns.values())], ["doc_id", *columns])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text").mapInArrow(run, schema)
+    return docs.select(by_name(id_col).cast("long").alias("doc_id"), by_name(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def _duplicates(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

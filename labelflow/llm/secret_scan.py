@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelflow import session
+from labelflow.functions.columns import by_name
 
 LEDGER_SCHEMA = "blob binary, rules array<string>, findings array<struct<start:int,rank:int,stop:int,rule:string>>"
 
@@ -149,7 +150,7 @@ def redact(docs: DataFrame, ledger: str, text_col: str = "text", mask: str = "[S
     """
     found, seen = session.measure(blob_findings(docs.sparkSession, ledger, rules), "findings", bytes=F.sum(F.size("spans") * 40 + 32))
     found = found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    text = F.col(f"`{text_col}`")
+    text = by_name(text_col)
 
     def step(state: Column, s: Column) -> Column:
         gap = text.substr(state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
@@ -159,4 +160,4 @@ def redact(docs: DataFrame, ledger: str, text_col: str = "text", mask: str = "[S
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     clean = F.aggregate("__spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), text.substr(s["at"] + 1, F.length(text))))
     joined = docs.join(session.broadcast_if_small(found, seen), blob_id(text) == F.col("__blob"), "left")
-    return joined.select(*[F.when(F.col("__spans").isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return joined.select(*[F.when(F.col("__spans").isNull(), text).otherwise(clean).alias(c) if c == text_col else by_name(c) for c in docs.columns])

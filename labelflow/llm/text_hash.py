@@ -98,15 +98,17 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Cut an Arrow string column into runs of texts; a null text is empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
     _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(offsets, width)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, width)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     start = 0
     while start < len(texts):
-        stop = int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1
+        stop = int(np.searchsorted(offsets, int(offsets[start]) + size, side="right")) - 1
         stop = min(max(stop, start + 1), len(texts))
-        yield Chunk(start, stop, data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start])
+        yield Chunk(start, stop, data[offsets[start] : offsets[stop]], offsets[start : stop + 1].astype(np.int64) - offsets[start])
         start = stop
 
 

@@ -4,10 +4,11 @@ Categories are predicted one after the other; a later model also sees the logits
 the earlier categories.  In training these come from out-of-fold predictions, so a
 later model never learns from logits of rows that the earlier model was fitted on.
 The threshold of the deciding category is the best F1 of its out-of-fold
-predictions.
+predictions among cuts of at least 0.7 precision.
 
-Features are hashed presences of letter runs (A-Z folded) and of their first 4 to 7
-bytes.  Models are fitted on at most ``MAX_LABELLED`` labelled rows, drawn by hash;
+Features are hashed letter runs (A-Z folded) and their first 4 to 7 bytes, each with
+the logarithm of its rate per hundred words, and the logarithm of the text's length.
+Models are fitted on at most ``MAX_LABELLED`` labelled rows, drawn by hash;
 each fit is one task over that bounded sample.  Scoring reads every whole text in
 one pass without a shuffle.
 
@@ -29,17 +30,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelflow import session
 from labelflow.llm import text_hash as th
 
 BITS = 18
 PREFIXES = (4, 5, 6, 7)
 FOLDS = 3
 EPOCHS = 12
+STEPS = 400
 BATCH = 64
 RATE = 0.3
 DECAY = 1e-5
-MIN_TEXTS = 3
-MAX_LABELLED = 8_000
+MIN_TEXTS = 5
+MAX_LABELLED = 10_000
+PRECISION = 0.7
 SEED = 7
 
 @dataclass(frozen=True)
@@ -50,22 +54,33 @@ class Category:
     condition: str
 
 
+@dataclass
+class Features:
+    """Sparse features of some texts: their rows, ids and values, and each text's number of words."""
+
+    rows: np.ndarray
+    ids: np.ndarray
+    values: np.ndarray
+    words: np.ndarray
+
+
 @dataclass
 class Chain:
     names: list[str]
     weights: np.ndarray
     bias: np.ndarray
-    earlier: list[np.ndarray]
+    # Per category: the weight of the length, then of each earlier category.
+    dense: list[np.ndarray]
     decide: int
     threshold: float
 
-    def probabilities(self, rows: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros((len(self.names), n))
+    def probabilities(self, texts: Features) -> np.ndarray:
+        out = np.zeros((len(self.names), len(texts.words)))
+        seen = [_length(texts.words)]
         for k in range(len(self.names)):
-            logit = np.bincount(rows, weights=self.weights[k][features], minlength=n) + self.bias[k]
-            for j in range(k):
-                logit = logit + self.earlier[k][j] * _squashed(out[j])
-            out[k] = _sigmoid(logit)
+            logit = np.bincount(texts.rows, weights=self.weights[k][texts.ids] * texts.values, minlength=len(texts.words)) + self.bias[k]
+            out[k] = _sigmoid(logit + self.dense[k] @ np.stack(seen))
+            seen.append(_squashed(out[k]))
         return out
 
 
@@ -79,8 +94,12 @@ def _squashed(p: np.ndarray) -> np.ndarray:
     return np.clip(np.log(p / (1 - p)), -4, 4)
 
 
-def features(chunk: th.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed features of each text: rows and features, in order."""
+def _length(words: np.ndarray) -> np.ndarray:
+    return (np.log1p(words) - 5) / 2
+
+
+def features(chunk: th.Chunk) -> Features:
+    """Distinct hashed features of each text, in order of texts."""
     inside = th.IS_LETTER[chunk.data]
     edge = np.zeros(len(inside) + 1, bool)
     edge[chunk.offsets] = True
@@ -95,35 +114,36 @@ def features(chunk: th.Chunk) -> tuple[np.ndarray, np.ndarray]:
         rows.append(rows[0][longer])
         hashes.append(th.mix(th.span_hashes(sums, starts[longer], starts[longer] + k) + np.uint64(k)))
     key = np.concatenate(rows) << BITS | (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
-    key = np.unique(key)
-    return key >> BITS, key & ((1 << BITS) - 1)
+    words = th.per_row(rows[0], chunk.rows)
+    key, times = np.unique(key, return_counts=True)
+    of = key >> BITS
+    return Features(of, key & ((1 << BITS) - 1), np.log1p(100 * times / words[of]), words)
 
 
-def _fit(offsets: np.ndarray, ids: np.ndarray, dense: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+def _fit(texts: Features, dense: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     """Logistic regression by AdaGrad over mini-batches; features of fewer than MIN_TEXTS rows stay at 0."""
     w, bias, v = np.zeros(1 << BITS), 0.0, np.zeros(dense.shape[1])
     if not len(y) or y.min() == y.max():
         rate = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
         return w, float(np.log(rate / (1 - rate))), v
-    known = np.bincount(ids, minlength=1 << BITS) >= MIN_TEXTS
-    sizes = np.diff(offsets)
-    row_of = np.repeat(np.arange(len(y)), sizes)
-    used = known[ids]
-    ids, row_of = ids[used], row_of[used]
+    known = np.bincount(texts.ids, minlength=1 << BITS) >= MIN_TEXTS
+    used = known[texts.ids]
+    ids, values, row_of = texts.ids[used], texts.values[used], texts.rows[used]
     offsets = np.concatenate([[0], np.cumsum(np.bincount(row_of, minlength=len(y)))])
     bias = float(np.log(y.mean() / (1 - y.mean())))
     seen, seen_bias, seen_v = np.full(1 << BITS, 1e-2), 1e-2, np.full(dense.shape[1], 1e-2)
     random = np.random.Generator(np.random.PCG64(SEED))
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, STEPS * BATCH // len(y))):
         order = random.permutation(len(y))
         for begin in range(0, len(y), BATCH):
             part = order[begin : begin + BATCH]
-            at = np.concatenate([ids[offsets[r] : offsets[r + 1]] for r in part])
-            of = np.repeat(np.arange(len(part)), [offsets[r + 1] - offsets[r] for r in part])
-            logit = np.bincount(of, weights=w[at], minlength=len(part)) + bias + dense[part] @ v
+            at = np.concatenate([np.arange(offsets[r], offsets[r + 1]) for r in part])
+            of = np.repeat(np.arange(len(part)), offsets[part + 1] - offsets[part])
+            at, x = ids[at], values[at]
+            logit = np.bincount(of, weights=w[at] * x, minlength=len(part)) + bias + dense[part] @ v
             error = (_sigmoid(logit) - y[part]) / len(part)
             touched, back = np.unique(at, return_inverse=True)
-            gradient = np.bincount(back, weights=error[of], minlength=len(touched)) + DECAY * w[touched]
+            gradient = np.bincount(back, weights=error[of] * x, minlength=len(touched)) + DECAY * w[touched]
             seen[touched] += gradient**2
             w[touched] -= RATE * gradient / np.sqrt(seen[touched])
             total = error.sum()
@@ -149,12 +169,14 @@ def labelled_features(docs: DataFrame, labels: DataFrame, categories: list[Categ
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in th.chunks(batch.column(1)):
-                rows, ids = features(chunk)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=chunk.rows))]).astype(np.int32)
+                found = features(chunk)
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(found.rows, minlength=chunk.rows))]), pa.int32())
                 part = [batch.column(c).slice(chunk.start, chunk.rows) for c in (0, *range(2, 2 + len(ys)))]
-                yield pa.RecordBatch.from_arrays([*part, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))], ["doc_id", *ys, "ids"])
+                lists = [pa.ListArray.from_arrays(ends, values) for values in (pa.array(found.ids, pa.int32()), pa.array(found.values, pa.float32()))]
+                yield pa.RecordBatch.from_arrays([*part, pa.array(found.words), *lists], ["doc_id", *ys, "words", "ids", "values"])
 
-    return joined.select("doc_id", "text", *ys).mapInArrow(run, "doc_id long, " + ", ".join(f"{y} double" for y in ys) + ", ids array<int>")
+    schema = "doc_id long, " + ", ".join(f"{y} double" for y in ys) + ", words long, ids array<int>, values array<float>"
+    return joined.select("doc_id", "text", *ys).mapInArrow(run, schema)
 
 
 def _fit_task(k: int, earlier: list[dict[int, float]]) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -163,18 +185,19 @@ def _fit_task(k: int, earlier: list[dict[int, float]]) -> Callable[[pd.DataFrame
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         number = int(pdf["fit"].iloc[0])
         pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
-        dense = np.array([[_squashed(np.array(p[i])) for p in earlier] for i in pdf["doc_id"]]).reshape(len(pdf), len(earlier))
+        seen = [_squashed(np.array([p[i] for i in pdf["doc_id"]])) for p in earlier]
+        dense = np.stack([_length(pdf["words"].to_numpy()), *seen], axis=1)
         held = (pdf["fold"] == number).to_numpy()
-        lists, y = pdf["ids"].to_numpy(), pdf[f"y{k}"].to_numpy()
+        y = pdf[f"y{k}"].to_numpy()
 
-        def matrix(mask):
-            chosen = lists[mask]
-            return np.concatenate([[0], np.cumsum([len(x) for x in chosen])]).astype(np.int64), np.concatenate([*chosen, np.zeros(0, np.int32)]).astype(np.int64)
+        def texts(mask: np.ndarray) -> Features:
+            ids, values = (pdf[c].to_numpy()[mask] for c in ("ids", "values"))
+            rows = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+            return Features(rows, np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*values, np.zeros(0)]), pdf["words"].to_numpy()[mask])
 
-        w, bias, v = _fit(*matrix(~held), dense[~held], y[~held])
-        offsets, ids = matrix(held)
-        of = np.repeat(np.arange(held.sum()), np.diff(offsets))
-        p = _sigmoid(np.bincount(of, weights=w[ids], minlength=held.sum()) + bias + dense[held] @ v)
+        w, bias, v = _fit(texts(~held), dense[~held], y[~held])
+        out = texts(held)
+        p = _sigmoid(np.bincount(out.rows, weights=w[out.ids] * out.values, minlength=held.sum()) + bias + dense[held] @ v)
         full = number == FOLDS
         return pd.DataFrame({"fit": [number], "w": [w.astype(np.float32).tobytes() if full else b""], "bias": [bias], "v": [v.tolist()], "ids": [pdf["doc_id"][held].tolist()], "p": [p.tolist()], "y": [y[held].tolist()]})
 
@@ -183,7 +206,7 @@ def _fit_task(k: int, earlier: list[dict[int, float]]) -> Callable[[pd.DataFrame
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[Category], decide: str) -> Chain:
     """Fit the chain; ``decide`` names the category whose probability rejects a document."""
-    sample = labelled_features(docs, labels, categories)
+    sample = session.materialize(labelled_features(docs, labels, categories), "labelled")
     fits = sample.withColumn("fit", F.explode(F.array(*[F.lit(k) for k in range(FOLDS + 1)])))
     fits = fits.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(FOLDS)).cast("int"))
     chain = Chain([c.name for c in categories], np.zeros((len(categories), 1 << BITS), np.float32), np.zeros(len(categories)), [], 0, 0.5)
@@ -193,50 +216,72 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[Category], decide
         # Four rows: the model, and one probability per row of the bounded sample.
         rows = fits.groupBy("fit").applyInPandas(_fit_task(k, list(out_of_fold)), "fit int, w binary, bias double, v array<double>, ids array<long>, p array<double>, y array<double>").collect()
         out_of_fold.append({i: p for r in rows for i, p in zip(r["ids"], r["p"])})
-        chain.earlier.append(np.zeros(k))
+        chain.dense.append(np.zeros(k + 1))
         for r in rows:
             if r["fit"] == FOLDS:
-                chain.weights[k], chain.bias[k], chain.earlier[k] = np.frombuffer(r["w"], np.float32), r["bias"], np.array(r["v"])
+                chain.weights[k], chain.bias[k], chain.dense[k] = np.frombuffer(r["w"], np.float32), r["bias"], np.array(r["v"])
         if k == chain.decide:
             chain.threshold = best_threshold(np.array([p for r in rows for p in r["p"]]), np.array([y for r in rows for y in r["y"]]))
     return chain
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the widest gap between probabilities among the cuts with the best F1."""
+def best_threshold(p: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
+    """The cut with the best F1 among those of enough precision, in the middle of the gap below it.
+
+    Of equal cuts, the one with the widest gap.  If no cut is precise enough (a
+    few labels only), probabilities are taken as they are.
+    """
     if not len(y) or y.min() == y.max():
         return 0.5
     order = np.argsort(-p, kind="stable")
     p, y = p[order], y[order]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    hits, taken = np.cumsum(y), np.arange(1, len(y) + 1)
     below = np.append(p[1:], 0.0)
-    best = np.flatnonzero((f1 >= f1[p > below].max() - 1e-12) & (p > below))
+    possible = p > below
+    precise = possible & (hits >= precision * taken)
+    if not precise.any():
+        return 0.5
+    value = np.where(precise, 2 * hits / (taken + y.sum()), -1.0)
+    best = np.flatnonzero(value >= value.max() - 1e-12)
     k = best[np.argmax(p[best] - below[best])]
     return float((p[k] + below[k]) / 2)
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """``docs`` with ``p_<category>`` for each category and ``rejected``, in place of columns of these names."""
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
     added = [*(f"p_{n}" for n in chain.names), "rejected"]
-    kept = [c for c in docs.columns if c not in added]
+    kept = [k for k, c in enumerate(docs.columns) if c not in added]
+
+    def columns(part: pa.RecordBatch, p: np.ndarray, rejected: np.ndarray) -> list[pa.Array]:
+        return [*(part.column(k) for k in kept), *map(pa.array, p), pa.array(rejected)]
+
+    fields = [*(docs.schema.fields[k] for k in kept), *(T.StructField(n, T.BooleanType() if n == "rejected" else T.DoubleType()) for n in added)]
+    return _judged(docs, chain, text_col, columns, fields)
+
+
+def keep(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the chain does not reject, with the columns of ``docs``."""
+
+    def columns(part: pa.RecordBatch, p: np.ndarray, rejected: np.ndarray) -> list[pa.Array]:
+        return part.filter(pa.array(~rejected)).columns
+
+    return _judged(docs, chain, text_col, columns, docs.schema.fields)
+
+
+def _judged(docs: DataFrame, chain: Chain, text_col: str, columns: Callable, fields: list[T.StructField]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    at = docs.columns.index(text_col)
     # Plain names inside, so that any name may stand outside.
     source = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
-    source = source.select(*[f"c{k}" for k, c in enumerate(docs.columns) if c not in added])
-    at = kept.index(text_col)
-    source_names, inner = source.columns, [f"added{k}" for k in range(len(added))]
+    names = [f"c{k}" for k in range(len(fields))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for chunk in th.chunks(batch.column(at)):
-                rows, ids = features(chunk)
-                p = model.probabilities(rows, ids, chunk.rows)
+                p = model.probabilities(features(chunk))
                 part = batch.slice(chunk.start, chunk.rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, p), pa.array(p[model.decide] >= model.threshold)], [*source_names, *inner])
+                yield pa.RecordBatch.from_arrays(columns(part, p, p[model.decide] >= model.threshold), names)
 
-    schema = T.StructType(list(source.schema.fields))
-    for name in inner:
-        schema = schema.add(name, "boolean" if name == inner[-1] else "double")
-    return source.mapInArrow(run, schema).toDF(*kept, *added)
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, fields)])
+    return source.mapInArrow(run, schema).toDF(*[f.name for f in fields])

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelflow import session
+from labelflow.functions.columns import by_name
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 RULE_SCHEMA = "rule string, kind string, action string, regex string, tokens array<string>"
@@ -99,7 +100,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     The longest site rule decides.  Without one, a fitting pattern decides, allow
     before block and longer before shorter; without any, the page is allowed.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    rows = pages.select(by_name(id_col).alias("page_id"), by_name(url_col).alias("url"))
     rows = rows.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), target(F.col("url")).alias("target"))
     matches = match(rows.select("target").distinct(), rules)
     joined = rows.join(matches, "target", "left")
