@@ -6,14 +6,17 @@
    order (cell count, hash) is one global rare-first order; n-grams of passages that
    many texts share come last, so they stay out of the prefixes.
 3. Prefix filter: two sets that reach the threshold share an n-gram of their
-   prefixes.  Prefix n-grams are joined; the length filter runs inside the join, the
-   positional filter on a pair's first shared n-gram, the suffix filter on counts
-   per hash range, and each pair that is left is verified once, on whole texts.
+   prefixes.  Prefix n-grams are joined under the length filter, the positional
+   filter and the suffix filter, and each pair that is left is verified once, on
+   whole texts.  The suffix filter bounds the sets' difference from below: each set has
+   a bitmap with one parity per hash range, and every n-gram that only one of the two
+   sets holds changes one bit at most.
 4. Groups of many similar texts share prefix n-grams, so pairs are asked for in
    rounds.  A round compares the texts that share an n-gram with one centre only;
    texts already linked through others need no further pair.  When few pairs remain
-   between different components, all of them are joined.  No link between different
-   components is lost, and a group of k texts costs about k pairs a round.
+   between different components, or a round no longer halves them, all of them are
+   joined.  No link between different components is lost, and a group of k texts costs
+   about k pairs a round.
 
 Defined cases: null or empty texts, and texts of white space, have no n-grams and
 link with nothing; fewer words than n make one n-gram of the whole sequence; rows
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +39,12 @@ from labelflow import session
 from labelflow.functions.columns import by_name
 from labelflow.llm import counters
 from labelflow.llm import text_hash as th
-from labelflow.llm.components import components
+from labelflow.llm.components import components, sized
 
 CELLS = 1 << 20
-PARTS = 16
+BITS = 1024
 # Pairs per shared prefix n-gram up to which all remaining pairs are joined.
 PAIRS_PER_POSTING = 4
-MAX_STAR_ROUNDS = 6
 
 
 @dataclass(frozen=True)
@@ -53,6 +56,12 @@ class Jaccard:
         """Fewest shared n-grams of two sets of these sizes that reach the threshold."""
         return F.ceil((a + b) * self.percent / (100 + self.percent))
 
+    def near(self, a: Column, b: Column, bits_a: Column, bits_b: Column) -> Column:
+        """Length filter and suffix filter: whether sets of these sizes and bitmaps may reach the threshold."""
+        length = F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
+        apart = reduce(lambda x, y: x + y, [F.bit_count(F.get(bits_a, F.lit(k)).bitwiseXOR(F.get(bits_b, F.lit(k)))) for k in range(BITS // 64)])
+        return length & (apart <= a + b - 2 * self.overlap(a, b))
+
     def probe(self, n: np.ndarray) -> np.ndarray:
         """Prefix length of a set against shorter ones."""
         return n - -(-n * self.percent // 100) + 1
@@ -96,10 +105,10 @@ def count_cells(docs: DataFrame, rule: Jaccard) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, rule: Jaccard) -> DataFrame:
-    """Per text: set size, fingerprint of the set, n-grams per hash range, and the prefix, rarest first."""
+    """Per text: set size, fingerprint of the set, parities per hash range, and the prefix, rarest first."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(np.minimum(count_cells(docs, rule), 0xFFFFFFFF).astype(np.uint32))
-    schema = "doc_id long, n int, f1 long, f2 long, parts array<int>, prefix array<long>"
+    schema = "doc_id long, n int, f1 long, f2 long, bits array<long>, prefix array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -115,7 +124,8 @@ def signatures(docs: DataFrame, rule: Jaccard) -> DataFrame:
                     running = np.zeros(len(grams) + 1, np.uint64)
                     np.cumsum(th.mix(grams + np.uint64(salt)), out=running[1:])
                     marks.append((running[bounds[1:]] - running[bounds[:-1]]).view(np.int64))
-                parts = np.bincount(rows * PARTS + (grams >> np.uint64(60)).astype(np.int64), minlength=chunk.rows * PARTS)
+                held = np.bincount(rows * BITS + (grams // np.uint64((1 << 64) // BITS)).astype(np.int64), minlength=chunk.rows * BITS)
+                bits = np.packbits((held & 1).astype(np.uint8)).view(np.int64)
                 order = np.lexsort((grams, counts[(grams % np.uint64(len(counts))).astype(np.int64)], rows))
                 length = np.where(n > 0, rule.probe(n), 0)
                 inside = np.arange(len(grams)) - bounds[rows] < length[rows]
@@ -126,10 +136,10 @@ def signatures(docs: DataFrame, rule: Jaccard) -> DataFrame:
                     ids.slice(chunk.start, chunk.rows),
                     pa.array(n, pa.int32()),
                     *map(pa.array, marks),
-                    pa.ListArray.from_arrays(pa.array(np.arange(chunk.rows + 1, dtype=np.int32) * PARTS), pa.array(parts, pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(np.arange(chunk.rows + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "f1", "f2", "parts", "prefix"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "f1", "f2", "bits", "prefix"])
 
     return session.materialize(docs.select("doc_id", "text").mapInArrow(run, schema), "signatures")
 
@@ -169,8 +179,8 @@ def verify(pairs: DataFrame, seen: dict, docs: DataFrame, rule: Jaccard) -> Data
 class _Search:
     """Rounds of candidate pairs between documents of different components."""
 
-    def __init__(self, docs: DataFrame, postings: DataFrame, meta: DataFrame, rule: Jaccard):
-        self.docs, self.rule, self.meta, self.postings = docs, rule, meta, postings
+    def __init__(self, docs: DataFrame, postings: DataFrame, size: int, meta: DataFrame, rule: Jaccard):
+        self.docs, self.rule, self.meta, self.postings, self.size = docs, rule, meta, postings, size
         self.tested: DataFrame | None = None
         # Links of the last test, and everything that earlier ones joined, as stars.
         self.fresh: DataFrame | None = None
@@ -191,17 +201,20 @@ class _Search:
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs, seen = session.measure(pairs, "met")
-        used = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        used, used_seen = session.measure(used, "used")
-        meta, meta_seen = session.measure(self.meta.join(session.broadcast_if_small(used, used_seen), "doc_id"), "meta")
-        meta = session.broadcast_if_small(meta, meta_seen)
-        a = meta.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
-        b = meta.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
-        sized = pairs.join(a, "a").join(b, "b")
-        apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-        length = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.rule.percent
-        suffix = apart <= F.col("na") + F.col("nb") - 2 * self.rule.overlap(F.col("na"), F.col("nb"))
-        pairs, seen = session.measure(sized.where(length).where(suffix).select("a", "b").distinct(), "pairs")
+        meta = self.sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), 2 * seen["rows"])
+        a = meta.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("pa"))
+        b = meta.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("pb"))
+        near = pairs.join(a, "a").join(b, "b").where(self.rule.near(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb")))
+        self.verify(near.select("a", "b"))
+
+    def sets_of(self, ids: DataFrame, rows: int) -> DataFrame:
+        """Sizes and bitmaps of some documents, given in (at most) ``rows`` rows; broadcast if their measured size allows."""
+        used, seen = session.measure(sized(ids.distinct(), rows), "used")
+        meta, seen = session.measure(self.meta.join(session.broadcast_if_small(used, seen), "doc_id"), "meta")
+        return session.broadcast_if_small(meta, seen | {"bytes": seen["rows"] * BITS // 8})
+
+    def verify(self, pairs: DataFrame) -> None:
+        pairs, seen = session.measure(pairs, "pairs")
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
         found = session.materialize(verify(pairs, seen, self.docs, self.rule), "links")
         self.fresh = found if self.fresh is None else self.fresh.union(found)
@@ -209,7 +222,7 @@ class _Search:
     def star(self) -> None:
         """First round: every document against the smallest and the largest id of each n-gram it shares."""
         ends = [self.postings.select(F.col(c).alias("c"), "doc_id") for c in ("low", "high")]
-        self.test(_ordered(ends[0].union(ends[1])))
+        self.test(sized(_ordered(ends[0].union(ends[1])), 2 * self.size))
 
     def open_postings(self) -> tuple[DataFrame, dict]:
         """Postings of the n-grams that still touch several components, with a bound on the pairs between them."""
@@ -218,7 +231,7 @@ class _Search:
         labelled = session.materialize(labelled.withColumn("component", F.coalesce("component", "doc_id")), "labelled")
         sizes = labelled.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("squares"))
         pairs = (F.col("all") * F.col("all") - F.col("squares")) / 2
-        several, seen = session.measure(sizes.where("groups > 1").select("token", pairs.alias("pairs")), "several", pairs=F.sum("pairs"))
+        several, seen = session.measure(sized(sizes, self.size).where("groups > 1").select("token", pairs.alias("pairs")), "several", pairs=F.sum("pairs"))
         rows, counted = session.measure(labelled.join(session.broadcast_if_small(several.select("token"), seen), "token"), "open")
         return rows, {"rows": counted["rows"], "pairs": seen["pairs"] or 0}
 
@@ -227,17 +240,21 @@ class _Search:
         drawn = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(number)).alias("h"), F.col("doc_id").alias("c"), F.col("component").alias("cc"))).alias("centre"))
         drawn, seen = session.measure(drawn, "drawn")
         pairs = rows.join(session.broadcast_if_small(drawn, seen), "token").where(F.col("component") != F.col("centre.cc")).select(F.col("centre.c").alias("c"), "doc_id")
-        self.test(_ordered(pairs))
+        self.test(sized(_ordered(pairs), self.size))
 
     def all_pairs(self, rows: DataFrame) -> None:
         """All pairs between components that the prefix, length and positional filters leave."""
-        size = F.struct("n", "doc_id")
-        x = rows.where(F.col("pos") < self.rule.index(F.col("n"))).select("token", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("cx"), size.alias("sx"))
-        y = rows.select("token", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cy"), size.alias("sy"))
-        met = x.join(y, "token").where("cx != cy").where("sx < sy").where(F.col("nx") * 100 >= F.col("ny") * self.rule.percent)
-        first = met.groupBy("x", "y", "nx", "ny").agg(F.min(F.struct("px", "py")).alias("at"))
-        most = F.least(F.col("nx") - F.col("at.px"), F.col("ny") - F.col("at.py"))
-        self.test(_ordered(first.where(most >= self.rule.overlap(F.col("nx"), F.col("ny"))).select(F.col("x").alias("c"), F.col("y").alias("doc_id"))))
+        rows = rows.join(self.sets_of(rows.select("doc_id"), self.size).select("doc_id", "bits"), "doc_id")
+        x = rows.where(F.col("pos") < self.rule.index(F.col("n"))).select("token", *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "n", "pos", "component", "bits")])
+        y = rows.select("token", *[F.col(c).alias(f"{c}_y") for c in ("doc_id", "n", "pos", "component", "bits")])
+        n_x, n_y = F.col("n_x"), F.col("n_y")
+        shorter = (n_x < n_y) | ((n_x == n_y) & (F.col("doc_id_x") < F.col("doc_id_y")))
+        # On the first n-gram that two sets share, nothing before it counts.
+        rest = F.least(n_x - F.col("pos_x"), n_y - F.col("pos_y"))
+        wanted = (F.col("component_x") != F.col("component_y")) & shorter & (rest >= self.rule.overlap(n_x, n_y))
+        met = x.join(y, "token").where(wanted & self.rule.near(n_x, n_y, F.col("bits_x"), F.col("bits_y")))
+        pairs = _ordered(met.select(F.col("doc_id_x").alias("c"), F.col("doc_id_y").alias("doc_id")))
+        self.verify(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -253,18 +270,21 @@ def cluster(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "doc_id",
     key = ["f1", "f2", "n"]
     classes = session.materialize(filled.groupBy(*key).agg(F.min("doc_id").alias("kept")), "classes")
     chosen = filled.join(classes.withColumnRenamed("kept", "doc_id"), [*key, "doc_id"])
-    meta = session.materialize(chosen.select("doc_id", "n", "parts").dropDuplicates(["doc_id", "n"]), "sizes")
+    meta = session.materialize(chosen.select("doc_id", "n", "bits").dropDuplicates(["doc_id", "n"]), "sizes")
     rows = chosen.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
     ends = session.materialize(rows.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high"), "shared")
-    postings = session.materialize(rows.join(ends, "token"), "postings")
+    postings, seen = session.measure(rows.join(ends, "token"), "postings")
 
-    search = _Search(docs.where("doc_id is not null"), postings, meta, rule)
+    search = _Search(docs.where("doc_id is not null"), postings, seen["rows"], meta, rule)
     search.star()
-    for number in range(MAX_STAR_ROUNDS + 1):
+    before, rounds = None, 0
+    while True:
         left, seen = search.open_postings()
-        if number == MAX_STAR_ROUNDS or seen["pairs"] <= PAIRS_PER_POSTING * seen["rows"]:
+        few = seen["pairs"] <= PAIRS_PER_POSTING * seen["rows"]
+        if few or before is not None and 2 * seen["pairs"] > before:
             break
-        search.star_round(left, number)
+        before, rounds = seen["pairs"], rounds + 1
+        search.star_round(left, rounds)
     if seen["rows"]:
         search.all_pairs(left)
 

@@ -59,7 +59,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), TOXICITY, "toxic")
-    return toxicity.score(docs.select("doc_id", "text"), chain).drop("text")
+    scored = toxicity.score(docs.select("doc_id", "text"), chain).drop("text")
+    return scored.withColumnRenamed("rejected", "toxic").withColumn("kept", ~F.col("toxic"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 2048
 SEED = 20_240_229
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
@@ -107,7 +108,7 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
     start = 0
     while start < len(texts):
         stop = int(np.searchsorted(offsets, int(offsets[start]) + size, side="right")) - 1
-        stop = min(max(stop, start + 1), len(texts))
+        stop = min(max(stop, start + 1), start + CHUNK_ROWS, len(texts))
         yield Chunk(start, stop, data[offsets[start] : offsets[stop]], offsets[start : stop + 1].astype(np.int64) - offsets[start])
         start = stop
 

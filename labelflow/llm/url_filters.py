@@ -102,7 +102,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     """
     rows = pages.select(by_name(id_col).alias("page_id"), by_name(url_col).alias("url"))
     rows = rows.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), target(F.col("url")).alias("target"))
-    matches = match(rows.select("target").distinct(), rules)
-    joined = rows.join(matches, "target", "left")
+    matches, seen = session.measure(match(rows.select("target").distinct(), rules), "matches", bytes=F.sum(F.octet_length("target")))
+    joined = rows.join(session.broadcast_if_small(matches, seen), "target", "left")
     verdict = F.coalesce("site.action", "pattern.action", F.lit("allow"))
     return joined.select("page_id", "host", "path", F.col("site.rule").alias("rule"), verdict.alias("verdict"), F.col("pattern.rule").alias("pattern"))
