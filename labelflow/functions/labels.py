@@ -39,7 +39,7 @@ def binary_label(df: DataFrame, name: str, strict: bool = False) -> Column:
         word = F.lower(strip(col))
         value = F.when(word.isin(POSITIVE_WORDS), 1).when(word.isin(NEGATIVE_WORDS), 0)
     if strict:
-        unknown = F.concat(F.lit("无法识别二分类标签: "), none_to_empty(col))
+        unknown = F.concat(F.lit("not a label of either class: "), none_to_empty(col))
         value = F.coalesce(value, F.raise_error(unknown).cast("int"))
     return value
 

@@ -21,7 +21,7 @@ from labelflow.functions.labels import binary_label, class_text
 from labelflow.functions.text import is_missing, none_to_empty, strip
 from labelflow.operators.metrics import binary_metrics
 from labelflow.operators.sampling import RECORD_ID
-from labelflow.session import materialize, spread
+from labelflow.session import materialize
 
 # Words, with each Chinese character a word of its own.
 TOKENS = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
@@ -147,7 +147,7 @@ def train_classifier(splits: DataFrame, config: TrainConfig = TrainConfig()) ->
     better.  Metrics and details cover all three parts.
     """
     # Written once: every pass below reads samples, not the plan behind them.
-    samples = materialize(spread(split_samples(splits, config), "index"), "samples")
+    samples = materialize(split_samples(splits, config), "samples")
     train = samples.filter(F.col("split") == "train")
     classes = {row["label"]: row["count"] for row in train.groupBy("label").count().collect()}
     if sum(classes.values()) < 2:
@@ -162,9 +162,8 @@ def train_classifier(splits: DataFrame, config: TrainConfig = TrainConfig()) ->
             IDF(inputCol="__tf", outputCol="__features"),
         ]
     ).fit(train.withColumn("__text", F.col("text")))
-    prepared = features.transform(samples.withColumn("__text", F.col("text"))).select(
-        "split", "index", "text", "label", "__features"
-    )
+    fitted_on = samples.filter(F.col("split").isin("train", "val")).withColumn("__text", F.col("text"))
+    prepared = features.transform(fitted_on).select("split", "label", "__features")
     prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     fit_rows, val_rows = (prepared.filter(F.col("split") == part) for part in ("train", "val"))
     best, best_f1, tried = None, -1.0, []

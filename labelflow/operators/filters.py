@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelflow.functions.columns import by_name
+from labelflow.functions.columns import by_name, quote
 from labelflow.functions.text import none_to_empty
 
 
@@ -41,17 +41,40 @@ def keyword_filter(
     if field_mode not in ("any", "same_field"):
         raise ValueError(f"unknown field mode: {field_mode}")
 
-    def hit(name: str, word: str) -> Column:
-        text = none_to_empty(by_name(name))
-        if literal:
-            return F.lower(text).contains(word.lower())
-        return text.ilike("%" + word.replace("\\", "\\\\") + "%")
+    patterns = [f"%{_escaped(word) if literal else _backslashes(word)}%" for word in words]
+
+    def like(name: str, kind: str) -> Column:
+        listed = ", ".join(_sql_text(pattern) for pattern in patterns)
+        return F.expr(f"coalesce(cast({quote(name)} as string), '') ILIKE {kind} ({listed})")
 
     if keyword_mode == "any":
-        return reduce(or_, [hit(name, word) for word in words for name in columns])
+        return _balanced(or_, [like(name, "ANY") for name in columns])
     if field_mode == "same_field":
-        return reduce(or_, [reduce(and_, [hit(name, word) for word in words]) for name in columns])
-    return reduce(and_, [reduce(or_, [hit(name, word) for name in columns]) for word in words])
+        return _balanced(or_, [like(name, "ALL") for name in columns])
+    texts = [F.lower(none_to_empty(by_name(name))) for name in columns]
+    lowered = [F.lower(F.lit(pattern)) for pattern in patterns]
+    return _balanced(and_, [_balanced(or_, [F.like(text, pattern) for text in texts]) for pattern in lowered])
+
+
+def _backslashes(word: str) -> str:
+    return word.replace("\\", "\\\\")
+
+
+def _escaped(word: str) -> str:
+    """A pattern that fits exactly this word."""
+    return _backslashes(word).replace("%", "\\%").replace("_", "\\_")
+
+
+def _sql_text(text: str) -> str:
+    """A string literal of the SQL parser."""
+    return "'" + _backslashes(text).replace("'", "\\'") + "'"
+
+
+def _balanced(operator: Callable[[Column, Column], Column], terms: list[Column]) -> Column:
+    """Join terms as a tree whose depth grows with the logarithm of their number."""
+    while len(terms) > 1:
+        terms = [operator(*terms[k : k + 2]) if k + 1 < len(terms) else terms[k] for k in range(0, len(terms), 2)]
+    return terms[0]
 
 
 def count_matches(df: DataFrame, columns: list[str], keywords: list[str], **modes) -> DataFrame:

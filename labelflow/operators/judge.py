@@ -8,8 +8,12 @@ the text column only; prompts, reply parsing, labels and errors are columns.
 from __future__ import annotations
 
 import json
+import re
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from threading import Lock
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,10 +24,13 @@ from labelflow.functions.columns import by_name, columns_except
 from labelflow.functions.labels import POSITIVE_WORDS
 from labelflow.functions.text import none_to_empty, strip
 from labelflow.operators.ordering import id_at_rank
+from labelflow.operators.paging import page
 from labelflow.operators.sampling import RECORD_ID
-from labelflow.session import spread
+from labelflow.session import materialize
 
-Scorer = Callable[[list[str]], list[str]]
+Scorer = Callable[[list[str]], list[str | Exception]]
+# Letters, digits and underscores, with something besides underscores.
+LEGAL_NAME = re.compile(r"\w*[^\W_]\w*")
 
 # Error texts, field type names and defaults of the field list.
 EMPTY_TEXT = "文本为空"
@@ -83,6 +90,21 @@ DEFAULT_FIELDS = [
 ]
 
 
+@dataclass(frozen=True)
+class Calls:
+    """How one task calls a scorer.
+
+    ``texts_per_call`` texts go into a call and ``at_a_time`` calls run at once,
+    started at least ``seconds_between`` apart.  After ``max_failures`` failed
+    calls in a row the scorer is taken to be out of order.
+    """
+
+    texts_per_call: int = 16
+    at_a_time: int = 1
+    seconds_between: float = 0.0
+    max_failures: int = 3
+
+
 @dataclass(frozen=True)
 class JudgeConfig:
     text_column: str = "摘要"
@@ -94,7 +116,7 @@ class JudgeConfig:
     reason_key: str = "core_reason"
     id_column: str = RECORD_ID
     limit: int | None = None
-    concurrency: int | None = None
+    calls: Calls = Calls()
 
 
 def normalize_fields(rows: list[dict]) -> list[Field]:
@@ -105,7 +127,7 @@ def normalize_fields(rows: list[dict]) -> list[Field]:
     fields: dict[str, Field] = {}
     for row in rows:
         name = text(row, "name")
-        if name in fields or not all(part.isalnum() for part in name.split("_") if part) or not name.strip("_"):
+        if name in fields or not LEGAL_NAME.fullmatch(name):
             continue
         kind = FIELD_TYPES.get(text(row, "type_label"), "string")
         need, options = text(row, "requirement"), text(row, "enum_options")
@@ -184,7 +206,10 @@ def is_object(value: Column) -> Column:
 
 
 def _path(key: str) -> str:
-    return f"$['{key}']"
+    """JSON path of a member; a quote inside its name is told apart by the other kind of quote."""
+    if "'" in key and '"' in key:
+        raise ValueError(f"a key cannot hold both kinds of quotes: {key}")
+    return f'$["{key}"]' if "'" in key else f"$['{key}']"
 
 
 def field_text(value: Column, key: str) -> Column:
@@ -192,6 +217,16 @@ def field_text(value: Column, key: str) -> Column:
     return F.try_variant_get(value, _path(key), "string")
 
 
+def _filled_text(value: Column, key: str) -> Column:
+    """A member as text; NULL when it is absent, empty, zero, false or an empty list or object."""
+    text = field_text(value, key)
+    kind = F.schema_of_variant(F.try_variant_get(value, _path(key), "variant"))
+    number = (kind == "BIGINT") | (kind == "DOUBLE") | (kind == "FLOAT") | kind.startswith("DECIMAL")
+    zero = number & (F.try_variant_get(value, _path(key), "double") == 0)
+    empty = ((kind == "BOOLEAN") & (text == "false")) | (~(kind == "STRING") & text.isin("[]", "{}"))
+    return F.when(~(zero | empty), F.nullif(text, F.lit("")))
+
+
 def field_truth(value: Column, key: str) -> Column:
     """A member of a parsed reply as a boolean that is never NULL."""
     member = F.try_variant_get(value, _path(key), "variant")
@@ -203,45 +238,93 @@ def field_truth(value: Column, key: str) -> Column:
     return F.coalesce(truth, F.lit(False))
 
 
-def _ask(scorer: Scorer, texts: list[str]) -> list[tuple[str | None, str | None]]:
-    try:
-        replies = list(scorer(texts))
-        if len(replies) != len(texts):
-            raise ValueError(f"{len(replies)} replies to {len(texts)} texts")
-        return [(reply, None) for reply in replies]
-    except Exception as error:
-        if len(texts) == 1:
-            return [(None, str(error) or type(error).__name__)]
-        half = len(texts) // 2
-        return _ask(scorer, texts[:half]) + _ask(scorer, texts[half:])
+class _Caller:
+    """Sends texts in small calls from a pool of threads, in order, and keeps each text's own error.
 
+    A scorer may return an exception in place of a reply.  If a whole call
+    fails, its texts are asked one by one; after ``max_failures`` failed calls in
+    a row only one text of each further call is tried, until one succeeds.
+    """
+
+    def __init__(self, scorer: Scorer, calls: Calls):
+        self.scorer, self.calls = scorer, calls
+        self.lock, self.next, self.failures = Lock(), 0.0, 0
 
-def ask(scorer: Scorer, text: Column) -> Column:
+    def _wait(self) -> None:
+        if self.calls.seconds_between:
+            with self.lock:
+                now = time.monotonic()
+                self.next = max(self.next, now) + self.calls.seconds_between
+                pause = self.next - now - self.calls.seconds_between
+            time.sleep(max(0.0, pause))
+
+    def _call(self, texts: list[str]) -> tuple[bool, list[str | Exception]]:
+        self._wait()
+        try:
+            replies = list(self.scorer(texts))
+            if len(replies) != len(texts):
+                raise ValueError(f"{len(replies)} replies to {len(texts)} texts")
+        except Exception as error:
+            self.failures += 1
+            return False, [error] * len(texts)
+        self.failures = 0
+        return True, replies
+
+    def _chunk(self, texts: list[str]) -> list[str | Exception]:
+        if self.failures < self.calls.max_failures:
+            good, replies = self._call(texts)
+            if good or len(texts) == 1:
+                return replies
+        answers: list[str | Exception] = []
+        for text in texts:
+            if answers and self.failures >= self.calls.max_failures:
+                return answers + [answers[-1]] * (len(texts) - len(answers))
+            answers += self._call([text])[1]
+        return answers
+
+    def ask(self, texts: list[str]) -> list[tuple[str | None, str | None]]:
+        size = self.calls.texts_per_call
+        chunks = [texts[k : k + size] for k in range(0, len(texts), size)]
+        with ThreadPoolExecutor(self.calls.at_a_time) as pool:
+            answers = [answer for answers in pool.map(self._chunk, chunks) for answer in answers]
+        return [(None, str(a) or type(a).__name__) if isinstance(a, Exception) else (a, None) for a in answers]
+
+
+def ask(scorer: Scorer, text: Column, calls: Calls = Calls()) -> Column:
     """Struct of reply and error for each text; NULL texts are not sent.
 
-    A failing batch is asked again in halves, so that one bad text only spoils
-    its own row.
+    Each task sends its own texts, so the input's partitions stay as they are.
     """
     @F.pandas_udf("reply string, error string")
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        caller = _Caller(scorer, calls)
         for texts in batches:
             sent = texts.dropna()
-            answers = _ask(scorer, sent.tolist()) if len(sent) else []
+            answers = caller.ask(sent.tolist()) if len(sent) else []
             frame = pd.DataFrame(answers, index=sent.index, columns=["reply", "error"], dtype=object)
             yield frame.reindex(texts.index)
 
     return call.asNondeterministic()(text)
 
 
-def _with_tasks(df: DataFrame, id_column: str, concurrency: int | None) -> DataFrame:
-    if id_column not in df.columns:
-        return df if concurrency is None else df.repartition(concurrency)
-    return spread(df, id_column) if concurrency is None else df.repartition(concurrency, by_name(id_column))
+def _chosen(df: DataFrame, clean: Column, id_column: str, limit: int | None) -> Column:
+    """Whether a row is sent: it has text and, with a limit, is among the first such rows by id."""
+    if limit is None:
+        return F.col("__clean") != ""
+    if limit <= 0:
+        return F.lit(False)
+    last = id_at_rank(df.filter(clean != ""), id_column, limit)
+    return F.col("__clean") != "" if last is None else (F.col("__clean") != "") & (by_name(id_column) <= last)
 
 
-def _judged(df: DataFrame, scorer: Scorer, text: Column) -> DataFrame:
-    """Add ``__parsed`` and ``__failed`` (error text, empty when the reply is an object)."""
-    asked = df.withColumn("__text", text).withColumn("__answer", ask(scorer, F.col("__text")))
+def _judged(df: DataFrame, scorer: Scorer, text: Column, calls: Calls) -> DataFrame:
+    """Add ``__parsed`` and ``__failed`` (error text, empty when the reply is an object).
+
+    Answers are written before anything reads them: each text is sent once,
+    however often the result is used.
+    """
+    asked = df.withColumn("__text", text).withColumn("__answer", ask(scorer, F.col("__text"), calls)).drop("__text")
+    asked = materialize(asked, "answers")
     asked = asked.withColumn("__parsed", parse_reply(F.col("__answer.reply")))
     failed = (
         F.when(F.col("__answer.error").isNotNull(), F.col("__answer.error"))
@@ -255,29 +338,20 @@ def _judged(df: DataFrame, scorer: Scorer, text: Column) -> DataFrame:
 def judge(df: DataFrame, scorer: Scorer, config: JudgeConfig = JudgeConfig()) -> DataFrame:
     """Add a boolean label, a reason, the reply as JSON and an error text.
 
-
     Rows with empty text get an error; with ``limit`` only the first rows by id
-    that have text are judged and the others pass through with NULLs.  With
-    ``concurrency`` at most that many batches are judged at a time.
+    that have text are judged and the others pass through with NULLs.  The
+    answers are stored when this returns.
     """
     clean = strip(none_to_empty(by_name(config.text_column)))
-    chosen = F.col("__clean") != ""
-    if config.limit is not None:
-        has_text = df.filter(clean != "")
-        last = id_at_rank(has_text, config.id_column, config.limit) if config.limit > 0 else None
-        if config.limit <= 0:
-            chosen = F.lit(False)
-        elif last is not None:
-            chosen = chosen & (by_name(config.id_column) <= last)
     # Flags are columns of their own, so that long texts are cleaned once.
-    tasks = _with_tasks(df, config.id_column, config.concurrency)
-    flagged = tasks.withColumn("__clean", clean).withColumn("__blank", F.col("__clean") == "").withColumn("__chosen", chosen)
-    judged = _judged(flagged, scorer, F.when(F.col("__chosen"), F.col("__clean")))
+    flagged = df.withColumn("__clean", clean).withColumn("__blank", F.col("__clean") == "")
+    flagged = flagged.withColumn("__chosen", _chosen(df, clean, config.id_column, config.limit))
+    judged = _judged(flagged, scorer, F.when(F.col("__chosen"), F.col("__clean")), config.calls)
     chosen = F.col("__chosen")
     parsed, failed = F.col("__parsed"), F.col("__failed")
     error = F.when(F.col("__blank"), EMPTY_TEXT).when(chosen, failed)
     good = chosen & (failed == "")
-    reason = F.coalesce(F.nullif(field_text(parsed, config.reason_key), F.lit("")), field_text(parsed, "reason"), F.lit(""))
+    reason = F.coalesce(_filled_text(parsed, config.reason_key), field_text(parsed, "reason"), F.lit(""))
     return judged.select(
         *columns_except(df, config.label_column, config.reason_column, config.raw_column, config.error_column),
         F.when(good, field_truth(parsed, config.boolean_key)).alias(config.label_column),
@@ -296,15 +370,19 @@ def structured_judge(
     error_column: str = "LLM_ERROR",
     typed: bool = False,
     id_column: str = RECORD_ID,
-    concurrency: int | None = None,
+    limit: int | None = None,
+    calls: Calls = Calls(),
 ) -> DataFrame:
     """Add one column per declared field, the declared part as JSON and an error.
 
+    With ``limit`` only the first rows by id are sent and kept.  The answers are
+    stored when this returns.
+
     Other members of a reply are dropped.  Columns are text and empty when
     absent, or of the declared type and NULL when absent with ``typed``.
     """
-    tasks = _with_tasks(df, id_column, concurrency)
-    judged = _judged(tasks, scorer, strip(none_to_empty(by_name(text_column))))
+    rows = df if limit is None else page(df, 0, limit, id_column)
+    judged = _judged(rows, scorer, strip(none_to_empty(by_name(text_column))), calls)
     parsed, good = F.col("__parsed"), F.col("__failed") == ""
     columns = []
     for field in fields:

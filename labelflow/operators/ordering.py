@@ -22,7 +22,11 @@ ROWS = "__rows"
 # Hex digits added per counting pass: 4,096 prefixes, each holding an even
 # share of the rows because md5 spreads distinct ids evenly.
 DIGITS = 3
+# Keys whose order the driver settles at the end.
+MAX_DRIVER_KEYS = 65_536
 # A key below every md5 text and one above every md5 text.
+NO_ID = "the id column holds NULL"
+REPEATED_ID = "the id column must be unique"
 NONE_CUT = ""
 ALL_CUT = "~"
 
@@ -36,14 +40,18 @@ def prefix(digits: int = DIGITS) -> Column:
     return F.substring(KEY, 1, digits)
 
 
-def select_cut(keys: DataFrame, n: int, task_rows: int = MAX_TASK_ROWS) -> tuple[str, int]:
+def select_cut(keys: DataFrame, n: int, task_rows: int = MAX_DRIVER_KEYS) -> tuple[str, int]:
     """Key of the ``n``-th row of ``keys`` (one column ``__key``), and the row count.
 
-    The driver sees at most 4,096 prefix counts per pass.
+    The driver sees at most 4,096 prefix counts per pass, and at most
+    ``task_rows`` keys at the end.
     """
     inside, total, digits, wanted = keys, None, DIGITS, n
     while True:
-        counts = sorted(inside.groupBy(prefix(digits).alias(PREFIX)).count().collect())
+        counts = inside.groupBy(prefix(digits).alias(PREFIX)).count().collect()
+        if any(c[PREFIX] is None for c in counts):
+            raise ValueError(NO_ID)
+        counts.sort()
         if total is None:
             total = sum(c["count"] for c in counts)
             if n <= 0 or total == 0:
@@ -60,15 +68,18 @@ def select_cut(keys: DataFrame, n: int, task_rows: int = MAX_TASK_ROWS) -> tuple
         digits += DIGITS
     last = [row[KEY] for row in inside.orderBy(KEY).offset(wanted - 1).limit(2).collect()]
     if len(set(last)) < len(last):
-        raise ValueError("the id column must be unique")
+        raise ValueError(REPEATED_ID)
     return last[0], total
 
 
 def group_sizes(keys: DataFrame, by: str) -> tuple[DataFrame, dict]:
     """Rows per group, written once, with the extent of the table and the largest size."""
-    sizes = keys.groupBy(by).agg(F.count(F.lit(1)).alias("size"))
+    sizes = keys.groupBy(by).agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col(KEY).isNull()).alias("__no_id"))
     key_bytes = F.sum(F.octet_length(by))
-    return measure(sizes, "sizes", bytes=key_bytes, total=F.sum("size"), largest=F.max("size"))
+    sizes, seen = measure(sizes, "sizes", bytes=key_bytes, total=F.sum("size"), largest=F.max("size"), no_id=F.sum("__no_id"))
+    if seen["no_id"]:
+        raise ValueError(NO_ID)
+    return sizes.drop("__no_id"), seen
 
 
 def group_cuts(
@@ -138,7 +149,8 @@ def id_at_rank(df: DataFrame, id_col: str, rank: int, task_rows: int = 65_536) -
     while high - low >= task_rows:
         width = (high - low) // task_rows + 1
         ranges = ids.filter(F.col("id").between(low, high))
-        slot = F.expr(f"(id - {low}L) div {width}L")
+        # As decimals: ids may lie further apart than a long can hold.
+        slot = F.expr(f"cast((cast(id as decimal(20,0)) - ({low}BD)) div ({width}BD) as long)")
         counts = sorted(ranges.groupBy(slot.alias("slot")).count().collect())
         for found in counts:
             if rank <= found["count"]:

@@ -11,18 +11,23 @@ from labelflow.operators.ordering import id_at_rank
 from labelflow.operators.sampling import RECORD_ID
 
 
-def page(df: DataFrame, offset: int, limit: int, id_col: str = RECORD_ID) -> DataFrame:
-    """``limit`` rows after the first ``offset``, in id order.
+# Rows up to which a page is the top of one pass over the table.
+SHALLOW = 10_000
 
-    For a unique integer id the page is a range of ids, so the scan prunes row
+
+def page(df: DataFrame, offset: int, limit: int, id_col: str = RECORD_ID, shallow: int = SHALLOW) -> DataFrame:
+    """``limit`` rows after the first ``offset``, in id order; rows without an id are on no page.
+
+    A page that ends within ``shallow`` rows is a top-k over one pass.  For a
+    deeper one a unique integer id gives a range of ids, so the scan prunes row
     groups and no rows before the page are sorted.  Other ids use a top-k.
     """
     offset, limit = max(0, offset), max(0, limit)
-    if not isinstance(df.schema[id_col].dataType, T.IntegralType):
-        return df.orderBy(by_name(id_col)).offset(offset).limit(limit)
+    inside = by_name(id_col).isNotNull()
+    if offset + limit <= shallow or not isinstance(df.schema[id_col].dataType, T.IntegralType):
+        return df.filter(inside).orderBy(by_name(id_col)).offset(offset).limit(limit)
     if limit == 0:
         return df.limit(0)
-    inside = by_name(id_col).isNotNull()
     if offset:
         first = id_at_rank(df, id_col, offset + 1)
         if first is None:
@@ -31,7 +36,7 @@ def page(df: DataFrame, offset: int, limit: int, id_col: str = RECORD_ID) -> Dat
     last = id_at_rank(df, id_col, offset + limit)
     if last is not None:
         inside = inside & (by_name(id_col) <= last)
-    return df.filter(inside).orderBy(by_name(id_col))
+    return df.filter(inside).orderBy(by_name(id_col)).limit(limit)
 
 
 def head(df: DataFrame, limit: int) -> DataFrame:

@@ -38,7 +38,8 @@ def random_sample(
 
 def _first_in_shuffle(df: DataFrame, n: int, seed: int, id_col: str, source: str) -> tuple[DataFrame, int]:
     key = o.sort_key(id_col, seed)
-    cut, total = o.select_cut(df.select(key.alias(o.KEY)), n)
+    # Written once: counting passes read keys, not the plan behind them.
+    cut, total = o.select_cut(materialize(df.select(key.alias(o.KEY)), "keys"), n)
     rows = df if cut == o.ALL_CUT else df.filter(key <= cut)
     return rows.withColumn(SOURCE, F.lit(source)), total
 
@@ -147,7 +148,7 @@ def stratified_sample(
         raise ValueError(f"no such column: {column}")
     stratum = fold_missing(by_name(column), MISSING_STRATUM)
     keyed = df.withColumn(STRATUM, stratum).withColumn(o.KEY, o.sort_key(id_col, seed))
-    keys = keyed.select(STRATUM, o.KEY)
+    keys = materialize(keyed.select(STRATUM, o.KEY), "keys")
     sizes, seen = o.group_sizes(keys, STRATUM)
     plan = proportional_allocation(sizes, n, seen=seen, max_strata=max_strata).filter("take > 0")
     targets = plan.filter("take < size").select(STRATUM, F.lit(0).alias("cut"), F.col("take").alias("rank"))

@@ -9,7 +9,7 @@ from labelflow.functions.columns import by_name, columns_except
 from labelflow.functions.text import is_missing, none_to_empty, strip
 from labelflow.operators import ordering as o
 from labelflow.operators.sampling import RECORD_ID
-from labelflow.session import MAX_BROADCAST_ROWS, join_groups
+from labelflow.session import MAX_BROADCAST_ROWS, join_groups, materialize
 
 LABEL = "__label"
 PARTS = ("train", "val", "test")
@@ -90,7 +90,7 @@ def assign_splits(
     text = strip(none_to_empty(col)) if trim else none_to_empty(col)
     keyed = df.filter(~is_missing(col, trim)).withColumn(LABEL, text)
     keyed = keyed.withColumn(o.KEY, o.sort_key(id_col, seed))
-    keys = keyed.select(LABEL, o.KEY)
+    keys = materialize(keyed.select(LABEL, o.KEY), "keys")
     sizes, seen = o.group_sizes(keys, LABEL)
     ends = split_ends(F.col("size"), train, val, test, rule)
     sizes = sizes.withColumn("__ends", F.array(*[end.cast("long") for end in ends]))

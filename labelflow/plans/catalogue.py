@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         q.keyword_any,
         q.keyword_all_same_field,
         q.keyword_all_any_field,
+        q.keyword_many,
         q.keyword_count,
         q.filtered_sample,
         q.keyword_list_parse,
@@ -60,12 +61,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         q.judge_errors,
         q.judge_cap,
         q.judge_structured,
+        q.judge_structured_cap,
         q.review_promote,
         q.json_extract,
         q.prompt_column,
         q.safe_names,
         q.format_ratio,
         q.page_of_rows,
+        q.page_hashed_ids,
         q.newest_events,
         f.dense_record_id,
         f.preflight,
@@ -74,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.workbook_scan,
         f.file_hash,
         f.import_history,
+        f.import_lineage,
         f.incremental_import,
         f.resume_score,
         f.incremental_score,

@@ -6,17 +6,16 @@ then runs the operator on them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelflow.functions.labels import class_text
 from labelflow.operators import classifier, judge, sampling, splits
-from labelflow.plans.fixtures import workbooks, write_csv_in_order
+from labelflow.plans.fixtures import write_csv_in_order, write_workbooks
 from labelflow.plans.queries import JUDGE, _documents, _judge_input, _labelled, _rounded, keyword_scorer, table
 from labelflow.plans.stages import StageStore, export_csv, union_records, write_csv
 from labelflow.session import materialize, scratch_path
 from labelflow.sources import imports
-from labelflow.sources.files import file_hashes, file_name
+from labelflow.sources.files import WHOLE_FILE_BYTES, file_hashes
 from labelflow.streaming import incremental
 
 ID = "__record_id"
@@ -75,26 +74,49 @@ def import_reconcile(spark, sf_dir):
 
 def workbook_scan(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    source = imports.workbook_content_source(workbooks(orders, "o_orderkey"), [])
+    source = imports.workbook_source(spark, [write_workbooks(orders, "o_orderkey", scratch_path(spark, "books"))])
     return imports.import_files(source).rows.select(ID, "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
 
 
 def file_hash(spark, sf_dir):
-    hashes = file_hashes(spark, [f"{sf_dir}/orders.parquet", f"{sf_dir}/part.parquet"])
-    return hashes.select(file_name(F.col("file_path")).alias("file_name"), "file_hash")
+    """One text file per benchmark item, hashed whole and in pieces."""
+    path = scratch_path(spark, "items")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    items.repartition("item_id").write.partitionBy("item_id").option("lineSep", "\n").text(path)
+    item = F.regexp_extract("file_path", "item_id=([0-9]+)/", 1).cast("long")
+    whole, pieces = (file_hashes(spark, [path], whole_bytes=size).select(item.alias("item_id"), "file_hash") for size in (WHOLE_FILE_BYTES, 0))
+    return whole.join(pieces.withColumnRenamed("file_hash", "in_pieces"), "item_id")
+
+
+def import_lineage(spark, sf_dir):
+    """Files with a repeated header: repaired names, and the file and batch of every row."""
+    path = scratch_path(spark, "repeated")
+    orders = _order_texts(spark, sf_dir)
+    lines = F.format_string('"%s","%s","%s","%s"', "okey", "status", "priority", "price")
+    folders = {"open": "status = 'O'", "other": "status <> 'O'"}
+    for name, condition in folders.items():
+        rows = orders.filter(condition).repartition(1).sortWithinPartitions("okey").select(lines.alias("value"))
+        header = spark.range(1).select(F.lit("key,state,state,key").alias("value"))
+        header.coalesce(1).union(rows).coalesce(1).write.text(f"{path}/{name}")
+    rows = imports.import_files(imports.csv_source(spark, [f"{path}/{name}" for name in folders])).rows
+    first, *others = [c for c in rows.columns if c not in imports.SYSTEM_COLUMNS]
+    numbers = F.dense_rank().over(Window.partitionBy().orderBy("first_id")).cast("long")
+    batches = rows.groupBy("__batch_id", "__source_file").agg(F.min(ID).alias("first_id")).select("__batch_id", numbers.alias("file_no"))
+    named = rows.join(batches, "__batch_id").withColumn("headers", F.lit(",".join([first, *others])))
+    suffix = F.element_at(F.split("__source_file", r"\."), -1)
+    return named.select(ID, "file_no", suffix.alias("suffix"), "headers", *[F.col(c).alias(f"cell_{k}") for k, c in enumerate([first, *others])])
 
 
 def import_history(spark, sf_dir):
     store = StageStore(spark, scratch_path(spark, "store"))
     folders = _variant_folders(spark, sf_dir)
     options = imports.ImportOptions(allow_extra_columns=True, allow_missing_columns=True)
-    for folder in folders[:2]:
+    for folder in folders:
         source = imports.csv_source(spark, [folder])
         store.add_import(imports.import_files(source, store.columns(), options, store.next_id()))
-    history = store.import_history(50)
-    return history.groupBy("status", "error_message", "header_hash").agg(
-        F.sum("row_count").alias("rows"), F.every(F.length("file_hash") == 64).alias("hashed")
-    )
+    history = store.import_history(9)
+    position = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long")
+    return history.select(position.alias("position"), "status", "error_message", "header_hash", (F.length("file_hash") == 64).alias("hashed"))
 
 
 def incremental_import(spark, sf_dir):
@@ -110,25 +132,33 @@ def incremental_import(spark, sf_dir):
     return store.read("raw").select(ID, "okey", "status", "priority", "price")
 
 
-def _rule_scorer(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("predicted", (F.col("n_chars") > 1000).cast("long"))
+def _text_scorer(rows: DataFrame) -> DataFrame:
+    """Scores by a function of the text, in Arrow batches of the text column."""
+    scored = classifier.score_with(rows, lambda texts: [0.75 if "tion" in text else 0.25 for text in texts], "text")
+    return scored.select("doc_id", "lang", F.col(classifier.POSITIVE_PROBABILITY).alias("positive"))
+
+
+def _deliveries(spark, sf_dir) -> DataFrame:
+    """Documents, those of one source delivered twice."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return documents.unionByName(documents.filter("source = 'src1'")).drop("source")
 
 
 def resume_score(spark, sf_dir):
     """A run over the English documents, then one that takes up the rest."""
-    store, documents = StageStore(spark, scratch_path(spark, "store")), _documents(spark, sf_dir)
-    incremental.resume_scoring(store, documents.filter("lang = 'en'"), _rule_scorer, "doc_id")
-    incremental.resume_scoring(store, documents, _rule_scorer, "doc_id")
+    store, documents = StageStore(spark, scratch_path(spark, "store")), _deliveries(spark, sf_dir)
+    incremental.resume_scoring(store, documents.filter("lang = 'en'"), _text_scorer, "doc_id")
+    incremental.resume_scoring(store, documents, _text_scorer, "doc_id")
     return store.read("predictions")
 
 
 def incremental_score(spark, sf_dir):
     """Two deliveries that overlap; every document is scored once."""
     root = scratch_path(spark, "incremental")
-    store, documents = StageStore(spark, f"{root}/store"), _documents(spark, sf_dir)
+    store, documents = StageStore(spark, f"{root}/store"), _deliveries(spark, sf_dir)
     for rows in (documents.filter("lang <> 'de'"), documents.filter("lang <> 'en'")):
         rows.write.mode("append").parquet(f"{root}/in")
-        incremental.incremental_scoring(store, f"{root}/in", documents.schema, _rule_scorer, "doc_id")
+        incremental.incremental_scoring(store, f"{root}/in", documents.schema, _text_scorer, "doc_id")
     return store.read("predictions")
 
 
@@ -166,8 +196,9 @@ def stage_replace(spark, sf_dir):
 
 def stage_append(spark, sf_dir):
     store, documents = StageStore(spark, scratch_path(spark, "store")), _documents(spark, sf_dir)
-    for lang in ("en", "fr"):
+    for lang in ("en", "fr", "de", "es"):
         store.append("predictions", documents.filter(F.col("lang") == lang))
+    store.append("predictions", documents.filter("lang is null or lang not in ('en', 'fr', 'de', 'es')"))
     return store.read("predictions")
 
 
@@ -180,8 +211,9 @@ def export_chunks(spark, sf_dir):
     path = scratch_path(spark, "export")
     export_csv(_labelled(spark, sf_dir).select("doc_id", "lang", "quality"), path, sheet_rows=101)
     back = spark.read.schema("doc_id long, lang string, quality string").csv(path, header=True)
-    files = back.groupBy("_metadata.file_path").agg(F.count(F.lit(1)).alias("n"), F.count("quality").alias("filled"))
-    return files.agg(F.sum("n").alias("rows"), F.sum("filled").alias("filled"), (F.max("n") <= 100).alias("fits"))
+    longest = back.groupBy("_metadata.file_path").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    cells = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("")), F.coalesce("quality", F.lit(""))))
+    return back.select("doc_id", cells.alias("cells_md5"), F.lit(longest <= 100).alias("fits"))
 
 
 def csv_round_trip(spark, sf_dir):
@@ -193,27 +225,33 @@ def csv_round_trip(spark, sf_dir):
 
 # --- classifier -------------------------------------------------------------
 
-TRAIN = classifier.TrainConfig(
-    text_column="text", label_column="quality", id_column="doc_id", features=1 << 14, max_iterations=10, regularizations=(0.01, 0.1)
-)
+TRAIN = classifier.TrainConfig(text_column="text", label_column="quality", id_column="doc_id")
+
+
+def _planted(rows: DataFrame) -> DataFrame:
+    """A word in every text that tells its quality, so that a classifier that learns makes no error."""
+    word = F.when(F.col("quality") == 1, " zzgood").otherwise(" zzbad")
+    return rows.withColumn("text", F.concat("text", F.repeat(word, 60)))
 
 
 def _split_documents(spark, sf_dir):
-    return splits.assign_splits(_labelled(spark, sf_dir), "quality", id_col="doc_id")
+    labelled = _labelled(spark, sf_dir).filter("quality is not null")
+    return splits.assign_splits(_planted(labelled), "quality", id_col="doc_id")
 
 
 def train_evaluate(spark, sf_dir):
     result = classifier.train_classifier(_split_documents(spark, sf_dir), TRAIN)
-    return _rounded(result.metrics)
+    return _rounded(result.metrics.drop("loss", "log_loss"))
 
 
 def train_score(spark, sf_dir):
-    """Scores of all documents, and whether label, probability and confidence agree."""
+    """Scores of all documents by a model trained on the labelled ones; the others carry the word by their length."""
     result = classifier.train_classifier(_split_documents(spark, sf_dir), TRAIN)
-    scored = classifier.score(table(spark, sf_dir, "documents").select("doc_id", "text"), result.model, "text")
-    p, label = F.col(classifier.POSITIVE_PROBABILITY), F.col(classifier.LABEL_TEXT)
-    agree = (F.abs(F.col(classifier.CONFIDENCE) - F.greatest(p, 1 - p)) < 1e-9) & (label == class_text((p > 0.5).cast("int")))
-    return scored.select("doc_id", agree.alias("agree"))
+    known = _labelled(spark, sf_dir).withColumn("quality", F.coalesce("quality", (F.col("n_chars") > 1000).cast("int")))
+    scored = classifier.score(_planted(known).select("doc_id", "text"), result.model, "text")
+    p = F.col(classifier.POSITIVE_PROBABILITY)
+    sure = F.abs(F.col(classifier.CONFIDENCE) - F.greatest(p, 1 - p)) < 1e-9
+    return scored.select("doc_id", F.col(classifier.LABEL_TEXT).alias("label"), (p > 0.5).alias("positive"), sure.alias("sure"))
 
 
 def score_with_function(spark, sf_dir):
@@ -229,15 +267,9 @@ def score_with_function(spark, sf_dir):
 
 
 def reevaluate(spark, sf_dir):
-    """A saved model on the current splits: supports, classes, and whether the ratios add up."""
+    """A saved model on the current splits: supports and confusion counts."""
     path = scratch_path(spark, "model")
     rows = _split_documents(spark, sf_dir)
     classifier.save_result(classifier.train_classifier(rows, TRAIN), path)
     metrics = classifier.reevaluate(rows, path, TRAIN)
-    right = (F.col("tp") + F.col("tn")) / F.col("support")
-    return metrics.select(
-        "split",
-        "support",
-        (F.col("tp") + F.col("fn")).alias("positives"),
-        (F.abs(F.col("accuracy") - right) < 1e-9).alias("adds_up"),
-    )
+    return metrics.select("split", "support", "tp", "tn", "fp", "fn", F.round("accuracy", 6).alias("accuracy"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelflow.plans.stages import CSV_OPTIONS
+from labelflow.sources.files import file_system
 
 CSV_FILES = 4
 WORKBOOK_ROWS = 5_000
@@ -39,6 +41,22 @@ def workbooks(df: DataFrame, key: str) -> DataFrame:
     return numbered.groupBy("file_no").applyInPandas(build, "file_no long, file_path string, content binary")
 
 
+def write_workbooks(df: DataFrame, key: str, path: str) -> str:
+    """The same workbooks as files, each written by the task that builds it."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for number, content in zip(batch["file_no"], batch["content"]):
+                system, folder = file_system(path)
+                system.create_dir(folder)
+                with system.open_output_stream(f"{folder}/book-{number:06d}.xlsx") as stream:
+                    stream.write(content)
+            yield batch[["file_no"]]
+
+    workbooks(df, key).mapInPandas(write, "file_no long").count()
+    return path
+
+
 def workbook_bytes(rows: list[list], dimension: str | None = None) -> bytes:
     """A minimal workbook: text as inline strings, numbers as numbers, None as no cell."""
     lines = []

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from labelflow.operators.judge import system_prompt
-from labelflow.plans.queries import FIELDS
-
 # White space as Unicode knows it.
 _SPACE = r"[\t\n\x{0b}\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 POSITIVE = "('true','1','yes','y','是','属于','相关','正样本')"
@@ -121,7 +118,7 @@ def judged(extra: str = "error") -> str:
 ORDER_TEXTS = """(select lpad(cast(o_orderkey as varchar), 12, '0') as okey, o_orderstatus as status, o_orderpriority as priority,
   cast(cast(o_totalprice as decimal(18,2)) as varchar) as price from orders)"""
 VARIANTS = f"""(select *, case when status = 'O' then 'a' when status = 'P' then 'b' when priority = '1-URGENT' then 'c' else 'd' end as folder from {ORDER_TEXTS} t)"""
-SCORED = "select doc_id, lang, source, n_chars, cast(n_chars > 1000 as bigint) as predicted from documents"
+SCORED = "select doc_id, lang, case when contains(text, 'tion') then 0.75::double else 0.25::double end as positive from documents"
 
 
 def staged_counts(after: str | None, kept: int) -> str:
@@ -150,9 +147,47 @@ def header_rows(folder: str, status: str, headers: str, missing: str, extra: str
   '{extra}' as extra_columns, count(*) as rows from {VARIANTS} t where folder = '{folder}'"""
 
 
+# The prompt of query prompt_column, as text.
+PROMPT = """你是文本分类与信息抽取助手。
+
+判定任务：
+判断文本
+
+输出要求：
+- 严格输出 JSON 对象，不要输出 Markdown，不要输出解释文字。
+- JSON 只能包含下列一级字段，不允许嵌套对象，不允许数组，不允许增加字段。
+- 字段类型必须符合定义。
+
+字段定义：
+- is_target (boolean，必填): true if the text is wanted
+- core_reason (string，必填): why, in a few words
+- confidence (number，必填): 按字段说明输出
+- level (enum，可空): 可选值：高,中,低
+
+输出 JSON 示例：
+{"is_target": true, "core_reason": "示例", "confidence": 0.91, "level": "示例"}"""
+LEARNT = f"""({floor_split("(select d.doc_id, text, quality from documents d join labels l on d.doc_id = l.doc_id)", "quality", "doc_id", "doc_id, text, quality", 0.8, 0.1, 42)})"""
+STRUCTURED = f"""select doc_id, case when error = '' then target else '' end as is_target,
+  case when error = '' then ' ' || length(txt) || ' chars ' else '' end as core_reason, case when error = '' then '0.5' else '' end as confidence, '' as level,
+  case when error = '' then '{{"is_target":"' || target || '","core_reason":" ' || length(txt) || ' chars ","confidence":0.5,"level":null}}' else '' end as raw, error
+from (select doc_id, case when eligible then error else '' end as error, case when eligible and contains(text, 'tion') then '相关' else 'no' end as target,
+  case when eligible then {strip('text')} else '' end as txt from {JUDGED} j) t"""
+
+
+def history(limit: int) -> str:
+    """Newest imports first: each of the four folders holds four files."""
+    key, state, rank = "okey", "status", "priority"
+    headers = {"a": (key, state, rank), "b": (rank, key, state), "c": (key, state), "d": (key, state, rank, "price")}
+    rows = [names for folder in "dcba" for names in [headers[folder]] * 4][:limit]
+    return " union all ".join(
+        f"""select {k} as position, 'imported' as status, '' as error_message, sha256('{"' || chr(10) || '".join(names)}') as header_hash, true as hashed"""
+        for k, names in enumerate(rows, start=1)
+    )
+
+
 def queries() -> dict[str, str]:
     small, keyword = "widget", "(p_name ilike '%{0}%' or p_type ilike '%{0}%')"
-    prompt = system_prompt("判断文本", FIELDS).replace("'", "''")
+    prompt = PROMPT.replace("'", "''")
     file_clean, sheet_clean = "c_name || '/:\"' || c_mktsegment || '?[x]*.xlsx'", "c_name || '/:\"' || c_mktsegment || '?[x]*.xlsx'"
     return {
         "random_sample": first_in_shuffle(ORDERS, "o_orderkey", 500, 42, "random"),
@@ -211,11 +246,8 @@ select round(train, 6) as train, round(val, 6) as val, round(test, 6) as test,
         "judge_cap": f"""with last as (select max(doc_id) as doc_id from (select doc_id from {JUDGED} j where eligible order by doc_id limit 100) t)
 select doc_id, case when chosen then label end as label, case when chosen then reason end as reason, case when chosen or error = '文本为空' then error end as error
 from (select *, doc_id <= (select doc_id from last) as chosen from ({judged()}) t) u""",
-        "judge_structured": f"""select doc_id, case when error = '' then target else '' end as is_target,
-  case when error = '' then ' ' || length(txt) || ' chars ' else '' end as core_reason, case when error = '' then '0.5' else '' end as confidence, '' as level,
-  case when error = '' then '{{"is_target":"' || target || '","core_reason":" ' || length(txt) || ' chars ","confidence":0.5,"level":null}}' else '' end as raw, error
-from (select doc_id, case when eligible then error else '' end as error, case when eligible and contains(text, 'tion') then '相关' else 'no' end as target,
-  case when eligible then {strip('text')} else '' end as txt from {JUDGED} j) t""",
+        "judge_structured": STRUCTURED,
+        "judge_structured_cap": f"select * from ({STRUCTURED}) s where doc_id in (select doc_id from documents order by doc_id limit 100)",
         "review_promote": f"select doc_id, label from ({judged()}) t where error = ''",
         "json_extract": """select event_id, event_type not in ('error', 'signup') as is_object,
   case when event_type not in ('error', 'signup') then cast(json_extract(props, '$.k') as bigint) end as k from events""",
@@ -239,11 +271,7 @@ union all select 'four', count(*), false from {VARIANTS} t""",
   case when folder = 'c' then '' else priority end as priority, case when folder = 'd' then price else '' end as price from {VARIANTS} t""",
         "workbook_scan": """select row_number() over (order by o_orderkey) as __record_id, cast(o_orderkey as varchar) as o_orderkey, o_orderstatus,
   cast(o_totalprice as varchar) as o_totalprice, o_orderpriority from orders""",
-        "import_history": " union all ".join(
-            f"""select 'imported' as status, '' as error_message, sha256('{names}') as header_hash, count(*) as rows, true as hashed
-from {VARIANTS} t where folder = '{folder}'"""
-            for folder, names in (("a", "okey' || chr(10) || 'status' || chr(10) || 'priority"), ("b", "priority' || chr(10) || 'okey' || chr(10) || 'status"))
-        ),
+        "import_history": history(9),
         "incremental_import": f"""select row_number() over (order by status <> 'O', okey) as __record_id, okey, status, priority,
   case when status = 'O' then '' else price end as price from {ORDER_TEXTS} t""",
         "resume_score": SCORED,
@@ -252,14 +280,23 @@ from {VARIANTS} t where folder = '{folder}'"""
         "stage_clear": staged_counts("labeled", 3) + " union all " + staged_counts("derived", 1),
         "stage_replace": """select cast(d.doc_id as varchar) as doc_id, lang, coalesce(cast(quality as varchar), '') as quality
 from documents d left join labels l on d.doc_id = l.doc_id""",
-        "stage_append": "select doc_id, lang, source, n_chars from documents where lang in ('en', 'fr')",
+        "stage_append": "select doc_id, lang, source, n_chars from documents",
         "stage_union": "select doc_id, lang, null::integer as quality, null::integer as toxic from documents union all select doc_id, null, quality, toxic from labels",
-        "export_chunks": "select (select count(*) from documents) as rows, (select count(*) from documents d join labels l on d.doc_id = l.doc_id) as filled, true as fits",
+        "export_chunks": """select d.doc_id, md5(d.doc_id || '|' || coalesce(lang, '') || '|' || coalesce(cast(quality as varchar), '')) as cells_md5, true as fits
+from documents d left join labels l on d.doc_id = l.doc_id""",
         "csv_round_trip": "select conv_id, turn, md5(text) as text_md5 from conversations",
-        "train_score": "select doc_id, true as agree from documents",
+        "train_evaluate": ratios(f"select split, {METRICS.replace('predicted', 'quality')} from {LEARNT} t group by split", "split"),
+        "train_score": """select doc_id, case when q = 1 then '正样本' else '负样本' end as label, q = 1 as positive, true as sure from (
+  select d.doc_id, coalesce(quality, cast(n_chars > 1000 as integer)) as q from documents d left join labels l on d.doc_id = l.doc_id) t""",
         "score_with_function": """select doc_id, case when contains(text, 'tion') then '正样本' else '负样本' end as label,
   case when contains(text, 'tion') then 0.75::double else 0.25::double end as positive, 0.75::double as confidence from documents""",
-        "reevaluate": f"""select split, count(*) as support, count(*) filter (quality = 1) as positives, true as adds_up
-from ({floor_split("(select d.doc_id, text, quality from documents d join labels l on d.doc_id = l.doc_id)", "quality", "doc_id", "doc_id, text, quality", 0.8, 0.1, 42)}) t
-where {strip("text")} <> '' group by split""",
+        "reevaluate": f"""select split, count(*) as support, count(*) filter (quality = 1) as tp, count(*) filter (quality = 0) as tn,
+  0 as fp, 0 as fn, 1.0::double as accuracy from {LEARNT} t group by split""",
+        "file_hash": "select item_id, sha256(text || chr(10)) as file_hash, sha256(text || chr(10)) as in_pieces from benchmark",
+        "import_lineage": f"""select row_number() over (order by status <> 'O', okey) as __record_id, case when status = 'O' then 1 else 2 end as file_no, 'txt' as suffix,
+  'key,state,state_2,key_2' as headers, okey as cell_0, status as cell_1, priority as cell_2, price as cell_3 from {ORDER_TEXTS} t""",
+        "keyword_many": """select c_custkey, c_name from customer where exists (select 1 from range(1000) r(k)
+  where contains(c_name, cast(1000 + 7 * k as varchar)) or contains(cast(cast(c_acctbal as decimal(18,2)) as varchar), cast(1000 + 7 * k as varchar)))""",
+        "page_hashed_ids": """select (cast('0x' || substr(md5(cast(o_orderkey as varchar)), 1, 15) as bigint) - 576460752303423488) * 15 as hashed, o_orderkey
+from orders order by 1 limit 200 offset 900""",
     }

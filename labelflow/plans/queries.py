@@ -97,6 +97,16 @@ def keyword_all_any_field(spark, sf_dir):
     return _keyword_rows(spark, sf_dir, ["small", "economy"], keyword_mode="all")
 
 
+MANY_WORDS = [str(1000 + 7 * k) for k in range(1000)]
+
+
+def keyword_many(spark, sf_dir):
+    """A thousand keywords over two columns."""
+    customers = table(spark, sf_dir, "customer").withColumn("balance", F.col("c_acctbal").cast("decimal(18,2)").cast("string"))
+    wanted = filters.keyword_filter(customers, ["c_name", "balance"], MANY_WORDS, literal=True)
+    return customers.filter(wanted).select("c_custkey", "c_name")
+
+
 def keyword_count(spark, sf_dir):
     found = None
     for name in ("documents", "conversations"):
@@ -299,12 +309,13 @@ def prediction_distribution(spark, sf_dir):
 # --- judge ------------------------------------------------------------------
 
 
-def keyword_scorer(texts: list[str]) -> list[str]:
-    """A judge by rule: fenced, plain, chatty and broken replies; fails on one word."""
+def keyword_scorer(texts: list[str]) -> list[str | Exception]:
+    """A judge by rule: fenced, plain, chatty and broken replies; an error for one word."""
     replies = []
     for text in texts:
         if "license" in text:
-            raise RuntimeError("refused")
+            replies.append(RuntimeError("refused"))
+            continue
         reply = json.dumps({"is_target": "相关" if "tion" in text else "no", "core_reason": f" {len(text)} chars ", "confidence": 0.5, "other": [1]})
         if "ing" in text:
             reply = f"```json\n{reply}\n```"
@@ -340,8 +351,8 @@ def judge_cap(spark, sf_dir):
 
 
 FIELDS = judge.normalize_fields([
-    {"name": "is_target", "type_label": "布尔", "requirement": "判断文本是否属于目标类别", "example": "true"},
-    {"name": "core_reason", "type_label": "文本", "requirement": "用一句话说明判定理由"},
+    {"name": "is_target", "type_label": "布尔", "requirement": "true if the text is wanted", "example": "true"},
+    {"name": "core_reason", "type_label": "文本", "requirement": "why, in a few words"},
     {"name": "confidence", "type_label": "数字", "example": "0.91"},
     {"name": "level", "type_label": "枚举", "enum_options": "高,中,低", "required": False},
 ])
@@ -352,6 +363,13 @@ def judge_structured(spark, sf_dir):
     return judged.select("doc_id", "is_target", "core_reason", "confidence", "level", "raw", "error")
 
 
+def judge_structured_cap(spark, sf_dir):
+    """Only the first 100 documents by id are sent and kept."""
+    rows = _judge_input(spark, sf_dir)
+    judged = judge.structured_judge(rows, keyword_scorer, FIELDS, "text", "raw", "error", id_column="doc_id", limit=100)
+    return judged.select("doc_id", "is_target", "core_reason", "confidence", "level", "raw", "error")
+
+
 def review_promote(spark, sf_dir):
     judged = judge.judge(_judge_input(spark, sf_dir), keyword_scorer, JUDGE)
     return judge.promote(judged, "error").select("doc_id", "label")
@@ -404,6 +422,13 @@ def page_of_rows(spark, sf_dir):
     return page(_orders(spark, sf_dir), 200, 100, "o_orderkey")
 
 
+def page_hashed_ids(spark, sf_dir):
+    """A deep page by ids that a hash spreads over the whole range of a long."""
+    number = F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 15), 16, 10).cast("long")
+    orders = _orders(spark, sf_dir).withColumn("hashed", (number - (1 << 59)) * 15)
+    return page(orders, 900, 200, "hashed", shallow=0).select("hashed", "o_orderkey")
+
+
 def newest_events(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
     return events.orderBy(F.desc("at"), F.desc("event_id")).limit(20)

@@ -177,7 +177,7 @@ class StageStore:
         return rows
 
     def append(self, stage: str, df: DataFrame, stringify: bool = False, part: str | None = None) -> int:
-        """Append rows with the same columns in the same order; returns the rows added.
+        """Append rows with the same columns and types in the same order; returns the rows added.
 
         Writing the same ``part`` again replaces it, which makes a replayed
         batch harmless.
@@ -188,8 +188,11 @@ class StageStore:
         if not self.exists(stage):
             self._store_schema(f"{self.root}/{stage}/v1", df.schema)
             df.limit(0).write.mode("append").parquet(f"{self.root}/{stage}/v1")
-        elif self._schema(stage).names != df.columns:
-            raise ValueError(f"the columns of {stage} differ")
+        else:
+            # Files of one table must agree, or no file of it can be read.
+            known = [(field.name, field.dataType.simpleString()) for field in self._schema(stage).fields]
+            if known != df.dtypes:
+                raise ValueError(f"the columns of {stage} differ: {known} and {df.dtypes}")
         target = f"{self._current(stage)}/part-{part or uuid.uuid4().hex}"
         df.write.mode("overwrite").parquet(target)
         return self.spark.read.schema(df.schema).parquet(target).count()

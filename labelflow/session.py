@@ -7,6 +7,7 @@ lineage, survives lost executors, and knows its row count.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,8 +22,6 @@ MAX_BROADCAST_ROWS = 1_000_000
 KEY_BYTES = 100
 # Rows one task may sort by itself; larger inputs are divided first.
 MAX_TASK_ROWS = 4_000_000
-# Keys treated as heavy when a group table is too large to broadcast.
-HEAVY_KEYS = 1_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -33,7 +32,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     chosen = spark.sparkContext.getCheckpointDir()
     if chosen:
         return chosen
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="labelflow-"))
     return spark.sparkContext.getCheckpointDir()
@@ -67,18 +66,6 @@ def measure(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dic
     return written, written.agg(*columns).first().asDict()
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Redistribute rows by a unique key when fewer files than cores feed ``df``.
-
-    For work that costs far more per row than a shuffle does.  Tables of many
-    files already have enough partitions and stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, by_name(key))
-
-
 def is_small(seen: dict, limit: int) -> bool:
     """Whether a measured table has at most ``limit`` rows of ordinary width."""
     return seen["rows"] <= limit and (seen.get("bytes") or 0) <= limit * KEY_BYTES
@@ -101,12 +88,15 @@ def join_groups(
 
     ``seen`` is the measured size of ``groups`` and ``weight`` its column with
     the rows each group holds in ``df``.  A group table beyond ``limit`` is
-    joined in two parts: the heaviest keys by broadcast, so no key floods a
-    task, and the others by a shuffle.
+    joined in two parts: every key with more than ``MAX_TASK_ROWS`` rows by a
+    broadcast whose size is measured again, so no key floods a task, and the
+    others by a shuffle.
     """
     if is_small(seen, limit):
         return df.join(F.broadcast(groups), key)
     groups = materialize(groups, "groups")
-    heavy = materialize(groups.orderBy(F.desc(weight), key).limit(HEAVY_KEYS), "heavy")
+    heavy, found = measure(groups.filter(F.col(weight) > MAX_TASK_ROWS), "heavy", bytes=F.sum(F.octet_length(key)))
+    if not found["rows"] or not is_small(found, MAX_BROADCAST_ROWS):
+        return df.join(groups, key)
     light = df.join(F.broadcast(heavy.select(key)), key, "left_anti")
     return df.join(F.broadcast(heavy), key).unionByName(light.join(groups, key))

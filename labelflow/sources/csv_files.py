@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelflow.session import materialize
-from labelflow.sources.files import list_files, literal_path, one_slash
+from labelflow.sources.files import file_system, list_files, literal_path, one_slash
 
 FILES_PER_TASK = 256
 # Low bits of Spark's monotonic id: the position of a row inside its task.
@@ -80,12 +80,10 @@ def _scan(spark: SparkSession, paths: list[str], schema: str, multi_line: bool)
 
 def _read_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Header record of each file, reading only the start of the file."""
-    from pyarrow import fs
-
     for batch in batches:
         heads = []
         for uri in batch["file_path"]:
-            system, name = fs.FileSystem.from_uri(uri)
+            system, name = file_system(uri)
             with system.open_input_stream(name) as stream:
                 text = io.TextIOWrapper(stream, encoding="utf-8-sig", newline="")
                 heads.append(next(csv.reader(text), []))

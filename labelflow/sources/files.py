@@ -8,14 +8,27 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Content of larger files is read in pieces inside the task that hashes them.
-WHOLE_FILE_BYTES = 256 << 20
+WHOLE_FILE_BYTES = 16 << 20
 PIECE_BYTES = 1 << 20
 
 
+# Hadoop's names of stores that Arrow knows by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The Arrow file system of a file that Spark listed, and the file's name in it."""
+    scheme, colon, rest = uri.partition(":")
+    if scheme == "file" or not colon:
+        return fs.LocalFileSystem(), "/" + unquote(rest or scheme).lstrip("/")
+    return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
+
+
 def one_slash(path: Column) -> Column:
     """The same spelling of local paths in listings and in scan metadata."""
     return F.regexp_replace(path, "^file:/+", "file:/")
@@ -68,12 +81,10 @@ def file_hashes(spark: SparkSession, paths: list[str], whole_bytes: int = WHOLE_
 
 
 def _hash_in_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
-
     for batch in batches:
         hashes = []
         for uri in batch["file_path"]:
-            system, name = fs.FileSystem.from_uri(uri)
+            system, name = file_system(uri)
             digest = hashlib.sha256()
             with system.open_input_stream(name) as stream:
                 while piece := stream.read(PIECE_BYTES):

@@ -63,30 +63,32 @@ class Imported:
 class Source:
     """Profiled files and their records, whatever the file format.
 
-    ``written`` says that the records are a written table.  Block and sequence
-    number of a record that is parsed on the fly hold for one job only, since
-    Spark may cut the files differently in the next.
+    The records are a written table, parsed once for a preflight and an import.
+    Block and sequence number of a record that is parsed on the fly would hold
+    for one job only, since Spark may cut the files differently in the next.
     """
 
     profiles: DataFrame
     cells: DataFrame
     paths: list[str]
-    written: bool
 
 
 def csv_source(spark: SparkSession, paths: list[str], multi_line: bool | None = None) -> Source:
     heads = csv_files.profiles(spark, paths, multi_line)
-    return Source(heads, csv_files.cells(spark, heads), paths, written=False)
+    return Source(heads, materialize(csv_files.cells(spark, heads), "cells"), paths)
 
 
 def workbook_source(spark: SparkSession, paths: list[str]) -> Source:
-    return workbook_content_source(workbook.read_workbooks(spark, paths), paths)
+    return _sheet_source(workbook.read_workbooks(spark, paths), paths)
 
 
 def workbook_content_source(workbooks: DataFrame, paths: list[str]) -> Source:
     """Workbooks given as ``(file_no, file_path, content)`` rows."""
-    rows = workbook.sheet_rows(workbooks)
-    return Source(workbook.profiles(rows), workbook.cells(rows), paths, written=True)
+    return _sheet_source(workbook.sheet_rows(workbooks), paths)
+
+
+def _sheet_source(rows: DataFrame, paths: list[str]) -> Source:
+    return Source(workbook.profiles(rows), workbook.cells(rows), paths)
 
 
 def open_source(spark: SparkSession, paths: list[str]) -> Source:
@@ -105,8 +107,8 @@ def open_source(spark: SparkSession, paths: list[str]) -> Source:
         part = open_one(spark, [paths[i] for i in places])
         numbers = F.array(*[F.lit(i).cast("long") for i in places])
         profiles.append(part.profiles.drop("line_safe").withColumn("file_no", F.get(numbers, F.col("file_no").cast("int"))))
-        cells.append(part.cells if part.written else csv_files.cells_as_array(materialize(part.cells, "cells")))
-    return Source(profiles[0].unionByName(profiles[1]), cells[0].unionByName(cells[1]), paths, written=True)
+        cells.append(part.cells if "cells" in part.cells.columns else csv_files.cells_as_array(part.cells))
+    return Source(profiles[0].unionByName(profiles[1]), cells[0].unionByName(cells[1]), paths)
 
 
 def _classified(source: Source, reference: list[str] | None) -> Preflight:
@@ -156,14 +158,14 @@ def import_files(
 
     Ids are dense from ``start`` in file order, then row order.  A missing
     column is empty text.  Extra columns widen the schema if allowed.  Fails
-    before reading any record when a header does not fit the options.
+    before numbering any record when a header does not fit the options.
     """
     report = _classified(source, reference)
     _reject(report.files, options)
     columns = list(report.reference)
     if options.allow_extra_columns:
         columns += _added_columns(report.files)
-    cells = source.cells if source.written else materialize(source.cells, "cells")
+    cells = source.cells
     blocks = cells.groupBy("file_path", "block").agg(F.count(F.lit(1)).alias("records"), F.min("seq").alias("first_seq"))
     blocks = materialize(blocks, "blocks")
     records = blocks.groupBy("file_path").agg(F.sum("records").alias("records"))
@@ -198,15 +200,23 @@ def import_files(
     return Imported(rows, _ledger(files, source, options), columns)
 
 
-def _reject(files: DataFrame, options: ImportOptions) -> None:
+def rejected_files(files: DataFrame, options: ImportOptions) -> DataFrame:
+    """The files of a preflight that an import with these options refuses."""
     bad = F.col("status") == h.EMPTY
     if not options.allow_missing_columns:
         bad = bad | (F.size("missing_columns") > 0)
     if not options.allow_extra_columns:
         bad = bad | (F.size("extra_columns") > 0)
-    first = files.filter(bad).orderBy("file_no").select("file_name").limit(NAMES_IN_ERROR).collect()
-    if first:
-        raise ValueError(f"headers do not fit: {', '.join(row['file_name'] for row in first)}")
+    return files.filter(bad)
+
+
+def _reject(files: DataFrame, options: ImportOptions) -> None:
+    bad_files = rejected_files(files, options)
+    total = bad_files.count()
+    if total:
+        first = bad_files.orderBy("file_no").select("file_name").limit(NAMES_IN_ERROR).collect()
+        names = ", ".join(row["file_name"] for row in first)
+        raise ValueError(f"headers of {total} files do not fit (rejected_files lists them all): {names}")
 
 
 def _added_columns(files: DataFrame) -> list[str]:

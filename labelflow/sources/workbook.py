@@ -1,7 +1,6 @@
 """Spreadsheet workbooks (.xlsx) as a table of cells.
 
-Workbooks arrive as rows with their bytes, so Spark spreads them over the
-tasks.  A sheet holds at most 1,048,576 rows and is streamed row by row.
+Each workbook is read by the task that parses it; only its cells move on.  A sheet holds at most 1,048,576 rows and is streamed row by row.
 """
 
 from __future__ import annotations
@@ -17,11 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelflow.session import materialize
+from labelflow.session import broadcast_if_small, materialize, measure
 from labelflow.sources.files import list_files, one_slash
 
 ROWS_PER_BATCH = 5_000
-BOOKS_PER_TASK = 16
 CELL_SCHEMA = "file_no long, file_path string, row_no long, seq long, cells array<string>"
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -30,23 +28,22 @@ DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 
 
 def read_workbooks(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``(file_no, file_path, content)`` of workbook files in the order given."""
-    content = spark.read.format("binaryFile").load(paths).select(
-        one_slash(F.col("_metadata.file_path")).alias("file_path"), "content"
-    )
-    return list_files(spark, paths).join(content, "file_path")
+    """Sheet rows of workbook files in the order given; the bytes are not shuffled."""
+    content = spark.read.format("binaryFile").load(paths)
+    content = content.select(F.lit(0).cast("long"), one_slash(F.col("_metadata.file_path")), "content")
+    rows = sheet_rows(content.toDF("file_no", "file_path", "content")).drop("file_no")
+    files, seen = measure(list_files(spark, paths), "files", bytes=F.sum(F.octet_length("file_path")))
+    return rows.join(broadcast_if_small(files, seen), "file_path").select("file_no", *rows.columns)
 
 
 def sheet_rows(workbooks: DataFrame) -> DataFrame:
-    """Rows of the first sheet of every workbook, parsed once and written.
+    """Rows of the first sheet of ``(file_no, file_path, content)`` workbooks, parsed once and written.
 
     Row 0 only says that the workbook was read; row 1 is the header; ``seq``
     numbers the rows below it that hold a value.
     """
-    cores = workbooks.sparkSession.sparkContext.defaultParallelism
-    tasks = max(cores, len(workbooks.inputFiles()) // BOOKS_PER_TASK)
-    spread = workbooks.select("file_no", "file_path", "content").repartition(tasks, "file_path")
-    return materialize(spread.mapInPandas(_read_batches, CELL_SCHEMA), "sheets")
+    given = workbooks.select("file_no", "file_path", "content")
+    return materialize(given.mapInPandas(_read_batches, CELL_SCHEMA), "sheets")
 
 
 def profiles(rows: DataFrame) -> DataFrame:
@@ -95,8 +92,11 @@ def _first_sheet(content: bytes) -> Iterator[tuple[int, list[str]]]:
         target = next(link.get("Target") for link in links if link.get("Id") == sheet_id)
         path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
         with book.open(path) as stream:
-            number = 0
-            for _, row in ElementTree.iterparse(stream):
+            number, parent = 0, None
+            for event, row in ElementTree.iterparse(stream, ("start", "end")):
+                if event == "start":
+                    parent = row if row.tag == f"{MAIN}sheetData" else parent
+                    continue
                 if row.tag != f"{MAIN}row":
                     continue
                 number = int(row.get("r") or number + 1)
@@ -105,7 +105,8 @@ def _first_sheet(content: bytes) -> Iterator[tuple[int, list[str]]]:
                     at = _column(cell.get("r")) if cell.get("r") else len(values)
                     values.extend([""] * (at + 1 - len(values)))
                     values[at] = _text(cell, strings, dates, base)
-                row.clear()
+                # Finished rows leave the tree, so a full sheet takes the memory of one row.
+                parent.clear()
                 yield number, values
 
 

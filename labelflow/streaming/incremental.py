@@ -16,21 +16,37 @@ from pyspark.sql import types as T
 from labelflow.functions.columns import by_name
 from labelflow.operators.sampling import RECORD_ID
 from labelflow.plans.stages import StageStore
+from labelflow.session import broadcast_if_small, measure
 from labelflow.sources.files import literal_path
 from labelflow.sources.imports import ImportOptions, csv_source, import_files
 
 # Files one batch takes: their names pass through the driver.
 FILES_PER_BATCH = 10_000
+# Files one scoring batch takes: a failure costs one batch.
+SCORED_FILES_PER_BATCH = 1_000
 LISTING = "path string, modificationTime timestamp, length long, content binary"
 
 
+def pending_rows(rows: DataFrame, done: DataFrame | None, id_col: str = RECORD_ID) -> DataFrame:
+    """One row for each id that is not scored yet.
+
+    Only ids meet the finished ids; the wide rows are shuffled neither then nor
+    afterwards, unless more ids are pending than a broadcast may hold or ids repeat.
+    """
+    counts = rows.select(by_name(id_col).alias("__id")).groupBy("__id").agg(F.count(F.lit(1)).alias("__rows"))
+    if done is not None:
+        counts = counts.join(done.select(by_name(id_col).alias("__id")), "__id", "left_anti")
+    ids, seen = measure(counts, "pending", most=F.max("__rows"), bytes=F.sum(F.octet_length(F.col("__id").cast("string"))))
+    if done is not None:
+        rows = rows.join(broadcast_if_small(ids.select("__id"), seen), by_name(id_col) == F.col("__id"), "left_semi")
+    return rows.dropDuplicates([id_col]) if (seen["most"] or 0) > 1 else rows
+
+
 def score_pending(
     rows: DataFrame, done: DataFrame | None, scorer: Callable[[DataFrame], DataFrame], id_col: str = RECORD_ID
 ) -> DataFrame:
-    """Scores of the rows whose id is not scored yet."""
-    if done is None:
-        return scorer(rows)
-    return scorer(rows.join(done.select(id_col), id_col, "left_anti"))
+    """Scores of the rows whose id is not scored yet, one for each id."""
+    return scorer(pending_rows(rows, done, id_col))
 
 
 def resume_scoring(
@@ -75,9 +91,17 @@ def _score_missing(
 
 
 def incremental_scoring(
-    store: StageStore, source: str, schema: T.StructType, scorer: Callable[[DataFrame], DataFrame], id_col: str = RECORD_ID
+    store: StageStore,
+    source: str,
+    schema: T.StructType,
+    scorer: Callable[[DataFrame], DataFrame],
+    id_col: str = RECORD_ID,
+    files_per_batch: int = SCORED_FILES_PER_BATCH,
 ) -> None:
-    """Score the Parquet files that arrived in ``source`` since the last run."""
+    """Score the Parquet files that arrived in ``source`` since the last run.
+
+    A backlog is taken in batches of files, each kept once it is written.
+    """
     def score_batch(batch: DataFrame, number: int) -> None:
         part, done = f"batch-{number}", None
         if store.exists("predictions"):
@@ -87,7 +111,7 @@ def incremental_scoring(
             done = store.read("predictions", without_part=part).filter(F.col(id_col).between(low, high))
         store.append("predictions", score_pending(batch, done, scorer, id_col), part=part)
 
-    stream = store.spark.readStream.schema(schema).parquet(source)
+    stream = store.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     query = (
         stream.writeStream.foreachBatch(score_batch)
         .option("checkpointLocation", f"{store.root}/streams/scoring")

@@ -93,7 +93,7 @@ def expected_stratified(groups, n, seed):
     [{}, {"task_rows": 2}, {"max_broadcast": 2}, {"task_rows": 2, "max_broadcast": 2, "max_strata": 3}],
 )
 def test_stratified_sample_with_a_hot_stratum(spark, monkeypatch, limits):
-    monkeypatch.setattr("labelflow.session.HEAVY_KEYS", 2)
+    monkeypatch.setattr("labelflow.session.MAX_TASK_ROWS", 2)
     rng = random.Random(1)
     groups = ["hot"] * 300 + [rng.choice([None, "", "b", "c", "d", "e"]) for _ in range(300)]
     rng.shuffle(groups)

@@ -51,7 +51,7 @@ def test_floor_split_of_twenty_rows(spark):
 
 @pytest.mark.parametrize("limits", [{}, {"task_rows": 2}, {"max_broadcast": 1, "task_rows": 2}])
 def test_floor_split_adds_ratios_as_doubles(spark, monkeypatch, limits):
-    monkeypatch.setattr("labelflow.session.HEAVY_KEYS", 1)
+    monkeypatch.setattr("labelflow.session.MAX_TASK_ROWS", 1)
     labels = ["hot"] * 200 + ["a"] * 10 + ["b"] * 3 + ["c"] + [None, ""] + [" "] * 2
     ratios = (0.7, 0.1, 0.2)
     df = splits.assign_splits(rows(spark, labels), "label", *ratios, seed=3, **limits)
