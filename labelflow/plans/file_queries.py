@@ -229,9 +229,10 @@ TRAIN = classifier.TrainConfig(text_column="text", label_column="quality", id_co
 
 
 def _planted(rows: DataFrame) -> DataFrame:
-    """A word in every text that tells its quality, so that a classifier that learns makes no error."""
-    word = F.when(F.col("quality") == 1, " zzgood").otherwise(" zzbad")
-    return rows.withColumn("text", F.concat("text", F.repeat(word, 60)))
+    """Three hundred words in every text that tell its quality, so that a classifier that learns makes no error."""
+    word = F.when(F.col("quality") == 1, "zzgood").otherwise("zzbad")
+    words = F.transform(F.sequence(F.lit(1), F.lit(300)), lambda k: F.concat(word, k.cast("string")))
+    return rows.withColumn("text", F.concat("text", F.lit(" "), F.array_join(words, " ")))
 
 
 def _split_documents(spark, sf_dir):
