@@ -123,7 +123,7 @@ def _embedding_dedup() -> str:
     return f"""
 WITH RECURSIVE v AS (
   SELECT vec_id AS node, label, embedding::double[] AS e FROM embeddings
-  WHERE label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links AS (SELECT x.node AS a, y.node AS b FROM v x JOIN v y ON x.label = y.label AND x.node < y.node AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.98
 ), ids AS (SELECT vec_id AS node FROM embeddings
 ), {_reached("ids", "links")}
@@ -137,7 +137,7 @@ def _ngram_join() -> str:
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({fold}, '{WORD}') AS words FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_transform(range(1, len(words) - 3), k -> array_to_string(words[k:k + 4], ' ')) END) AS gram FROM w
+    ELSE list_transform(range(1, len(words) - 3), lambda k: array_to_string(words[k:k + 4], ' ')) END) AS gram FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
 ), links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)

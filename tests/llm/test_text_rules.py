@@ -7,7 +7,7 @@ from collections import Counter
 import check_queries
 import pytest
 
-from labelflow.llm import quality_rules, queries, secret_scan, url_filters
+from labelflow.llm import oracles, quality_rules, queries, secret_scan, url_filters
 
 SF_DIR = "/root/testdata/sf0.001"
 TEXTS = [None, "", "  \n\t", "one", "a b " * 50, "héé wörld # * $ % & | < >", "same line here\nsame line here\n\nsame line here \nother", "x" * 100_000, "a b c d e f g h i\n" * 3 + "z", "ab\u00a0cd \u2003 ef", "🙂 🙂 🙂", "l\r\nl\r\nl", "p q r s t u v w x y\nother words p q r s t u v w x y end " * 2]
@@ -156,6 +156,6 @@ def test_redaction_replaces_every_span(spark, tmp_path):
     assert {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, ledger).collect()} == {1: "é [SECRET] end", 2: None, 3: "clean"}
 
 
-@pytest.mark.parametrize("name", ["op3_warc", "op7_url_filters", "op8_secret_scan"])
+@pytest.mark.parametrize("name", list(oracles.queries()))
 def test_queries_agree_with_sql(spark, name):
     assert check_queries.compare(spark, SF_DIR, name).startswith("ok")
