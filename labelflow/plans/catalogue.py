@@ -69,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         q.format_ratio,
         q.page_of_rows,
         q.page_hashed_ids,
+        q.head_rows,
         q.newest_events,
         f.dense_record_id,
         f.preflight,
@@ -78,6 +79,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.file_hash,
         f.import_history,
         f.import_lineage,
+        f.dataset_stats,
+        f.raw_preview,
+        f.schema_published,
         f.incremental_import,
         f.resume_score,
         f.incremental_score,

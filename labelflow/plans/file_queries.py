@@ -119,6 +119,33 @@ def import_history(spark, sf_dir):
     return history.select(position.alias("position"), "status", "error_message", "header_hash", (F.length("file_hash") == 64).alias("hashed"))
 
 
+def _imported_store(spark, sf_dir) -> StageStore:
+    """A dataset made of two imports; the second widens it by a column."""
+    store, orders = StageStore(spark, scratch_path(spark, "store")), _order_texts(spark, sf_dir)
+    options = imports.ImportOptions(allow_extra_columns=True)
+    parts = {"first": orders.filter("status = 'O'").select("okey", "status", "priority"), "second": orders.filter("status <> 'O'")}
+    for rows in parts.values():
+        folder = write_csv_in_order(rows, "okey", scratch_path(spark, "import"))
+        source = imports.csv_source(spark, [folder])
+        store.add_import(imports.import_files(source, store.columns(), options, store.next_id()))
+    return store
+
+
+def dataset_stats(spark, sf_dir):
+    return _imported_store(spark, sf_dir).dataset_stats()
+
+
+def raw_preview(spark, sf_dir):
+    """The second page of the raw records, without the system columns."""
+    return _imported_store(spark, sf_dir).preview_raw(limit=50, offset=50)
+
+
+def schema_published(spark, sf_dir):
+    store = _imported_store(spark, sf_dir)
+    published = spark.read.parquet(f"{store.root}/dataset_schema")
+    return published.select("column_name", "column_index", "data_type_guess", F.col("created_at").rlike(r"^\d{4}-\d\d-\d\dT").alias("stamped"))
+
+
 def incremental_import(spark, sf_dir):
     """Two deliveries of files; the second has one column more."""
     root = scratch_path(spark, "incremental")

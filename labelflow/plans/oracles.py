@@ -295,6 +295,12 @@ from documents d left join labels l on d.doc_id = l.doc_id""",
         "file_hash": "select item_id, sha256(text || chr(10)) as file_hash, sha256(text || chr(10)) as in_pieces from benchmark",
         "import_lineage": f"""select row_number() over (order by status <> 'O', okey) as __record_id, case when status = 'O' then 1 else 2 end as file_no, 'txt' as suffix,
   'key,state,state_2,key_2' as headers, okey as cell_0, status as cell_1, priority as cell_2, price as cell_3 from {ORDER_TEXTS} t""",
+        "dataset_stats": "select count(*) as row_count, cast(4 as bigint) as column_count, true as raw_data_ready from orders",
+        "raw_preview": f"""select okey, status, priority, case when status = 'O' then '' else price end as price from (
+  select *, row_number() over (order by status <> 'O', okey) as id from {ORDER_TEXTS} t) u where id between 51 and 100""",
+        "schema_published": """select * from (values ('okey', 1, 'text', true), ('status', 2, 'text', true), ('priority', 3, 'text', true), ('price', 4, 'text', true))
+  t (column_name, column_index, data_type_guess, stamped)""",
+        "head_rows": f"select * from {ORDERS} t order by o_orderkey limit 25",
         "keyword_many": """select c_custkey, c_name from customer where exists (select 1 from range(1000) r(k)
   where contains(c_name, cast(1000 + 7 * k as varchar)) or contains(cast(cast(c_acctbal as decimal(18,2)) as varchar), cast(1000 + 7 * k as varchar)))""",
         "page_hashed_ids": """select (cast('0x' || substr(md5(cast(o_orderkey as varchar)), 1, 15) as bigint) - 576460752303423488) * 15 as hashed, o_orderkey

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from labelflow.functions import labels as lb
 from labelflow.functions import text as tx
 from labelflow.operators import classifier, filters, judge, metrics, quality, sampling, splits
-from labelflow.operators.paging import page
+from labelflow.operators.paging import head, page
 
 ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
@@ -422,6 +422,10 @@ def page_of_rows(spark, sf_dir):
     return page(_orders(spark, sf_dir), 200, 100, "o_orderkey")
 
 
+def head_rows(spark, sf_dir):
+    return head(_orders(spark, sf_dir).orderBy("o_orderkey"), 25)
+
+
 def page_hashed_ids(spark, sf_dir):
     """A deep page by ids that a hash spreads over the whole range of a long."""
     number = F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 15), 16, 10).cast("long")
