@@ -215,3 +215,23 @@ def test_names_with_glob_characters(spark, tmp_path):
 def test_schema_table_and_history(spark):
     table = imports.schema_table(spark, ["x", "y"]).orderBy("column_index").collect()
     assert [(r["column_name"], r["column_index"], r["data_type_guess"]) for r in table] == [("x", 1, "text"), ("y", 2, "text")]
+
+
+def test_all_rejected_files_are_listed(spark, tmp_path):
+    for k in range(25):
+        (tmp_path / f"f{k:02d}.csv").write_text("x,y\n1,2\n" if k == 0 else "x\n1\n")
+    source = imports.csv_source(spark, [str(tmp_path)])
+    with pytest.raises(ValueError, match="headers of 24 files do not fit"):
+        imports.import_files(source)
+    report = imports.preflight(source)
+    assert imports.rejected_files(report.files, imports.ImportOptions()).count() == 24
+
+
+def test_local_files_by_any_spelling(tmp_path):
+    from labelflow.sources.files import file_system
+
+    path = tmp_path / "a b.txt"
+    path.write_text("x")
+    for uri in (str(path), f"file:{path}", f"file://{path}", path.as_uri()):
+        system, name = file_system(uri)
+        assert system.open_input_stream(name).read() == b"x"
