@@ -108,7 +108,9 @@ def update_ledger(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
     texts = texts.join(pending, F.col("path").eqNullSafe(F.col("first")) & (blob_id(F.col("text")) == F.col("wanted")))
     none = F.array().cast("array<struct<start:int,rank:int,stop:int,rule:string>>")
     found = [F.when(F.array_contains("pending", r.id), _spans(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules)]
-    texts.select(F.col("wanted").alias("blob"), F.col("pending").alias("rules"), F.concat(*found).alias("findings")).write.mode("append").parquet(ledger)
+    scanned = texts.select(F.col("wanted").alias("blob"), F.col("pending").alias("rules"), F.concat(*found).alias("findings"))
+    # A row given twice, path and text, is met twice; the ledger has one row per blob.
+    scanned.dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
 
 
 def blob_findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
