@@ -33,6 +33,8 @@ from labelflow.functions.columns import by_name
 SECTIONS = 32
 LEVELS = 5
 MAX_BLOCKS = 4096
+# Relative error that weights and budgets may have as doubles.
+EPSILON = 1e-9
 
 
 @dataclass(frozen=True)
@@ -86,6 +88,13 @@ def _exponent(sources: DataFrame, target: Target) -> float:
     return high
 
 
+def _budget(wanted: Column, tokens: Column) -> Column:
+    """Whole tokens of a wanted number; one that misses whole passes or whole tokens by the error of doubles is that number."""
+    passes = F.when(tokens > 0, F.round(wanted / tokens) * tokens).otherwise(0.0)
+    near = lambda whole: F.abs(wanted - whole) <= wanted * EPSILON
+    return F.when(near(passes), passes).when(near(F.round(wanted)), F.round(wanted)).otherwise(F.floor(wanted)).cast("long")
+
+
 def plan(docs: DataFrame, target: Target, source_col: str = "source") -> DataFrame:
     """One row per source: tokens, weight, budget, whole passes and the cut of the last one.
 
@@ -98,7 +107,7 @@ def plan(docs: DataFrame, target: Target, source_col: str = "source") -> DataFra
     power = F.when(F.col("tokens") > 0, F.exp(F.lit(exponent) * F.log(F.col("tokens") / F.lit(float(max(total, 1)))))).otherwise(0.0)
     norm = sources.agg(F.sum(power)).first()[0] or 1.0
     weighted = sources.withColumn("weight", power / F.lit(norm))
-    weighted = weighted.withColumn("budget", F.floor(F.col("weight") * F.lit(target.budget * total)))
+    weighted = weighted.withColumn("budget", _budget(F.col("weight") * F.lit(target.budget * total), F.col("tokens")))
     weighted = weighted.withColumn("passes", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1))
     weighted = weighted.withColumn("rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("passes") * F.col("tokens")).otherwise(0))
     weighted = weighted.withColumn("blocks", F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("docs") / target.block_docs)))

@@ -91,6 +91,23 @@ def test_last_pass_is_a_prefix_of_the_permutation(spark):
         assert used <= rows[0]["budget"] and (count == len(rows) or used + rows[count]["n_tokens"] > rows[0]["budget"])
 
 
+def test_a_flat_corpus_comes_out_whole(spark):
+    docs = documents(spark).select("doc_id", "source", mixing.tokens(F.col("text")).alias("n_tokens"))
+    # Sources of one document, none of them of the same size.
+    single = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"), (F.col("id") * 7 % 300 + 900).alias("n_tokens"))
+    for rows in (docs, single):
+        plan = mixing.plan(rows, mixing.Target())
+        assert plan.where("budget != tokens").count() == 0 and plan.first()["exponent"] == 1.0
+        mixed = Counter(r["doc_id"] for r in mixing.realise(rows, plan, mixing.Target()).collect())
+        assert mixed == Counter(r["doc_id"] for r in rows.collect())
+
+
+def test_budgets_round_down_but_for_the_error_of_doubles(spark):
+    cases = [(99.99999999999, 100, 100), (200.00000000001, 100, 200), (199.4, 100, 199), (99.9, 100, 99), (39.99999999999, 100, 40), (0.0, 0, 0), (3e12 - 0.01, 10**12, 3 * 10**12)]
+    df = spark.createDataFrame(cases, "wanted double, tokens long, budget long")
+    assert [r["b"] for r in df.select(mixing._budget(F.col("wanted"), F.col("tokens")).alias("b")).collect()] == [c[2] for c in cases]
+
+
 def test_mixing_edge_cases(spark):
     schema = "doc_id long, text string, source string, turn int"
     rows = [(1, "a b", None, 0), (2, None, "empty", 0), (3, "", "empty", 0), (None, "c d", "x", 0), (4, "e f g", "x", 0), (4, "e f g", "x", 0), (5, " ".join("w" * 1 for _ in range(1)), "y", 0)]
