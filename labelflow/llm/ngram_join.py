@@ -205,10 +205,11 @@ class _Search:
         a = meta.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("pa"))
         b = meta.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("pb"))
         near = pairs.join(a, "a").join(b, "b").where(self.rule.near(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb")))
-        self.verify(near.select("a", "b"))
+        # An id with several texts meets another once per pair of texts.
+        self.verify(near.select("a", "b").distinct())
 
     def sets_of(self, ids: DataFrame, rows: int) -> DataFrame:
-        """Sizes and bitmaps of some documents, given in (at most) ``rows`` rows; broadcast if their measured size allows."""
+        """Sizes and bitmaps of all texts of some documents, given in (at most) ``rows`` rows; broadcast if their measured size allows."""
         used, seen = session.measure(sized(ids.distinct(), rows), "used")
         meta, seen = session.measure(self.meta.join(session.broadcast_if_small(used, seen), "doc_id"), "meta")
         return session.broadcast_if_small(meta, seen | {"bytes": seen["rows"] * BITS // 8})
@@ -244,7 +245,7 @@ class _Search:
 
     def all_pairs(self, rows: DataFrame) -> None:
         """All pairs between components that the prefix, length and positional filters leave."""
-        rows = rows.join(self.sets_of(rows.select("doc_id"), self.size).select("doc_id", "bits"), "doc_id")
+        rows = rows.join(self.sets_of(rows.select("doc_id"), self.size).select("doc_id", "n", "bits"), ["doc_id", "n"])
         x = rows.where(F.col("pos") < self.rule.index(F.col("n"))).select("token", *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "n", "pos", "component", "bits")])
         y = rows.select("token", *[F.col(c).alias(f"{c}_y") for c in ("doc_id", "n", "pos", "component", "bits")])
         n_x, n_y = F.col("n_x"), F.col("n_y")
@@ -270,7 +271,7 @@ def cluster(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "doc_id",
     key = ["f1", "f2", "n"]
     classes = session.materialize(filled.groupBy(*key).agg(F.min("doc_id").alias("kept")), "classes")
     chosen = filled.join(classes.withColumnRenamed("kept", "doc_id"), [*key, "doc_id"])
-    meta = session.materialize(chosen.select("doc_id", "n", "bits").dropDuplicates(["doc_id", "n"]), "sizes")
+    meta = session.materialize(chosen.select("doc_id", "n", "bits").distinct(), "sizes")
     rows = chosen.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
     ends = session.materialize(rows.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high"), "shared")
     postings, seen = session.measure(rows.join(ends, "token"), "postings")

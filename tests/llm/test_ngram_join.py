@@ -80,6 +80,19 @@ def test_edge_cases(spark):
     assert found(spark, []) == []
 
 
+def test_every_text_of_a_repeated_id_is_compared(spark):
+    rows = []
+    for k in range(6):  # texts of one id and of equal size, each a near copy of another document
+        words = [f"t{k}_{j}" for j in range(100)]
+        rows += [(1, " ".join(words)), (10 + k, " ".join([*words[:-1], "other"]))]
+    # Only texts of different documents remain to be compared after the first round.
+    for k in range(6):
+        words = [f"u{k}_{j}" for j in range(100)]
+        rows += [(1000, " ".join(words)), *((500 + 10 * k + m, " ".join([*words[:m], "x", *words[m + 1 :]])) for m in (0, 30, 99))]
+    got = found(spark, rows)
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, 1 if i < 100 else 500) for i, _ in rows}
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 1400)] + [(5, 5), (3000, 2999)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
