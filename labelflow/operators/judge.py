@@ -28,6 +28,8 @@ from labelflow.operators.paging import page
 from labelflow.operators.sampling import RECORD_ID
 from labelflow.session import materialize
 
+# Texts tried alone at the end of a batch, per ``max_failures``, before the waiting ones are given up.
+LAST_TRIES = 4
 Scorer = Callable[[list[str]], list[str | Exception]]
 # Letters, digits and underscores, with something besides underscores.
 LEGAL_NAME = re.compile(r"\w*[^\W_]\w*")
@@ -96,7 +98,7 @@ class Calls:
 
     ``texts_per_call`` texts go into a call and ``at_a_time`` calls run at once,
     started at least ``seconds_between`` apart.  After ``max_failures`` failed
-    calls in a row the scorer is taken to be out of order.
+    texts in a row, each asked alone, the scorer is taken to be out of order.
     """
 
     texts_per_call: int = 16
@@ -242,8 +244,12 @@ class _Caller:
     """Sends texts in small calls from a pool of threads, in order, and keeps each text's own error.
 
     A scorer may return an exception in place of a reply.  If a whole call
-    fails, its texts are asked one by one; after ``max_failures`` failed calls in
-    a row only one text of each further call is tried, until one succeeds.
+    fails, its texts are asked one by one; after ``max_failures`` texts in a row
+    that failed alone only one text of each further call is tried, until one
+    succeeds.  The texts left out meanwhile wait for the end of the batch: they are
+    asked again as soon as any text gets an answer.  If none of the last tries,
+    spread over the waiting texts, gets one either, the waiting texts are not sent
+    and have the error of the last try.
     """
 
     def __init__(self, scorer: Scorer, calls: Calls):
@@ -265,28 +271,53 @@ class _Caller:
             if len(replies) != len(texts):
                 raise ValueError(f"{len(replies)} replies to {len(texts)} texts")
         except Exception as error:
-            self.failures += 1
+            self.failures += len(texts) == 1
             return False, [error] * len(texts)
         self.failures = 0
         return True, replies
 
     def _chunk(self, texts: list[str]) -> list[str | Exception]:
-        if self.failures < self.calls.max_failures:
+        if not self._down():
             good, replies = self._call(texts)
             if good or len(texts) == 1:
                 return replies
         answers: list[str | Exception] = []
         for text in texts:
-            if answers and self.failures >= self.calls.max_failures:
-                return answers + [answers[-1]] * (len(texts) - len(answers))
+            if answers and self._down():
+                break
             answers += self._call([text])[1]
         return answers
 
+    def _down(self) -> bool:
+        return self.failures >= max(1, self.calls.max_failures)
+
+    def _try(self, texts: list[str], waiting: list[int]) -> dict[int, str | Exception]:
+        """Ask a few of the waiting texts alone, until one succeeds."""
+        tried: dict[int, str | Exception] = {}
+        count = min(len(waiting), LAST_TRIES * max(1, self.calls.max_failures))
+        for k in range(count):
+            at = waiting[(2 * k + 1) * len(waiting) // (2 * count)]
+            good, (tried[at],) = self._call([texts[at]])
+            if good:
+                break
+        return tried
+
     def ask(self, texts: list[str]) -> list[tuple[str | None, str | None]]:
-        size = self.calls.texts_per_call
-        chunks = [texts[k : k + size] for k in range(0, len(texts), size)]
+        size, found, waiting = self.calls.texts_per_call, {}, list(range(len(texts)))
         with ThreadPoolExecutor(self.calls.at_a_time) as pool:
-            answers = [answer for answers in pool.map(self._chunk, chunks) for answer in answers]
+            while waiting:
+                chunks = [waiting[k : k + size] for k in range(0, len(waiting), size)]
+                for chunk, answers in zip(chunks, pool.map(lambda chunk: self._chunk([texts[k] for k in chunk]), chunks)):
+                    found |= zip(chunk, answers)
+                waiting = [k for k in waiting if k not in found]
+                if waiting and self._down():
+                    tried = self._try(texts, waiting)
+                    found |= tried
+                    waiting = [k for k in waiting if k not in found]
+                    if self._down():
+                        found |= dict.fromkeys(waiting, list(tried.values())[-1])
+                        break
+        answers = [found[k] for k in range(len(texts))]
         return [(None, str(a) or type(a).__name__) if isinstance(a, Exception) else (a, None) for a in answers]
 
 

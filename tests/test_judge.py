@@ -206,6 +206,34 @@ def test_a_scorer_that_recovers_is_used_again():
     assert len(answers) == 40
 
 
+@pytest.mark.parametrize("bad", [range(2), range(5), range(16), range(18), range(100, 150), [*range(16), *range(16, 480, 16)], [*range(16), *range(24, 32)]])
+@pytest.mark.parametrize("at_a_time", [1, 3])
+def test_every_good_text_of_a_healthy_service_is_answered(bad, at_a_time):
+    def refuse(texts):
+        for text in texts:
+            if int(text) in bad:
+                raise ValueError(f"refused {text}")
+        return ["{}"] * len(texts)
+
+    for size in (16, 40, 500):
+        answers = judge._Caller(refuse, judge.Calls(at_a_time=at_a_time)).ask([str(k) for k in range(size)])
+        assert [a == ("{}", None) for a in answers] == [k not in bad for k in range(size)]
+
+
+def test_texts_left_out_in_an_outage_are_asked_after_it():
+    calls = []
+
+    def flaky(texts):
+        calls.append(texts)
+        if len(calls) <= 12:
+            raise RuntimeError("down")
+        return ["{}"] * len(texts)
+
+    answers = judge._Caller(flaky, judge.Calls()).ask([str(k) for k in range(320)])
+    alone = {texts[0] for texts in calls[:12] if len(texts) == 1}
+    assert [k for k, a in enumerate(answers) if a != ("{}", None)] == sorted(map(int, alone))
+
+
 def test_calls_are_paced_and_kept_in_order():
     import time
 
