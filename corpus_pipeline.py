@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``, made of the corpus operators.
 
 Every stage but the last returns the columns it was given.  Rows that a stage cannot
-judge (null text, null id) stay.  Repeated rows stay together: they share an id.
+judge (null or word-free text, null id) stay.  Repeated rows stay together: they share an id.
 """
 
 from __future__ import annotations

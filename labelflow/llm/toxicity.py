@@ -260,9 +260,14 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
 
 
 def keep(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the chain does not reject, with the columns of ``docs``."""
+    """The rows of ``docs`` that the chain does not reject, and those without a word, with the columns of ``docs``."""
+    at = docs.columns.index(text_col)
 
     def columns(part: pa.RecordBatch, p: np.ndarray, rejected: np.ndarray) -> list[pa.Array]:
+        # Without words only the base rate speaks.
+        for chunk in th.chunks(part.column(at)):
+            worded = th.per_row(chunk.rows_of(chunk.words()[0]), chunk.rows) > 0
+            rejected[chunk.start : chunk.start + chunk.rows] &= worded
         return part.filter(pa.array(~rejected)).columns
 
     return _judged(docs, chain, text_col, columns, docs.schema.fields)

@@ -98,3 +98,10 @@ def test_no_languages_and_no_pages(spark):
     model = language_id.train(spark.createDataFrame([("abc", "aa")], "text string, lang string"))
     assert [r["lang"] for r in language_id.identify(pages, model).collect()] == ["aa"]
     assert language_id.identify(pages.limit(0), model).collect() == []
+
+
+def test_rows_without_words_are_kept_whatever_their_score(spark):
+    always = toxicity.Chain(["toxic"], np.zeros((1, 1 << toxicity.BITS)), np.zeros(1), [np.zeros(1)], 0, 0.0)
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, "some words"), (5, "!"), (None, None), (6, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] or 0 for r in toxicity.keep(docs, always).collect()) == [0, 1, 2, 3]
