@@ -146,6 +146,83 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({fold}, '{WORD}') AS word
 SELECT node AS doc_id, coalesce(n, 0) AS n_shingles, component AS component_id FROM reached LEFT JOIN n ON n.doc_id = node"""
 
 
+# The CRC-32 of a list of byte values: a table of 256 steps by rule, then one look-up per byte.
+CRC_TABLE = "crc (steps) AS (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY b) FROM range(256) r(b))"
+
+
+def _crc(values: str) -> str:
+    return f"xor(list_reduce([4294967295] || {values}, lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+def _bytes(text: str) -> str:
+    digits = f"hex(encode({text}))"
+    return f"list_transform(range(1, len({digits}), 2), lambda k: cast('0x' || substr({digits}, k, 2) AS bigint))"
+
+
+def _conversation_trie() -> str:
+    return f"""
+WITH {CRC_TABLE}
+, t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) x
+), ids AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc(_bytes("conv_id::varchar"))} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t) x, crc
+), r AS (
+  SELECT ids.conv_id, 0 AS own, i, role, text FROM ids JOIN t ON t.conv_id = base AND i <= h
+  UNION ALL SELECT conv_id, 1, i, role, text FROM ids JOIN t USING (conv_id) WHERE i > h
+), turns AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS d FROM r
+), prefixes AS (
+  SELECT conv_id, d, text, list({{'role': role, 'text': text}}) OVER (PARTITION BY conv_id ORDER BY d) AS prefix FROM turns
+  UNION ALL SELECT conv_id, 0, '', [] FROM ids
+), path AS (SELECT conv_id, d, text, min(conv_id) OVER (PARTITION BY d, prefix) AS top, d = max(d) OVER (PARTITION BY conv_id) AS last FROM prefixes
+), nodes AS (
+  SELECT top, d, count(*) AS n_convs, any_value(strlen(text)) AS size, string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (WHERE last) AS ends FROM path GROUP BY top, d
+), linked AS (SELECT n.*, p.top AS parent FROM nodes n LEFT JOIN path p ON p.conv_id = n.top AND p.d = n.d - 1
+), children AS (SELECT parent AS top, d - 1 AS d, count(*) AS n_children FROM linked WHERE d > 0 GROUP BY ALL
+), full_nodes AS (SELECT * FROM linked LEFT JOIN children USING (top, d)
+), sums AS (
+  SELECT p.top, p.d, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum((n_convs - 1) * size) AS saved
+  FROM full_nodes w JOIN path p ON p.conv_id = w.top AND p.d <= w.d GROUP BY p.top, p.d
+)
+SELECT top AS conv_id, d AS depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, cast(saved AS bigint) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM full_nodes JOIN sums USING (top, d)"""
+
+
+def _importance() -> str:
+    def grams(name: str, rows: str) -> str:
+        runs = " UNION ALL ".join(f"SELECT id, unnest(list_transform(range(1, len(words) - {n - 2}), lambda k: array_to_string(words[k:k + {n - 1}], ' '))) AS gram FROM {name}" for n in (1, 2, 3))
+        fold = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
+        return f"""{name} AS (SELECT {rows}, regexp_extract_all({fold}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM {"benchmark" if name == "target" else "documents"}
+), {name}_grams AS (SELECT id, gram, count(*) AS n FROM ({runs}) x GROUP BY id, gram)"""
+
+    return f"""
+WITH {CRC_TABLE}
+, {grams("target", "row_number() OVER () AS id")}
+, {grams("corpus", "row_number() OVER () AS id, doc_id")}
+, buckets AS (SELECT gram, {_crc(_bytes("gram"))} % 10000 AS bucket FROM (SELECT gram FROM target_grams UNION SELECT gram FROM corpus_grams) x, crc
+), t AS (SELECT bucket, sum(n) AS n FROM target_grams JOIN buckets USING (gram) GROUP BY bucket
+), s AS (SELECT bucket, sum(n) AS n FROM corpus_grams JOIN buckets USING (gram) GROUP BY bucket
+), sums AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::double AS s_all, (SELECT coalesce(sum(n), 0) FROM t)::double AS t_all
+), gains AS (SELECT bucket, cast(floor(1000 * ln(((coalesce(t.n, 0) + 1)::double * (s_all + 10000)) / ((s.n + 1)::double * (t_all + 10000)))) AS bigint) AS gain FROM s LEFT JOIN t USING (bucket), sums
+), w AS (SELECT id, sum(n) AS n_features, sum(n * gain) AS weight FROM corpus_grams JOIN buckets USING (gram) JOIN gains USING (bucket) GROUP BY id
+), d AS (
+  SELECT doc_id, len(words) >= 20 AND doc_id IS NOT NULL AS enough, cast(coalesce(n_features, 0) AS bigint) AS n_features, cast(coalesce(weight, 0) AS bigint) AS weight,
+    cast('0x' || substr(sha256('42:' || doc_id), 1, 8) AS bigint) AS h FROM corpus LEFT JOIN w USING (id)
+), scored AS (SELECT *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) AS bigint) AS score FROM d
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY enough ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY enough) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN enough AND place <= 5 * n // 100 THEN place END AS rank FROM ranked"""
+
+
+def _top_k() -> str:
+    return """
+WITH v AS (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.id, a.vec_id AS query_id, b.vec_id, cast(list_inner_product(a.q, b.q) AS bigint) AS score FROM v a JOIN v b ON a.id <> b.id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+), ranked AS (SELECT query_id, cast(row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id NULLS LAST) AS int) AS rank, vec_id, score FROM scores)
+SELECT * FROM ranked WHERE rank <= 5"""
+
+
 def queries() -> dict[str, str]:
     return {
         "op1_quality_rules": _quality_rules(),
@@ -154,4 +231,7 @@ def queries() -> dict[str, str]:
         "op7_url_filters": _url_filters(),
         "op8_secret_scan": _secret_scan(),
         "op10_ngram_join": _ngram_join(),
+        "op11_conversation_trie": _conversation_trie(),
+        "op12_importance_resampling": _importance(),
+        "op13_exact_top_k": _top_k(),
     }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelflow import session
-from labelflow.llm import embedding_dedup, language_id, mixing, ngram_join, packing, quality_rules, secret_scan, toxicity, url_filters, warc
+from labelflow.llm import conversation_trie, embedding_dedup, importance, language_id, mixing, ngram_join, packing, quality_rules, secret_scan, top_k, toxicity, url_filters, warc
 
 SITE_RULES = [
     url_filters.Rule("net/", "site", "block"),
@@ -93,6 +93,20 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.cluster(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv_id = F.col("conv_id")
+    head = F.crc32(conv_id.cast("string").cast("binary")) % 9
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"), conv_id - conv_id % 5, head)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     functions = [
         op1_quality_rules,
@@ -105,5 +119,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_secret_scan,
         op9_packing,
         op10_ngram_join,
+        op11_conversation_trie,
+        op12_importance_resampling,
+        op13_exact_top_k,
     ]
     return {f.__name__: f for f in functions}
