@@ -6,12 +6,12 @@ import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelflow.session import broadcast_if_small, materialize, measure
 from labelflow.sources import csv_files, headers as h, workbook
-from labelflow.sources.files import file_hashes, file_name
+from labelflow.sources.files import file_hashes, file_name, list_files, literal_path
 
 LEDGER = (
     "batch_id string, file_name string, file_path string, file_hash string, row_count long, "
@@ -71,11 +71,21 @@ class Source:
     profiles: DataFrame
     cells: DataFrame
     paths: list[str]
+    hashes: DataFrame | None = None
+
+
+@dataclass(frozen=True)
+class NewFiles:
+    """Files whose bytes are new, the hashes of all files, and ledger rows of those left out."""
+
+    paths: list[str]
+    hashes: DataFrame
+    skipped: DataFrame
 
 
 def csv_source(spark: SparkSession, paths: list[str], multi_line: bool | None = None) -> Source:
     heads = csv_files.profiles(spark, paths, multi_line)
-    return Source(heads, materialize(csv_files.cells(spark, heads), "cells"), paths)
+    return Source(*csv_files.read(spark, heads), paths)
 
 
 def workbook_source(spark: SparkSession, paths: list[str]) -> Source:
@@ -242,9 +252,8 @@ def _offsets(files: DataFrame, blocks: DataFrame, start: int) -> tuple[DataFrame
 def _ledger(files: DataFrame, source: Source, options: ImportOptions) -> DataFrame:
     hashed = files.withColumn("file_hash", F.lit(""))
     if options.hash_files and source.paths:
-        hashes = file_hashes(files.sparkSession, source.paths)
+        hashes = file_hashes(files.sparkSession, source.paths) if source.hashes is None else source.hashes
         hashed = files.join(hashes, "file_path", "left")
-    now = datetime.now(timezone.utc).isoformat()
     return hashed.select(
         F.col("__batch_id").alias("batch_id"),
         F.col("__source_file").alias("file_name"),
@@ -252,15 +261,44 @@ def _ledger(files: DataFrame, source: Source, options: ImportOptions) -> DataFra
         "file_hash",
         F.col("records").alias("row_count"),
         "header_hash",
-        F.lit("imported").alias("status"),
-        F.lit(now).alias("created_at"),
-        F.lit("").alias("error_message"),
+        *_outcome("imported"),
     )
 
 
-def schema_table(spark: SparkSession, columns: list[str]) -> DataFrame:
-    """The published schema: column names with their 1-based index."""
+def _outcome(status: str) -> list[Column]:
     now = datetime.now(timezone.utc).isoformat()
+    return [F.lit(status).alias("status"), F.lit(now).alias("created_at"), F.lit("").alias("error_message")]
+
+
+def new_files(spark: SparkSession, paths: list[str], ledger: DataFrame) -> NewFiles:
+    """The files that the ledger holds under no name, each content once, by the first of its names.
+
+    Hashes and names meet as rows; the names of new files pass through the
+    driver, as they do in any Spark file scan.
+    """
+    hashes = materialize(file_hashes(spark, paths), "hashes")
+    named = list_files(spark, paths).join(hashes, "file_path")
+    copies = F.row_number().over(Window.partitionBy("file_hash").orderBy("file_no"))
+    known = ledger.filter(F.col("status") == "imported").select("file_hash", F.lit(True).alias("known")).distinct()
+    marked = named.withColumn("copy", copies).join(known, "file_hash", "left")
+    marked = materialize(marked.withColumn("new", F.col("known").isNull() & (F.col("copy") == 1)), "marked")
+    fresh = [literal_path(row["file_path"]) for row in marked.filter("new").orderBy("file_no").select("file_path").collect()]
+    empty = F.lit("")
+    left_out = marked.filter("not new").select(
+        empty.alias("batch_id"),
+        file_name(F.col("file_path")).alias("file_name"),
+        "file_path",
+        "file_hash",
+        F.lit(0).cast("long").alias("row_count"),
+        empty.alias("header_hash"),
+        *_outcome("skipped"),
+    )
+    return NewFiles(fresh, hashes, left_out)
+
+
+def schema_table(spark: SparkSession, columns: list[str], created_at: str | None = None) -> DataFrame:
+    """The published schema: column names with their 1-based index."""
+    now = created_at or datetime.now(timezone.utc).isoformat()
     rows = [(name, i, "text", now) for i, name in enumerate(columns, start=1)]
     return spark.createDataFrame(rows, "column_name string, column_index int, data_type_guess string, created_at string")
 
