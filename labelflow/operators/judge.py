@@ -12,7 +12,7 @@ import re
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from threading import Lock
 
 import pandas as pd
@@ -23,10 +23,12 @@ from pyspark.sql import types as T
 from labelflow.functions.columns import by_name, columns_except
 from labelflow.functions.labels import POSITIVE_WORDS
 from labelflow.functions.text import none_to_empty, strip
+from labelflow.operators import answers
+from labelflow.operators.answers import Ledger
 from labelflow.operators.ordering import id_at_rank
 from labelflow.operators.paging import page
 from labelflow.operators.sampling import RECORD_ID
-from labelflow.session import materialize
+from labelflow.session import materialize, scratch_path
 
 # Texts tried alone at the end of a batch, per ``max_failures``, before the waiting ones are given up.
 LAST_TRIES = 4
@@ -94,17 +96,29 @@ DEFAULT_FIELDS = [
 
 @dataclass(frozen=True)
 class Calls:
-    """How one task calls a scorer.
+    """How a scorer is called.
 
-    ``texts_per_call`` texts go into a call and ``at_a_time`` calls run at once,
-    started at least ``seconds_between`` apart.  After ``max_failures`` failed
+    In one task, ``texts_per_call`` texts go into a call and ``at_a_time`` calls run
+    at once, started at least ``seconds_between`` apart.  After ``max_failures`` failed
     texts in a row, each asked alone, the scorer is taken to be out of order.
+    With ``in_flight`` no more calls than that run at once in the whole job, and
+    ``seconds_between`` holds for the job; speculative tasks would come on top.
     """
 
     texts_per_call: int = 16
     at_a_time: int = 1
     seconds_between: float = 0.0
     max_failures: int = 3
+    in_flight: int | None = None
+
+    def in_one_task(self) -> Calls:
+        """The same limits as each of the tasks that send at the same time has to keep them."""
+        if self.in_flight is None:
+            return self
+        if self.in_flight < 1:
+            raise ValueError("in_flight must be at least 1")
+        at_a_time = min(self.at_a_time, self.in_flight)
+        return replace(self, at_a_time=at_a_time, seconds_between=self.seconds_between * answers.lanes(at_a_time, self.in_flight))
 
 
 @dataclass(frozen=True)
@@ -119,6 +133,7 @@ class JudgeConfig:
     id_column: str = RECORD_ID
     limit: int | None = None
     calls: Calls = Calls()
+    ledger: Ledger | None = None
 
 
 def normalize_fields(rows: list[dict]) -> list[Field]:
@@ -281,12 +296,12 @@ class _Caller:
             good, replies = self._call(texts)
             if good or len(texts) == 1:
                 return replies
-        answers: list[str | Exception] = []
+        alone: list[str | Exception] = []
         for text in texts:
-            if answers and self._down():
+            if alone and self._down():
                 break
-            answers += self._call([text])[1]
-        return answers
+            alone += self._call([text])[1]
+        return alone
 
     def _down(self) -> bool:
         return self.failures >= max(1, self.calls.max_failures)
@@ -307,8 +322,8 @@ class _Caller:
         with ThreadPoolExecutor(self.calls.at_a_time) as pool:
             while waiting:
                 chunks = [waiting[k : k + size] for k in range(0, len(waiting), size)]
-                for chunk, answers in zip(chunks, pool.map(lambda chunk: self._chunk([texts[k] for k in chunk]), chunks)):
-                    found |= zip(chunk, answers)
+                for chunk, replies in zip(chunks, pool.map(lambda chunk: self._chunk([texts[k] for k in chunk]), chunks)):
+                    found |= zip(chunk, replies)
                 waiting = [k for k in waiting if k not in found]
                 if waiting and self._down():
                     tried = self._try(texts, waiting)
@@ -317,8 +332,8 @@ class _Caller:
                     if self._down():
                         found |= dict.fromkeys(waiting, list(tried.values())[-1])
                         break
-        answers = [found[k] for k in range(len(texts))]
-        return [(None, str(a) or type(a).__name__) if isinstance(a, Exception) else (a, None) for a in answers]
+        ordered = [found[k] for k in range(len(texts))]
+        return [(None, str(a) or type(a).__name__) if isinstance(a, Exception) else (a, None) for a in ordered]
 
 
 def ask(scorer: Scorer, text: Column, calls: Calls = Calls()) -> Column:
@@ -331,8 +346,8 @@ def ask(scorer: Scorer, text: Column, calls: Calls = Calls()) -> Column:
         caller = _Caller(scorer, calls)
         for texts in batches:
             sent = texts.dropna()
-            answers = caller.ask(sent.tolist()) if len(sent) else []
-            frame = pd.DataFrame(answers, index=sent.index, columns=["reply", "error"], dtype=object)
+            replies = caller.ask(sent.tolist()) if len(sent) else []
+            frame = pd.DataFrame(replies, index=sent.index, columns=["reply", "error"], dtype=object)
             yield frame.reindex(texts.index)
 
     return call.asNondeterministic()(text)
@@ -348,14 +363,21 @@ def _chosen(df: DataFrame, clean: Column, id_column: str, limit: int | None) ->
     return F.col("__clean") != "" if last is None else (F.col("__clean") != "") & (by_name(id_column) <= last)
 
 
-def _judged(df: DataFrame, scorer: Scorer, text: Column, calls: Calls) -> DataFrame:
+def _judged(df: DataFrame, scorer: Scorer, text: Column, calls: Calls, ledger: Ledger | None) -> DataFrame:
     """Add ``__parsed`` and ``__failed`` (error text, empty when the reply is an object).
 
     Answers are written before anything reads them: each text is sent once,
-    however often the result is used.
+    however often the result is used.  A limit for the whole job needs tasks of its
+    own for the calls, so the answers go through a ledger then, a passing one if none is given.
     """
-    asked = df.withColumn("__text", text).withColumn("__answer", ask(scorer, F.col("__text"), calls)).drop("__text")
-    asked = materialize(asked, "answers")
+    asked, one_task = df.withColumn("__text", text), calls.in_one_task()
+    if ledger is None and calls.in_flight is not None:
+        ledger = Ledger(scratch_path(df.sparkSession, "ledger"), "")
+    if ledger is None:
+        asked = materialize(asked.withColumn("__answer", ask(scorer, F.col("__text"), one_task)).drop("__text"), "answers")
+    else:
+        at_once = answers.lanes(one_task.at_a_time, calls.in_flight)
+        asked = answers.answered(asked, "__text", ledger, lambda t: ask(scorer, t, one_task), at_once).drop("__text")
     asked = asked.withColumn("__parsed", parse_reply(F.col("__answer.reply")))
     failed = (
         F.when(F.col("__answer.error").isNotNull(), F.col("__answer.error"))
@@ -371,13 +393,13 @@ def judge(df: DataFrame, scorer: Scorer, config: JudgeConfig = JudgeConfig()) ->
 
     Rows with empty text get an error; with ``limit`` only the first rows by id
     that have text are judged and the others pass through with NULLs.  The
-    answers are stored when this returns.
+    answers are stored when this returns, and for good in a ``ledger``.
     """
     clean = strip(none_to_empty(by_name(config.text_column)))
     # Flags are columns of their own, so that long texts are cleaned once.
     flagged = df.withColumn("__clean", clean).withColumn("__blank", F.col("__clean") == "")
     flagged = flagged.withColumn("__chosen", _chosen(df, clean, config.id_column, config.limit))
-    judged = _judged(flagged, scorer, F.when(F.col("__chosen"), F.col("__clean")), config.calls)
+    judged = _judged(flagged, scorer, F.when(F.col("__chosen"), F.col("__clean")), config.calls, config.ledger)
     chosen = F.col("__chosen")
     parsed, failed = F.col("__parsed"), F.col("__failed")
     error = F.when(F.col("__blank"), EMPTY_TEXT).when(chosen, failed)
@@ -403,17 +425,18 @@ def structured_judge(
     id_column: str = RECORD_ID,
     limit: int | None = None,
     calls: Calls = Calls(),
+    ledger: Ledger | None = None,
 ) -> DataFrame:
     """Add one column per declared field, the declared part as JSON and an error.
 
     With ``limit`` only the first rows by id are sent and kept.  The answers are
-    stored when this returns.
+    stored when this returns, and for good in a ``ledger``.
 
     Other members of a reply are dropped.  Columns are text and empty when
     absent, or of the declared type and NULL when absent with ``typed``.
     """
     rows = df if limit is None else page(df, 0, limit, id_column)
-    judged = _judged(rows, scorer, strip(none_to_empty(by_name(text_column))), calls)
+    judged = _judged(rows, scorer, strip(none_to_empty(by_name(text_column))), calls, ledger)
     parsed, good = F.col("__parsed"), F.col("__failed") == ""
     columns = []
     for field in fields:
