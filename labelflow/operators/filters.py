@@ -1,16 +1,31 @@
-"""Keyword predicates."""
+"""Keyword predicates.
+
+A few keywords are LIKE patterns, which stay inside the JVM.  Many are matched by one
+automaton, which reads each text once whatever their number; words with wildcards then
+only try their patterns on texts in which the automaton met a part of one.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from operator import and_, or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelflow.functions.columns import by_name, quote
 from labelflow.functions.text import none_to_empty
 
+try:
+    import ahocorasick
+except ImportError:  # every keyword is a pattern then
+    ahocorasick = None
+
+# Keywords from which on an automaton reads the texts.
+MANY = 32
+
 
 def keyword_filter(
     df: DataFrame,
@@ -41,6 +56,28 @@ def keyword_filter(
     if field_mode not in ("any", "same_field"):
         raise ValueError(f"unknown field mode: {field_mode}")
 
+    if literal:
+        plain, parts, wild = words, [], []
+    else:
+        wild = [word for word in words if "%" in word or "_" in word]
+        plain = [word for word in words if word not in wild]
+        parts = [max(re.split("[%_]", word), key=len) for word in wild]
+    if ahocorasick is None or len(words) < MANY or not all(parts) or not all(map(_simple, plain + parts)):
+        return _patterns(columns, words, keyword_mode, field_mode, literal)
+    tried = _patterns(columns, wild, keyword_mode, field_mode, False) if wild else None
+    if keyword_mode == "any":
+        found = _met(columns, plain) if plain else F.lit(False)
+        return found if tried is None else found | (_met(columns, parts) & tried)
+    groups = [[name] for name in columns] if field_mode == "same_field" else [columns]
+    if not wild:
+        return _balanced(or_, [_met(group, plain, every=True) for group in groups])
+    if len(groups) > 1:  # the column that holds the plain words has to hold the others too
+        return _balanced(or_, [_met(group, plain + parts, every=True) & _patterns(group, wild, "all", "same_field", False) for group in groups])
+    return _met(columns, plain + parts, every=True) & tried
+
+
+def _patterns(columns: list[str], words: list[str], keyword_mode: str, field_mode: str, literal: bool) -> Column:
+    """The predicate made of LIKE patterns."""
     patterns = [f"%{_escaped(word) if literal else _backslashes(word)}%" for word in words]
 
     def like(name: str, kind: str) -> Column:
@@ -56,6 +93,49 @@ def keyword_filter(
     return _balanced(and_, [_balanced(or_, [F.like(text, pattern) for text in texts]) for pattern in lowered])
 
 
+def _simple(word: str) -> bool:
+    """Whether the lower case of a word is beyond doubt: ASCII letters, and characters without case."""
+    return all(c.isascii() or c.lower() == c == c.upper() for c in word)
+
+
+def _met(columns: list[str], words: list[str], every: bool = False) -> Column:
+    """Whether some word (or every one) occurs in the columns taken together, by one pass of an automaton."""
+    wanted = sorted({word.lower() for word in words})
+
+    def holds(automaton, texts: tuple[str, ...]) -> bool:
+        seen: set[int] = set()
+        for text in texts:
+            for _, number in automaton.iter(text):
+                if not every:
+                    return True
+                seen.add(number)
+                if len(seen) == len(wanted):
+                    return True
+        return False
+
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for number, word in enumerate(wanted):
+            automaton.add_word(word, number)
+        automaton.make_automaton()
+        for batch in batches:
+            yield pd.Series([holds(automaton, texts) for texts in zip(*batch)], dtype=bool)
+
+    # The number of columns decides which of the two kinds of iterators Spark passes.
+    if len(columns) == 1:
+
+        @F.pandas_udf("boolean")
+        def met(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            yield from run((batch,) for batch in batches)
+    else:
+
+        @F.pandas_udf("boolean")
+        def met(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            yield from run(batches)
+
+    return met(*[F.lower(none_to_empty(by_name(name))) for name in columns])
+
+
 def _backslashes(word: str) -> str:
     return word.replace("\\", "\\\\")
 

@@ -161,6 +161,34 @@ def id_at_rank(df: DataFrame, id_col: str, rank: int, task_rows: int = 65_536) -
     return last.first()["id"]
 
 
+def text_at_rank(df: DataFrame, id_col: str, rank: int, task_rows: int = 65_536) -> str | None:
+    """The ``rank``-th smallest value of a unique text column (1-based).
+
+    Counts rows per first differing character, keeps the beginning that holds the
+    rank, and repeats inside it; the driver sees a count per character at most.
+    """
+    ids = df.select(by_name(id_col).alias("id")).filter("id is not null")
+    inside, total = ids, None
+    while True:
+        low, high, count = inside.agg(F.min("id"), F.max("id"), F.count("id")).first()
+        if total is None:
+            total = count
+            if rank < 1 or rank > total:
+                return None
+        if count <= task_rows or low == high:
+            break
+        shared = next((k for k, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+        beginning = F.substring("id", 1, shared + 1)
+        # Python orders texts by code points, as Spark orders them by their bytes.
+        counts = sorted(inside.groupBy(beginning.alias("start")).count().collect())
+        for found in counts:
+            if rank <= found["count"]:
+                break
+            rank -= found["count"]
+        inside = inside.filter(beginning == found["start"])
+    return inside.orderBy("id").offset(rank - 1).limit(1).first()["id"]
+
+
 def global_rank(
     df: DataFrame,
     order: list[Column],

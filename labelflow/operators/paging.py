@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelflow.functions.columns import by_name
-from labelflow.operators.ordering import id_at_rank
+from labelflow.operators.ordering import id_at_rank, text_at_rank
 from labelflow.operators.sampling import RECORD_ID
 
 
@@ -19,21 +19,23 @@ def page(df: DataFrame, offset: int, limit: int, id_col: str = RECORD_ID, shallo
     """``limit`` rows after the first ``offset``, in id order; rows without an id are on no page.
 
     A page that ends within ``shallow`` rows is a top-k over one pass.  For a
-    deeper one a unique integer id gives a range of ids, so the scan prunes row
-    groups and no rows before the page are sorted.  Other ids use a top-k.
+    deeper one a unique integer or text id gives a range of ids, so the scan prunes
+    row groups and no rows before the page are sorted.  Other ids use a top-k.
     """
     offset, limit = max(0, offset), max(0, limit)
     inside = by_name(id_col).isNotNull()
-    if offset + limit <= shallow or not isinstance(df.schema[id_col].dataType, T.IntegralType):
+    kind = df.schema[id_col].dataType
+    at_rank = id_at_rank if isinstance(kind, T.IntegralType) else text_at_rank if kind == T.StringType() else None
+    if offset + limit <= shallow or at_rank is None:
         return df.filter(inside).orderBy(by_name(id_col)).offset(offset).limit(limit)
     if limit == 0:
         return df.limit(0)
     if offset:
-        first = id_at_rank(df, id_col, offset + 1)
+        first = at_rank(df, id_col, offset + 1)
         if first is None:
             return df.limit(0)
         inside = by_name(id_col) >= first
-    last = id_at_rank(df, id_col, offset + limit)
+    last = at_rank(df, id_col, offset + limit)
     if last is not None:
         inside = inside & (by_name(id_col) <= last)
     return df.filter(inside).orderBy(by_name(id_col)).limit(limit)

@@ -62,3 +62,33 @@ def test_filtered_sample(df):
     assert sampling.filtered_sample(df, BOTH, ["无人机"], 1, 1).count() == 1
     with pytest.raises(ValueError):
         sampling.filtered_sample(df, BOTH, ["没有"], 10)
+
+
+def texts(spark):
+    import random
+
+    source = random.Random(5)
+    word = lambda: "".join(source.choice("abAB中é%_\\") for _ in range(source.randint(0, 8)))
+    return spark.createDataFrame([(k, word() + word(), None if k % 9 == 0 else word()) for k in range(400)], "id long, x string, y string")
+
+
+@pytest.mark.parametrize("literal", [False, True])
+@pytest.mark.parametrize("modes", [("any", "any"), ("all", "any"), ("all", "same_field")])
+@pytest.mark.parametrize("words", [["aB", "中", "ba"], ["a", "B"], ["a%中", "b", "%B"], ["a_b", "bb"], ["%", "a"], ["é", "a"], ["A"]])
+def test_the_automaton_finds_what_patterns_find(spark, monkeypatch, words, modes, literal):
+    df = texts(spark)
+    keyword_mode, field_mode = modes
+    options = dict(keyword_mode=keyword_mode, field_mode=field_mode, literal=literal)
+    by_pattern = {r["id"] for r in df.filter(filters.keyword_filter(df, ["x", "y"], words, **options)).collect()}
+    monkeypatch.setattr(filters, "MANY", 1)
+    found = df.filter(filters.keyword_filter(df, ["x", "y"], words, **options))
+    assert {r["id"] for r in found.collect()} == by_pattern
+    one = {r["id"] for r in df.filter(filters.keyword_filter(df, ["x"], words, **options)).collect()}
+    monkeypatch.setattr(filters, "MANY", 1000)
+    assert one == {r["id"] for r in df.filter(filters.keyword_filter(df, ["x"], words, **options)).collect()}
+
+
+def test_many_words_make_one_pass(spark):
+    df = texts(spark)
+    plan = df.filter(filters.keyword_filter(df, ["x", "y"], [f"w{k}" for k in range(500)]))._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan and "LIKE" not in plan.upper().split("PHYSICAL PLAN")[1]

@@ -96,3 +96,26 @@ def test_repeated_ids_are_scored_once(spark, tmp_path):
     assert incremental.resume_scoring(store, rows, lambda df: df) == 2
     assert incremental.resume_scoring(store, rows.union(spark.createDataFrame([(3,), (3,)], "id long")), lambda df: df) == 1
     assert sorted(r[0] for r in store.read("predictions").collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("prefix", ["", "https://example.org/a long common beginning/"])
+@pytest.mark.parametrize("task_rows", [3, 50, 65_536])
+def test_text_at_rank(spark, prefix, task_rows):
+    import random
+
+    source = random.Random(4)
+    ids = sorted({prefix + "".join(source.choice("ab中é0\U0001f600") for _ in range(source.randint(0, 7))) for _ in range(500)})
+    df = spark.createDataFrame([(i,) for i in source.sample(ids, len(ids))] + [(None,)], "id string")
+    for rank in (1, 2, 17, len(ids) // 2, len(ids)):
+        assert ordering.text_at_rank(df, "id", rank, task_rows) == ids[rank - 1]
+    assert ordering.text_at_rank(df, "id", 0, task_rows) is None
+    assert ordering.text_at_rank(df, "id", len(ids) + 1, task_rows) is None
+
+
+def test_deep_pages_over_text_ids_sort_no_rows_before_them(spark):
+    df = spark.range(2000).selectExpr("concat('k', lpad(id * 7 % 2000, 5, '0')) as id", "id as v")
+    for offset, limit in [(1500, 100), (1990, 100), (2000, 5), (0, 1200)]:
+        rows = page(df, offset, limit, "id", shallow=50)
+        assert [r["id"] for r in rows.collect()] == [f"k{k:05d}" for k in range(2000)][offset : offset + limit]
+    plan = page(df, 1500, 100, "id", shallow=50)._jdf.queryExecution().optimizedPlan().toString()
+    assert ">= k01500" in plan and "Offset" not in plan
