@@ -5,24 +5,46 @@ highest one that was written completely.  Replacing a stage writes the next
 version and then removes the older ones, so a failed job leaves the stage as it
 was and a job may read the stage it replaces.  Appends add folders to the
 current version.
+
+An import is seen when its ledger is complete: the raw part, the widened schema and
+the published columns count from that moment, all at once.  What an import that
+failed before has left is never read, and removed by the next import.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelflow.functions.columns import by_name, quote
 from labelflow.functions.text import none_to_empty
 from labelflow.operators.judge import promote
+from labelflow.operators.ordering import global_rank
 from labelflow.operators.paging import page
 from labelflow.operators.sampling import RECORD_ID
 from labelflow.operators.splits import PARTS
-from labelflow.sources.imports import LEDGER, SYSTEM_COLUMNS, Imported, newest_imports, schema_table
+from labelflow.session import measure
+from labelflow.sources.imports import (
+    LEDGER,
+    SYSTEM_COLUMNS,
+    Imported,
+    ImportOptions,
+    csv_source,
+    import_files,
+    new_files,
+    newest_imports,
+    schema_table,
+)
 
 # The stages in order, and the stages to drop after a step.
 STAGES = ("raw", "sampled", "labeled", "reviewed", "train", "val", "test", "predictions")
@@ -42,6 +64,24 @@ CSV_OPTIONS = dict(
 )
 
 
+@dataclass(frozen=True, order=True)
+class Batch:
+    """An import: its place among the imports, the raw version it belongs to, and its name."""
+
+    number: int
+    version: int
+    part: str
+
+    @property
+    def name(self) -> str:
+        return f"import-{self.number:06d}-v{self.version}-{self.part}"
+
+    @staticmethod
+    def parse(name: str) -> Batch | None:
+        found = re.fullmatch(r"import-(\d+)-v(\d+)-(.+)", name)
+        return Batch(int(found[1]), int(found[2]), found[3]) if found else None
+
+
 class StageStore:
     """Stage tables below one shared folder."""
 
@@ -72,12 +112,27 @@ class StageStore:
         return sorted(int(name[1:]) for name in names if name[1:].isdigit())
 
     def _current(self, table: str) -> str | None:
+        imported = {batch.version for batch in self._imports()} if table == "raw" else set()
         for version in reversed(self._versions(table)):
             path = f"{self.root}/{table}/v{version}"
-            if self._exists(f"{path}/_SUCCESS"):
+            if version in imported or self._exists(f"{path}/_SUCCESS"):
                 return path
         return None
 
+    def _imports(self) -> list[Batch]:
+        """The imports that count, oldest first: those whose ledger was written completely."""
+        fs, pattern = self._fs(f"{self.root}/import_batches/*/_SUCCESS")
+        names = [status.getPath().getParent().getName() for status in fs.globStatus(pattern) or []]
+        return sorted(batch for batch in map(Batch.parse, names) if batch)
+
+    def _last_import(self) -> dict | None:
+        """What the newest import of the current raw version published."""
+        current = self._current("raw")
+        batches = [batch for batch in self._imports() if current and current.endswith(f"/v{batch.version}")]
+        if not batches:
+            return None
+        return json.loads(self._load(f"{self.root}/import_batches/{batches[-1].name}/_import"))
+
     @staticmethod
     def _table(stage: str) -> str:
         if stage not in STAGES:
@@ -101,19 +156,34 @@ class StageStore:
         if stage in PARTS:
             return self.spark.read.schema(self._schema(table)).parquet(path).filter(F.col("split") == stage).drop("split")
         rows = self.spark.read.schema(self._schema(table)).option("recursiveFileLookup", "true").parquet(path)
+        hidden = self._unfinished() if table == "raw" else []
         if without_part:
-            rows = rows.filter(~F.col("_metadata.file_path").contains(f"/part-{without_part}/"))
+            hidden += [f"part-{without_part}", *(f"part-{batch.name}" for batch in self._imports() if batch.part == without_part)]
+        for name in hidden:
+            rows = rows.filter(~F.col("_metadata.file_path").contains(f"/{name}/"))
         # Files written before a column was added have no such column.
         added = {field.name for field in rows.schema.fields if field.metadata.get("added")}
         filled = [F.coalesce(quote(c), F.lit("")).alias(c) if c in added else by_name(c) for c in rows.columns]
         return rows.select(*filled) if added else rows
 
+    def _unfinished(self) -> list[str]:
+        """Raw parts of imports that never got their ledger."""
+        done = {f"part-{batch.name}" for batch in self._imports()}
+        parts = self._children(self._current("raw")) if self._current("raw") else []
+        return [name for name in parts if Batch.parse(name.removeprefix("part-")) and name not in done]
+
     def _schema(self, table: str) -> T.StructType:
-        fs, hadoop = self._fs(f"{self._current(table)}/_schema")
+        published = self._last_import() if table == "raw" else None
+        if published:
+            return T.StructType.fromJson(published["schema"])
+        return T.StructType.fromJson(json.loads(self._load(f"{self._current(table)}/_schema")))
+
+    def _load(self, path: str) -> str:
+        fs, hadoop = self._fs(path)
         stream = fs.open(hadoop)
         stored = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         stream.close()
-        return T.StructType.fromJson(json.loads(stored))
+        return stored
 
     def _store(self, path: str, text: str = "") -> None:
         fs, hadoop = self._fs(path)
@@ -186,8 +256,9 @@ class StageStore:
             raise ValueError("train, val and test are written together by write_splits")
         df = _as_text(df) if stringify else df
         if not self.exists(stage):
-            self._store_schema(f"{self.root}/{stage}/v1", df.schema)
-            df.limit(0).write.mode("append").parquet(f"{self.root}/{stage}/v1")
+            first = f"{self.root}/{stage}/v{(self._versions(stage) or [1])[-1]}"
+            self._store_schema(first, df.schema)
+            df.limit(0).write.mode("append").parquet(first)
         else:
             # Files of one table must agree, or no file of it can be read.
             known = [(field.name, field.dataType.simpleString()) for field in self._schema(stage).fields]
@@ -247,18 +318,20 @@ class StageStore:
         if scope in ("history", "all"):
             self._delete(f"{self.root}/streams")
         if scope in ("raw", "all"):
-            for name in ("raw", "import_batches", "dataset_schema", "streams/import"):
+            for name in ("raw", "import_batches", "streams/import"):
                 self._delete(f"{self.root}/{name}")
 
     # --- imports ------------------------------------------------------------
 
     def columns(self) -> list[str]:
         """Data columns of the raw records, in published order."""
-        path = f"{self.root}/dataset_schema"
-        if not self._exists(path):
-            return []
-        rows = self.spark.read.parquet(path).orderBy("column_index").select("column_name").collect()
-        return [row["column_name"] for row in rows]
+        published = self._last_import()
+        return published["columns"] if published else []
+
+    def published_schema(self) -> DataFrame:
+        """The published columns with their 1-based index, as of the newest import."""
+        published = self._last_import() or {"columns": [], "created_at": ""}
+        return schema_table(self.spark, published["columns"], published["created_at"])
 
     def next_id(self, without_part: str | None = None) -> int:
         """The id after the largest one in use, if asked without one appended part."""
@@ -267,33 +340,72 @@ class StageStore:
         return self.read("raw", without_part).agg(F.coalesce(F.max(RECORD_ID), F.lit(0)) + 1).first()[0]
 
     def add_import(self, imported: Imported, part: str | None = None) -> int:
-        """Append imported rows and their ledger, widening the raw table if needed."""
-        if self.exists("raw"):
+        """Append imported rows and their ledger, widening the raw table if needed.
+
+        Everything shows at once, when the ledger is written.  A ``part`` given
+        again replaces the import of that name.
+        """
+        part = part or uuid.uuid4().hex
+        for name in self._unfinished():
+            self._delete(f"{self._current('raw')}/{name}")
+        for batch in [batch for batch in self._imports() if batch.part == part]:
+            self._delete(f"{self.root}/import_batches/{batch.name}")
+            self._delete(f"{self.root}/raw/v{batch.version}/part-{batch.name}")
+        rows, current = imported.rows, self._current("raw")
+        schema = rows.schema
+        if current:
             known = self._schema("raw")
-            added = [
-                T.StructField(field.name, field.dataType, True, {"added": True})
-                for field in imported.rows.schema.fields
-                if field.name not in known.names
-            ]
-            if added:
-                self._store_schema(self._current("raw"), T.StructType(known.fields + added))
-            rows = imported.rows.select(*[quote(name) for name in self._schema("raw").names])
-        else:
-            rows = imported.rows
-        count = self.append("raw", rows, part=part)
-        name = part or uuid.uuid4().hex
-        imported.ledger.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/import_batches/part-{name}")
-        published = schema_table(self.spark, imported.columns)
-        published.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/dataset_schema")
+            added = [T.StructField(f.name, f.dataType, True, {"added": True}) for f in schema.fields if f.name not in known.names]
+            schema = T.StructType(known.fields + added)
+            rows = rows.select(*[quote(name) for name in schema.names])
+        versions = self._versions("raw")
+        version = int(current.rsplit("/v", 1)[1]) if current else (versions[-1] if versions else 0) + 1
+        numbers = [batch.number for batch in self._imports()]
+        batch = Batch(max(numbers, default=0) + 1, version, part)
+        target = f"{self.root}/raw/v{version}/part-{batch.name}"
+        rows.write.mode("overwrite").parquet(target)
+        count = self.spark.read.schema(rows.schema).parquet(target).count()
         self.clear_downstream("raw")
+        self._finish(batch, imported, schema)
         return count
 
-    def import_history(self, limit: int = 20) -> DataFrame:
-        path = f"{self.root}/import_batches"
-        if not self._exists(path):
+    def _finish(self, batch: Batch, imported: Imported, schema: T.StructType) -> None:
+        """Write what the import publishes, then its ledger, whose completion makes the import count."""
+        folder = f"{self.root}/import_batches/{batch.name}"
+        now = datetime.now(timezone.utc).isoformat()
+        published = {"columns": imported.columns, "schema": json.loads(schema.json()), "created_at": now}
+        self._store(f"{folder}/_import", json.dumps(published))
+        imported.ledger.coalesce(1).write.mode("append").parquet(folder)
+
+    def import_csv(
+        self,
+        paths: list[str],
+        options: ImportOptions = ImportOptions(),
+        skip_known: bool = False,
+        part: str | None = None,
+    ) -> int:
+        """Import CSV files after the rows there are; returns the number of rows added.
+
+        With ``skip_known`` files are hashed first, and one whose bytes were
+        imported before, or come under an earlier name, is not parsed; the
+        ledger lists it as skipped.
+        """
+        reference, start = self.columns(), self.next_id(without_part=part)
+        if not skip_known:
+            return self.add_import(import_files(csv_source(self.spark, paths), reference, options, start), part)
+        found = new_files(self.spark, paths, self._ledger(without_part=part))
+        source = csv_source(self.spark, found.paths)
+        imported = import_files(replace(source, hashes=found.hashes), reference, options, start)
+        return self.add_import(replace(imported, ledger=imported.ledger.unionByName(found.skipped)), part)
+
+    def _ledger(self, without_part: str | None = None) -> DataFrame:
+        folders = [f"{self.root}/import_batches/{batch.name}" for batch in self._imports() if batch.part != without_part]
+        if not folders:
             return self.spark.createDataFrame([], LEDGER)
-        ledger = self.spark.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(path)
-        return newest_imports(ledger, limit)
+        return self.spark.read.schema(LEDGER).parquet(*folders)
+
+    def import_history(self, limit: int = 20) -> DataFrame:
+        return newest_imports(self._ledger(), limit)
 
     def dataset_stats(self) -> DataFrame:
         """One row: row_count, column_count, raw_data_ready."""
@@ -303,9 +415,13 @@ class StageStore:
         return rows.select("row_count", columns, (F.col("row_count") > 0).alias("raw_data_ready"))
 
 
-def _as_text(df: DataFrame) -> DataFrame:
+def _texts(df: DataFrame) -> list[Column]:
     """Every column as text with NULL as empty text; the record id stays a number."""
-    return df.select(*[by_name(c) if c == RECORD_ID else none_to_empty(by_name(c)).alias(c) for c in df.columns])
+    return [by_name(c) if c == RECORD_ID else none_to_empty(by_name(c)).alias(c) for c in df.columns]
+
+
+def _as_text(df: DataFrame) -> DataFrame:
+    return df.select(*_texts(df))
 
 
 def union_records(*tables: DataFrame) -> DataFrame:
@@ -332,7 +448,43 @@ def write_csv(df: DataFrame, path: str) -> None:
     _marked(df).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
-def export_csv(df: DataFrame, path: str, sheet_rows: int = SHEET_ROWS) -> None:
-    """CSV files no longer than a spreadsheet sheet, header included, NULL as empty."""
-    writer = _marked(_as_text(df)).write.mode("overwrite").option("maxRecordsPerFile", sheet_rows - 1)
-    writer.options(**CSV_OPTIONS).csv(path)
+def export_csv(df: DataFrame, path: str, sheet_rows: int = SHEET_ROWS, id_col: str | None = None) -> None:
+    """CSV files no longer than a spreadsheet sheet, header included, NULL as empty.
+
+    With ``id_col``, a unique integer or text id, sheets follow the id: folder
+    ``sheet=k`` holds the k-th ``sheet_rows - 1`` rows in one file, and only the last sheet
+    may be shorter.  Rows without an id come after all others, in files of the last sheet.
+    """
+    size = sheet_rows - 1
+    options = CSV_OPTIONS | {"maxRecordsPerFile": size}
+    if id_col is None:
+        _marked(_as_text(df)).write.mode("overwrite").options(**options).csv(path)
+        return
+    firsts = sheet_starts(df, size, id_col)
+    names = _marked(df).columns
+    sheet = next(name for name in ("sheet", "sheet_number", "sheet_of_export") if name not in names)
+    texts = [column.alias(name) for column, name in zip(_texts(df), names)]
+    placed = df.select(_sheet_number(by_name(id_col), firsts).alias(sheet), by_name(id_col).alias("__order"), *texts)
+    dealt = placed.repartition(max(1, len(firsts)), sheet).sortWithinPartitions(sheet, F.asc_nulls_last("__order"))
+    dealt.drop("__order").write.mode("overwrite").options(**options).partitionBy(sheet).csv(path)
+
+
+def sheet_starts(df: DataFrame, size: int, id_col: str) -> list:
+    """The first id of every sheet of ``size`` rows in id order; only ids are shuffled, and the driver sees one per sheet."""
+    ids, seen = measure(df.select(by_name(id_col).alias("id")).filter("id is not null"), "ids")
+    ranked = global_rank(ids, [F.col("id")], "rank", seen["rows"])
+    return [row["id"] for row in ranked.filter((F.col("rank") - 1) % size == 0).orderBy("rank").collect()]
+
+
+def _sheet_number(ids: Column, firsts: list) -> Column:
+    """The number of the sheet, from 1, whose first id is the last one not above each id; the last sheet without an id."""
+    if not firsts:
+        return F.lit(1).cast("long")
+
+    @F.pandas_udf("long")
+    def number(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cuts = np.array(firsts, dtype=object if isinstance(firsts[0], str) else None)
+        for batch in batches:
+            yield pd.Series(np.searchsorted(cuts, batch.to_numpy(), side="right"))
+
+    return number(F.coalesce(ids, F.lit(firsts[-1])))

@@ -18,7 +18,7 @@ from labelflow.operators.sampling import RECORD_ID
 from labelflow.plans.stages import StageStore
 from labelflow.session import broadcast_if_small, measure
 from labelflow.sources.files import literal_path
-from labelflow.sources.imports import ImportOptions, csv_source, import_files
+from labelflow.sources.imports import ImportOptions
 
 # Files one batch takes: their names pass through the driver.
 FILES_PER_BATCH = 10_000
@@ -121,19 +121,20 @@ def incremental_scoring(
     query.awaitTermination()
 
 
-def incremental_import(store: StageStore, source: str, options: ImportOptions = ImportOptions()) -> None:
+def incremental_import(
+    store: StageStore, source: str, options: ImportOptions = ImportOptions(), skip_known: bool = False
+) -> None:
     """Import the CSV files that arrived in ``source`` since the last run.
 
     The stream discovers files only; each batch of files goes through the
-    reconciled import and appends to the raw stage.
+    reconciled import and appends to the raw stage.  With ``skip_known`` a file
+    that arrives again under another name is not imported again.
     """
     def import_batch(batch: DataFrame, number: int) -> None:
         names = batch.select("file_path").orderBy("file_path").collect()
         paths = [literal_path(row["file_path"]) for row in names]
         if paths:
-            start = store.next_id(without_part=f"batch-{number}")
-            imported = import_files(csv_source(store.spark, paths), store.columns(), options, start)
-            store.add_import(imported, part=f"batch-{number}")
+            store.import_csv(paths, options, skip_known, part=f"batch-{number}")
 
     stream = (
         store.spark.readStream.format("binaryFile")

@@ -172,3 +172,97 @@ def test_odd_column_names_go_through_the_whole_flow(spark, store, tmp_path):
     assert sampling.filtered_sample(store.read("raw"), ["x`y, (z)"], ["text 1"], 50).count() == 11
     stages.export_csv(store.read("reviewed"), str(tmp_path / "out"))
     assert sum(len(f.read_text().splitlines()) - 1 for f in (tmp_path / "out").glob("part-*.csv")) == 10
+
+
+def delivery(tmp_path, name, text):
+    folder = tmp_path / "in"
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text(text)
+    return str(folder / name)
+
+
+@pytest.mark.parametrize("step", ["write", "publish", "ledger"])
+@pytest.mark.parametrize("earlier", [False, True])
+def test_an_import_that_fails_is_not_seen_and_can_be_repeated(spark, store, tmp_path, monkeypatch, step, earlier):
+    options = imports.ImportOptions(allow_extra_columns=True)
+    if earlier:
+        store.import_csv([delivery(tmp_path, "a.csv", "x\n1\n")], options)
+        store.write_sample(store.read("raw"))
+    path = delivery(tmp_path, "b.csv", "x,y\n2,3\n4,5\n")
+
+    def fail(*args, **kwargs):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:
+        if step == "write":
+            broken.setattr(store, "clear_downstream", fail)
+        elif step == "publish":
+            broken.setattr(store, "_finish", fail)
+        else:
+            broken.setattr(imports, "LEDGER", "")
+            true = store._finish
+            broken.setattr(store, "_finish", lambda batch, imported, schema: true(batch, stages.replace(imported, ledger=imported.ledger.withColumn("x", F.raise_error(F.lit("lost")))), schema))
+        with pytest.raises(Exception, match="lost"):
+            store.import_csv([path], options)
+    assert store.exists("raw") == earlier
+    assert store.columns() == (["x"] if earlier else [])
+    assert store.import_history().count() == int(earlier)
+    assert store.next_id() == 1 + int(earlier)
+    if earlier:
+        assert [tuple(r)[3:] for r in store.read("raw").collect()] == [("1",)]
+    if step == "write" and earlier:
+        assert store.exists("sampled")
+    assert store.import_csv([path], options) == 2
+    got = sorted(tuple(r)[3:] for r in store.read("raw").collect())
+    assert got == ([("1", "")] if earlier else []) + [("2", "3"), ("4", "5")]
+    assert sorted(r["__record_id"] for r in store.read("raw").collect()) == list(range(1, len(got) + 1))
+    assert store.import_history().count() == 1 + int(earlier)
+    assert not store.exists("sampled")
+    assert [r["column_name"] for r in store.published_schema().orderBy("column_index").collect()] == ["x", "y"]
+
+
+def test_a_part_imported_again_replaces_itself(spark, store, tmp_path):
+    first, second = delivery(tmp_path, "a.csv", "x\n1\n2\n"), delivery(tmp_path, "b.csv", "x\n3\n")
+    store.import_csv([first], part="one")
+    store.import_csv([second], part="two")
+    assert store.next_id(without_part="two") == 3
+    store.import_csv([second], part="two")
+    assert sorted(tuple(r)[0::3] for r in store.read("raw").collect()) == [(1, "1"), (2, "2"), (3, "3")]
+    assert store.import_history().count() == 2
+    store.clear("raw")
+    assert not store.exists("raw") and store.columns() == [] and store.import_history().count() == 0
+    assert store.import_csv([second]) == 1
+
+
+def test_known_files_are_skipped(spark, store, tmp_path):
+    first = delivery(tmp_path, "a.csv", "x\n1\n2\n")
+    assert store.import_csv([first], skip_known=True) == 2
+    again, new, twice = delivery(tmp_path, "again.csv", "x\n1\n2\n"), delivery(tmp_path, "b.csv", "x\n3\n"), delivery(tmp_path, "c.csv", "x\n3\n")
+    assert store.import_csv([again, new, twice], skip_known=True) == 1
+    assert store.import_csv([first], skip_known=True) == 0
+    assert sorted(r["x"] for r in store.read("raw").collect()) == ["1", "2", "3"]
+    ledger = sorted((r["file_name"], r["status"], r["row_count"]) for r in store.import_history().collect())
+    assert ledger == [("a.csv", "imported", 2), ("a.csv", "skipped", 0), ("again.csv", "skipped", 0), ("b.csv", "imported", 1), ("c.csv", "skipped", 0)]
+    assert store.columns() == ["x"]
+    assert store.import_csv([first]) == 2
+
+
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_sheets_follow_the_ids(spark, tmp_path, text_ids):
+    ids = [f"k{k * 37 % 250:03d}" if text_ids else k * 37 % 250 * 10**15 for k in range(250)]
+    kind = "string" if text_ids else "long"
+    df = spark.createDataFrame([(i, f"v,{i}") for i in ids], f"`a.b` {kind}, sheet string").repartition(7)
+    stages.export_csv(df, str(tmp_path / "out"), sheet_rows=101, id_col="a.b")
+    files = sorted((tmp_path / "out").glob("sheet_number=*/*.csv"))
+    assert [f.parent.name for f in files] == [f"sheet_number={k}" for k in (1, 2, 3)]
+    got = [[line.split(",")[0] for line in f.read_text(encoding="utf-8-sig").splitlines()[1:]] for f in files]
+    assert [len(sheet) for sheet in got] == [100, 100, 50]
+    assert [i for sheet in got for i in sheet] == [str(i) for i in sorted(ids)]
+
+
+def test_sheets_of_nothing_and_of_rows_without_id(spark, tmp_path):
+    df = spark.createDataFrame([(None, "a"), (2, "b"), (1, "c")], "id long, v string")
+    stages.export_csv(df.limit(0), str(tmp_path / "none"), id_col="id")
+    stages.export_csv(df, str(tmp_path / "some"), sheet_rows=3, id_col="id")
+    back = spark.read.csv(str(tmp_path / "some"), header=True).collect()
+    assert sorted((r["v"], r["sheet"]) for r in back) == [("a", 1), ("b", 1), ("c", 1)]
