@@ -31,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         q.keyword_all_same_field,
         q.keyword_all_any_field,
         q.keyword_many,
+        q.keyword_many_all,
         q.keyword_count,
         q.filtered_sample,
         q.keyword_list_parse,
@@ -59,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         q.prediction_distribution,
         q.judge_rule,
         q.judge_errors,
+        q.judge_resumed,
         q.judge_cap,
         q.judge_structured,
         q.judge_structured_cap,
@@ -69,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         q.format_ratio,
         q.page_of_rows,
         q.page_hashed_ids,
+        q.page_text_ids,
         q.head_rows,
         q.newest_events,
         f.dense_record_id,
@@ -79,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.file_hash,
         f.import_history,
         f.import_lineage,
+        f.import_skips_known,
         f.dataset_stats,
         f.raw_preview,
         f.schema_published,

@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelflow.operators import classifier, judge, sampling, splits
-from labelflow.plans.fixtures import write_csv_in_order, write_workbooks
+from labelflow.operators import classifier, epochs, judge, sampling, splits
+from labelflow.plans.fixtures import CSV_FILES, write_csv_in_order, write_workbooks
 from labelflow.plans.queries import JUDGE, _documents, _judge_input, _labelled, _rounded, keyword_scorer, table
 from labelflow.plans.stages import StageStore, export_csv, union_records, write_csv
 from labelflow.session import materialize, scratch_path
 from labelflow.sources import imports
+from labelflow.sources.csv_files import ROW_BITS
 from labelflow.sources.files import WHOLE_FILE_BYTES, file_hashes
 from labelflow.streaming import incremental
 
@@ -36,12 +37,13 @@ def _order_texts(spark, sf_dir) -> DataFrame:
 def _variant_folders(spark, sf_dir) -> list[str]:
     """Four folders: the reference header, a reordered, a shorter and a longer one."""
     orders, root = _order_texts(spark, sf_dir), scratch_path(spark, "variants")
-    urgent = F.col("priority") == "1-URGENT"
+    status = F.coalesce("status", F.lit(""))
+    short = (status == "F") & F.col("priority").eqNullSafe("1-URGENT")
     variants = {
-        "a": orders.filter("status = 'O'").select("okey", "status", "priority"),
-        "b": orders.filter("status = 'P'").select("priority", "okey", "status"),
-        "c": orders.filter((F.col("status") == "F") & urgent).select("okey", "status"),
-        "d": orders.filter((F.col("status") == "F") & ~urgent).select("okey", "status", "priority", "price"),
+        "a": orders.filter(status == "O").select("okey", "status", "priority"),
+        "b": orders.filter(status == "P").select("priority", "okey", "status"),
+        "c": orders.filter(short).select("okey", "status"),
+        "d": orders.filter(~status.isin("O", "P") & ~short).select("okey", "status", "priority", "price"),
     }
     return [write_csv_in_order(rows, "okey", f"{root}/{name}") for name, rows in variants.items()]
 
@@ -89,19 +91,22 @@ def file_hash(spark, sf_dir):
 
 
 def import_lineage(spark, sf_dir):
-    """Files with a repeated header: repaired names, and the file and batch of every row."""
+    """Files with a repeated header: repaired names, and the folder, file type and batch of every row, by way of the ledger."""
     path = scratch_path(spark, "repeated")
     orders = _order_texts(spark, sf_dir)
-    lines = F.format_string('"%s","%s","%s","%s"', "okey", "status", "priority", "price")
-    folders = {"open": "status = 'O'", "other": "status <> 'O'"}
-    for name, condition in folders.items():
-        rows = orders.filter(condition).repartition(1).sortWithinPartitions("okey").select(lines.alias("value"))
-        header = spark.range(1).select(F.lit("key,state,state,key").alias("value"))
-        header.coalesce(1).union(rows).coalesce(1).write.text(f"{path}/{name}")
-    rows = imports.import_files(imports.csv_source(spark, [f"{path}/{name}" for name in folders])).rows
+    line = F.format_string('"%s","%s","%s","%s"', *[F.coalesce(c, F.lit("")) for c in ("okey", "status", "priority", "price")])
+    halves = {"open": F.col("status").eqNullSafe("O"), "other": ~F.col("status").eqNullSafe("O")}
+    for name, condition in halves.items():
+        rows = orders.filter(condition).repartitionByRange(CSV_FILES, "okey").sortWithinPartitions("okey")
+        # The first line of every file has the header before it.
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS)) == 0
+        headed = rows.select(line.alias("line"), first.alias("first"))
+        headed.select(F.when(F.col("first"), F.concat(F.lit("key,state,state,key\n"), "line")).otherwise(F.col("line")).alias("value")).write.text(f"{path}/{name}")
+    imported = imports.import_files(imports.csv_source(spark, [f"{path}/{name}" for name in halves]))
+    rows = imported.rows
     first, *others = [c for c in rows.columns if c not in imports.SYSTEM_COLUMNS]
-    numbers = F.dense_rank().over(Window.partitionBy().orderBy("first_id")).cast("long")
-    batches = rows.groupBy("__batch_id", "__source_file").agg(F.min(ID).alias("first_id")).select("__batch_id", numbers.alias("file_no"))
+    folder = F.when(F.col("file_path").contains("/open/"), 1).otherwise(2).cast("long")
+    batches = imported.ledger.select(F.col("batch_id").alias("__batch_id"), folder.alias("file_no"))
     named = rows.join(batches, "__batch_id").withColumn("headers", F.lit(",".join([first, *others])))
     suffix = F.element_at(F.split("__source_file", r"\."), -1)
     return named.select(ID, "file_no", suffix.alias("suffix"), "headers", *[F.col(c).alias(f"cell_{k}") for k, c in enumerate([first, *others])])
@@ -112,8 +117,7 @@ def import_history(spark, sf_dir):
     folders = _variant_folders(spark, sf_dir)
     options = imports.ImportOptions(allow_extra_columns=True, allow_missing_columns=True)
     for folder in folders:
-        source = imports.csv_source(spark, [folder])
-        store.add_import(imports.import_files(source, store.columns(), options, store.next_id()))
+        store.import_csv([folder], options)
     history = store.import_history(9)
     position = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long")
     return history.select(position.alias("position"), "status", "error_message", "header_hash", (F.length("file_hash") == 64).alias("hashed"))
@@ -123,14 +127,23 @@ def _imported_store(spark, sf_dir) -> StageStore:
     """A dataset made of two imports; the second widens it by a column."""
     store, orders = StageStore(spark, scratch_path(spark, "store")), _order_texts(spark, sf_dir)
     options = imports.ImportOptions(allow_extra_columns=True)
-    parts = {"first": orders.filter("status = 'O'").select("okey", "status", "priority"), "second": orders.filter("status <> 'O'")}
+    parts = {"first": orders.filter("status <=> 'O'").select("okey", "status", "priority"), "second": orders.filter("not status <=> 'O'")}
     for rows in parts.values():
-        folder = write_csv_in_order(rows, "okey", scratch_path(spark, "import"))
-        source = imports.csv_source(spark, [folder])
-        store.add_import(imports.import_files(source, store.columns(), options, store.next_id()))
+        store.import_csv([write_csv_in_order(rows, "okey", scratch_path(spark, "import"))], options)
     return store
 
 
+def import_skips_known(spark, sf_dir):
+    """Two deliveries; the second repeats the files of the first under other names."""
+    store, orders = StageStore(spark, scratch_path(spark, "store")), _order_texts(spark, sf_dir)
+    first, others = orders.filter("status <=> 'O'"), orders.filter("not status <=> 'O'")
+    deliver = lambda rows: write_csv_in_order(rows, "okey", scratch_path(spark, "delivery"))
+    store.import_csv([deliver(first)], skip_known=True)
+    again = deliver(first)
+    store.import_csv([again, deliver(others), again], skip_known=True)
+    return store.read("raw").select(ID, "okey", "status")
+
+
 def dataset_stats(spark, sf_dir):
     return _imported_store(spark, sf_dir).dataset_stats()
 
@@ -142,8 +155,7 @@ def raw_preview(spark, sf_dir):
 
 def schema_published(spark, sf_dir):
     store = _imported_store(spark, sf_dir)
-    published = spark.read.parquet(f"{store.root}/dataset_schema")
-    return published.select("column_name", "column_index", "data_type_guess", F.col("created_at").rlike(r"^\d{4}-\d\d-\d\dT").alias("stamped"))
+    return store.published_schema().select("column_name", "column_index", "data_type_guess", F.col("created_at").rlike(r"^\d{4}-\d\d-\d\dT").alias("stamped"))
 
 
 def incremental_import(spark, sf_dir):
@@ -151,10 +163,10 @@ def incremental_import(spark, sf_dir):
     root = scratch_path(spark, "incremental")
     store, orders = StageStore(spark, f"{root}/store"), _order_texts(spark, sf_dir)
     options = imports.ImportOptions(allow_extra_columns=True)
-    first = orders.filter("status = 'O'").select("okey", "status", "priority")
+    first = orders.filter("status <=> 'O'").select("okey", "status", "priority")
     write_csv_in_order(first, "okey", f"{root}/in")
     incremental.incremental_import(store, f"{root}/in", options)
-    write_csv_in_order(orders.filter("status <> 'O'"), "okey", f"{root}/in", mode="append")
+    write_csv_in_order(orders.filter("not status <=> 'O'"), "okey", f"{root}/in", mode="append")
     incremental.incremental_import(store, f"{root}/in", options)
     return store.read("raw").select(ID, "okey", "status", "priority", "price")
 
@@ -183,7 +195,7 @@ def incremental_score(spark, sf_dir):
     """Two deliveries that overlap; every document is scored once."""
     root = scratch_path(spark, "incremental")
     store, documents = StageStore(spark, f"{root}/store"), _deliveries(spark, sf_dir)
-    for rows in (documents.filter("lang <> 'de'"), documents.filter("lang <> 'en'")):
+    for rows in (documents.filter("not lang <=> 'de'"), documents.filter("not lang <=> 'en'")):
         rows.write.mode("append").parquet(f"{root}/in")
         incremental.incremental_scoring(store, f"{root}/in", documents.schema, _text_scorer, "doc_id")
     return store.read("predictions")
@@ -235,12 +247,13 @@ def stage_union(spark, sf_dir):
 
 
 def export_chunks(spark, sf_dir):
+    """Sheets of a hundred documents in the order of their ids, each with its number and its first id."""
     path = scratch_path(spark, "export")
-    export_csv(_labelled(spark, sf_dir).select("doc_id", "lang", "quality"), path, sheet_rows=101)
-    back = spark.read.schema("doc_id long, lang string, quality string").csv(path, header=True)
-    longest = back.groupBy("_metadata.file_path").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    export_csv(_labelled(spark, sf_dir).select("doc_id", "lang", "quality"), path, sheet_rows=101, id_col="doc_id")
+    back = spark.read.schema("doc_id long, lang string, quality string, sheet long").csv(path, header=True)
+    sheets = back.groupBy("sheet", "_metadata.file_path").agg(F.min("doc_id").alias("first_id")).select("sheet", "first_id")
     cells = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("")), F.coalesce("quality", F.lit(""))))
-    return back.select("doc_id", cells.alias("cells_md5"), F.lit(longest <= 100).alias("fits"))
+    return back.select("sheet", "doc_id", cells.alias("cells_md5")).join(sheets, "sheet")
 
 
 def csv_round_trip(spark, sf_dir):
@@ -255,28 +268,33 @@ def csv_round_trip(spark, sf_dir):
 TRAIN = classifier.TrainConfig(text_column="text", label_column="quality", id_column="doc_id")
 
 
-def _planted(rows: DataFrame) -> DataFrame:
-    """Three hundred words in every text that tell its quality, so that a classifier that learns makes no error."""
+def _planted(rows: DataFrame, count: int = 300) -> DataFrame:
+    """Words in every text that tell its quality, so that a classifier that learns makes no error."""
     word = F.when(F.col("quality") == 1, "zzgood").otherwise("zzbad")
-    words = F.transform(F.sequence(F.lit(1), F.lit(300)), lambda k: F.concat(word, k.cast("string")))
+    words = F.transform(F.sequence(F.lit(1), F.lit(count)), lambda k: F.concat(word, k.cast("string")))
     return rows.withColumn("text", F.concat("text", F.lit(" "), F.array_join(words, " ")))
 
 
-def _split_documents(spark, sf_dir):
+def _split_documents(spark, sf_dir, count: int = 300):
     labelled = _labelled(spark, sf_dir).filter("quality is not null")
-    return splits.assign_splits(_planted(labelled), "quality", id_col="doc_id")
+    return splits.assign_splits(_planted(labelled, count), "quality", id_col="doc_id")
+
+
+EPOCHS = epochs.EpochConfig(text_column="text", label_column="quality", id_column="doc_id")
+FEW_WORDS = 40
 
 
 def train_evaluate(spark, sf_dir):
-    result = classifier.train_classifier(_split_documents(spark, sf_dir), TRAIN)
+    """Training by epochs; a few words tell the quality."""
+    result = epochs.train_by_epochs(_split_documents(spark, sf_dir, FEW_WORDS), EPOCHS)
     return _rounded(result.metrics.drop("loss", "log_loss"))
 
 
 def train_score(spark, sf_dir):
-    """Scores of all documents by a model trained on the labelled ones; the others carry the word by their length."""
-    result = classifier.train_classifier(_split_documents(spark, sf_dir), TRAIN)
+    """Scores of all documents by a model trained on the labelled ones; the others carry the words by their length."""
+    result = epochs.train_by_epochs(_split_documents(spark, sf_dir, FEW_WORDS), EPOCHS)
     known = _labelled(spark, sf_dir).withColumn("quality", F.coalesce("quality", (F.col("n_chars") > 1000).cast("int")))
-    scored = classifier.score(_planted(known).select("doc_id", "text"), result.model, "text")
+    scored = classifier.score(_planted(known, FEW_WORDS).select("doc_id", "text"), result.model, "text")
     p = F.col(classifier.POSITIVE_PROBABILITY)
     sure = F.abs(F.col(classifier.CONFIDENCE) - F.greatest(p, 1 - p)) < 1e-9
     return scored.select("doc_id", F.col(classifier.LABEL_TEXT).alias("label"), (p > 0.5).alias("positive"), sure.alias("sure"))

@@ -242,6 +242,8 @@ select round(train, 6) as train, round(val, 6) as val, round(test, 6) as test,
         "prediction_distribution": """select count(*) as total, count(*) filter (lang <> 'de' and n_chars > 1000) as positive,
   count(*) filter (lang <> 'de' and n_chars <= 1000) as negative, count(*) filter (lang = 'de') as other from documents""",
         "judge_rule": judged(),
+        "judge_resumed": f"""select t.*, coalesce(eligible and {strip('text')} in (select {strip('text')} from {JUDGED} j where source = 'src1' and eligible and not failed), false) as from_first
+from ({judged()}) t join {JUDGED} k on t.doc_id = k.doc_id""",
         "judge_errors": f"select error, count(*) as rows from {JUDGED} j where error <> '' group by 1",
         "judge_cap": f"""with last as (select max(doc_id) as doc_id from (select doc_id from {JUDGED} j where eligible order by doc_id limit 100) t)
 select doc_id, case when chosen then label end as label, case when chosen then reason end as reason, case when chosen or error = '文本为空' then error end as error
@@ -282,8 +284,10 @@ union all select 'four', count(*), false from {VARIANTS} t""",
 from documents d left join labels l on d.doc_id = l.doc_id""",
         "stage_append": "select doc_id, lang, source, n_chars from documents",
         "stage_union": "select doc_id, lang, null::integer as quality, null::integer as toxic from documents union all select doc_id, null, quality, toxic from labels",
-        "export_chunks": """select d.doc_id, md5(d.doc_id || '|' || coalesce(lang, '') || '|' || coalesce(cast(quality as varchar), '')) as cells_md5, true as fits
-from documents d left join labels l on d.doc_id = l.doc_id""",
+        "export_chunks": """select d.doc_id, md5(d.doc_id || '|' || coalesce(lang, '') || '|' || coalesce(cast(quality as varchar), '')) as cells_md5,
+  sheet, min(d.doc_id) over (partition by sheet) as first_id
+from (select *, (row_number() over (order by doc_id) - 1) // 100 + 1 as sheet from documents) d left join labels l on d.doc_id = l.doc_id""",
+        "import_skips_known": f"""select row_number() over (order by coalesce(status, '') <> 'O', okey) as __record_id, okey, coalesce(status, '') as status from {ORDER_TEXTS} t""",
         "csv_round_trip": "select conv_id, turn, md5(text) as text_md5 from conversations",
         "train_evaluate": ratios(f"select split, {METRICS.replace('predicted', 'quality')} from {LEARNT} t group by split", "split"),
         "train_score": """select doc_id, case when q = 1 then '正样本' else '负样本' end as label, q = 1 as positive, true as sure from (
@@ -303,6 +307,8 @@ from documents d left join labels l on d.doc_id = l.doc_id""",
         "head_rows": f"select * from {ORDERS} t order by o_orderkey limit 25",
         "keyword_many": """select c_custkey, c_name from customer where exists (select 1 from range(1000) r(k)
   where contains(c_name, cast(1000 + 7 * k as varchar)) or contains(cast(cast(c_acctbal as decimal(18,2)) as varchar), cast(1000 + 7 * k as varchar)))""",
+        "keyword_many_all": "select c_custkey, c_name from customer where c_custkey % 3 <> 0",
+        "page_text_ids": """select l_orderkey || '/' || l_linenumber as item, l_quantity from lineitem order by 1 limit 200 offset 10500""",
         "page_hashed_ids": """select (cast('0x' || substr(md5(cast(o_orderkey as varchar)), 1, 15) as bigint) - 576460752303423488) * 15 as hashed, o_orderkey
 from orders order by 1 limit 200 offset 900""",
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from labelflow.functions import labels as lb
 from labelflow.functions import text as tx
 from labelflow.operators import classifier, filters, judge, metrics, quality, sampling, splits
+from labelflow.operators.answers import Ledger
 from labelflow.operators.paging import head, page
+from labelflow.session import materialize, scratch_path
 
 ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
@@ -107,6 +110,22 @@ def keyword_many(spark, sf_dir):
     return customers.filter(wanted).select("c_custkey", "c_name")
 
 
+ALL_WORDS = [f"k{k:03d}" for k in range(1000)]
+
+
+def keyword_many_all(spark, sf_dir):
+    """A thousand keywords that all have to occur, spread over two columns; every third customer lacks one of them."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda k: F.concat(F.lit("K"), F.lpad(k.cast("string"), 3, "0")))
+    lacking = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("K"), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0")))
+    held = F.filter(words, lambda w: ~w.eqNullSafe(lacking))
+    cut = (F.col("c_custkey") % 900 + 1).cast("int")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", held.alias("held"), cut.alias("cut"))
+    first, second = F.slice("held", 1, F.col("cut")), F.slice("held", F.col("cut") + 1, 1000)
+    customers = customers.select("c_custkey", "c_name", F.array_join(first, " ").alias("first"), F.array_join(second, "-").alias("second"))
+    wanted = filters.keyword_filter(customers, ["first", "second"], ALL_WORDS, keyword_mode="all")
+    return customers.filter(wanted).select("c_custkey", "c_name")
+
+
 def keyword_count(spark, sf_dir):
     found = None
     for name in ("documents", "conversations"):
@@ -345,6 +364,20 @@ def judge_errors(spark, sf_dir):
     return judge.judge_failures(judged, "error").groupBy("error").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def judge_resumed(spark, sf_dir):
+    """A run over the documents of one source, then one over all with the same ledger: whose answer came from the first run."""
+    ledger = Ledger(scratch_path(spark, "ledger"), "keyword rule", judge.system_prompt("判断文本", FIELDS))
+    config = replace(JUDGE, ledger=ledger, calls=judge.Calls(at_a_time=2, in_flight=8))
+    rows = _judge_input(spark, sf_dir)
+    first = table(spark, sf_dir, "documents").filter("source = 'src1'").select("doc_id")
+    judge.judge(rows.join(first, "doc_id", "left_semi"), keyword_scorer, config)
+    held = materialize(ledger.replies(spark), "held")
+    judged = judge.judge(rows, keyword_scorer, config)
+    texts = rows.select("doc_id", ledger.key(tx.strip(tx.none_to_empty(F.col("text")))).alias("key"))
+    marked = texts.join(held.withColumn("held", F.lit(True)), "key", "left").select("doc_id", F.coalesce("held", F.lit(False)).alias("from_first"))
+    return judged.select("doc_id", "label", "reason", "error").join(marked, "doc_id")
+
+
 def judge_cap(spark, sf_dir):
     capped = judge.JudgeConfig(**{**JUDGE.__dict__, "limit": 100})
     return judge.judge(_judge_input(spark, sf_dir), keyword_scorer, capped).select("doc_id", "label", "reason", "error")
@@ -422,6 +455,12 @@ def page_of_rows(spark, sf_dir):
     return page(_orders(spark, sf_dir), 200, 100, "o_orderkey")
 
 
+def page_text_ids(spark, sf_dir):
+    """A page of line items far beyond the first rows, by an id that is text."""
+    items = table(spark, sf_dir, "lineitem").select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("item"), "l_quantity")
+    return page(items, 10_500, 200, "item")
+
+
 def head_rows(spark, sf_dir):
     return head(_orders(spark, sf_dir).orderBy("o_orderkey"), 25)
 
