@@ -84,7 +84,63 @@ def test_rotation_is_orthogonal_and_balances_codes():
     assert loss(r) < loss(ed._orthogonal(16, 0))
 
 
-@pytest.mark.parametrize("count", [1, 100, 10_000, 10**8])
-def test_tables_cover_the_code(count):
-    number, bits = ed.tables(count)
-    assert number * bits <= ed.BITS and number >= 2
+def spread(random, count, mean, pairs, size=64):
+    """Unit vectors with a mean cosine, and partners at a cosine of 0.981 for some of them."""
+    direction = np.zeros(size)
+    direction[0] = 1
+    x = random.standard_normal((count, size))
+    x[:, 0] = 0
+    x = math.sqrt(mean) * direction + math.sqrt(1 - mean) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    aside = random.standard_normal((pairs, size))
+    aside -= (aside * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    partner = 0.981 * x[:pairs] + math.sqrt(1 - 0.981**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    return x, partner
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.5, 0.8, 0.9])
+@pytest.mark.parametrize("members", [3_000, 10**6, 10**7])
+def test_tables_reach_the_recall_at_any_size(mean, members):
+    random = np.random.default_rng(7)
+    x, partner = spread(random, 20_000, mean, 4000)
+    model = ed.fit(x)
+    needed = ed.tables_needed(x, model, 0.98)
+    width = ed.substring(members, needed)
+    differ = ed.code_bits(x[:4000], model) ^ ed.code_bits(partner, model)
+    met = (~differ[:, ed.positions()[: needed[width], :width]].any(axis=2)).any(axis=1)
+    assert met.mean() >= 0.97
+    assert needed[width] <= 100
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.9])
+def test_links_of_vectors_with_a_common_direction(spark, mean):
+    x, partner = spread(np.random.default_rng(8), 3000, mean, 1500)
+    rows = [(k, [float(np.float32(c)) for c in v], 0) for k, v in enumerate(np.concatenate([x, partner]))]
+    got = found(spark, rows)
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    wanted = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert all(got[k][0] <= wanted[k] for k in got)
+    assert sum(v[0] for v in got.values()) >= 0.97 * wanted.sum()
+
+
+def test_ids_with_several_vectors(spark):
+    random = np.random.default_rng(9)
+    centre = random.standard_normal(64)
+    near = lambda: [float(np.float32(c)) for c in centre + 0.02 * random.standard_normal(64)]
+    other = [float(np.float32(c)) for c in random.standard_normal(64)]
+    rows = [(5, near(), 0), (6, near(), 0), (7, near(), 0), (5, near(), 1), (8, near(), 1), (9, other, 0), (9, other, 1), (10, other, 1), (6, near(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in ed.dedup(df).collect())
+    assert got == [(5, 1, 5), (5, 3, 5), (6, 3, 5), (6, 3, 5), (7, 3, 5), (8, 1, 5), (9, 0, 9), (9, 1, 9), (10, 1, 9)]
+
+
+@pytest.mark.parametrize("block", [7, 64])
+def test_buckets_beyond_a_block(spark, monkeypatch, block):
+    monkeypatch.setattr(ed, "BLOCK", block)
+    random = np.random.default_rng(10)
+    centres = random.standard_normal((3, 64))
+    rows = [(k, [float(np.float32(c)) for c in centres[k % 3] + 0.1 * random.standard_normal(64)], k % 2) for k in range(300)]
+    got, wanted = found(spark, rows), brute(rows)
+    assert sum(v[0] for v in got.values()) >= 0.97 * sum(v[0] for v in wanted.values())
+    assert all(got[k][0] <= wanted[k][0] for k in wanted)
+    assert [got[k][1:] for k in sorted(got)] == [wanted[k][1:] for k in sorted(wanted)]
