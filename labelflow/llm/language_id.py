@@ -90,7 +90,8 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Te
 
 def _evidence(pages: DataFrame, model: TextModel) -> DataFrame:
     """One narrow row per page: id, host, domain, suffix, declared language and text log likelihoods."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    # Plain values: a broadcast is read where this package may be missing.
+    shared = pages.sparkSession.sparkContext.broadcast((model.languages, model.logs))
     names = _columns(model, "t")
     after = F.element_at(F.split(F.coalesce("url", F.lit("")), "://", 2), 2)
     host = F.lower(F.regexp_extract(F.coalesce(F.when(F.contains(F.coalesce("url", F.lit("")), F.lit("://")), after), F.lit("")), r"^(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -99,10 +100,11 @@ def _evidence(pages: DataFrame, model: TextModel) -> DataFrame:
     source = pages.select("page_id", host.alias("host"), F.when(declared.isin(model.languages), declared).otherwise("").alias("declared"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        likelihood = TextModel(*shared.value)
         for batch in batches:
             for chunk in th.chunks(batch.column(3)):
                 part = batch.slice(chunk.start, chunk.rows)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, shared.value.scores(chunk).T.copy())], ["page_id", "host", "declared", *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, likelihood.scores(chunk).T.copy())], ["page_id", "host", "declared", *names])
 
     rows = source.mapInArrow(run, "page_id long, host string, declared string" + "".join(f", {n} double" for n in names))
     domain = F.regexp_extract("host", r"[^.]+\.[^.]+$", 0)
@@ -135,8 +137,9 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
     markup = session.materialize(markup, "markup")
     total = markup.agg(*[F.sum(f"m{k}") for k in range(count)]).first()
     everywhere = [F.lit(x or 0.0) for x in total]
+    alone = first
     for level in ("suffix", "domain", "host"):
-        grouped, seen = session.measure(first.groupBy(level).agg(*sums(level[0])), level, bytes=F.sum(F.octet_length(level)))
+        grouped, seen = session.measure(alone.groupBy(level).agg(*sums(level[0])), level, bytes=F.sum(F.octet_length(level)))
         first = first.join(session.broadcast_if_small(grouped, seen), level)
     first = first.join(F.broadcast(markup), F.col("declared") == F.col("said"))
 
