@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelflow.llm import quality_rules
+from labelflow.llm import mixing, quality_rules
 from labelflow.llm import queries as q
 from labelflow.llm import secret_scan as ss
 from labelflow.llm.url_filters import UPPER, Rule
@@ -212,6 +212,40 @@ WITH {CRC_TABLE}
 SELECT doc_id, n_features, weight, score, CASE WHEN enough AND place <= 5 * n // 100 THEN place END AS rank FROM ranked"""
 
 
+def _mixing() -> str:
+    t = q.MIX
+    number = lambda *parts: f"cast('0x' || substr(md5({" || ':' || ".join(parts)}), 1, 15) AS bigint)"
+    block = f"{number(f"'{t.seed + 2}'", "coalesce(doc_id::varchar, '')")} % blocks"
+    turn = lambda k, source: number(f"'{t.seed}'", k, f"({block})::varchar", f"coalesce('=' || {source}, '')")
+    sections = "SELECT ln(sum(exp({a} * l))) - sum(exp({a} * l) * {a} * l) / sum(exp({a} * l)) AS h, max(exp({a} * l) / p) / sum(exp({a} * l)) AS r FROM shares"
+    inside = f"(CASE WHEN sharper THEN h >= {t.entropy} * top ELSE h <= {t.entropy} * top END) AND r * {t.budget} <= {t.repeats} * (1 + 1e-9)"
+    return rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS n_tokens FROM documents
+), sources AS (SELECT source, sum(n_tokens)::bigint AS tokens, count(*) AS docs FROM docs GROUP BY source
+), totals AS (SELECT sum(tokens)::double AS total, max(tokens)::double AS largest, count(*) FILTER (WHERE tokens > 0) AS n FROM sources
+), shares AS (SELECT tokens / total AS p, ln(tokens / largest) AS l FROM sources, totals WHERE tokens > 0
+), start AS (SELECT ln(n) AS top, n > 1 AND (SELECT h FROM ({sections.format(a=1)}) x) > {t.entropy} * ln(n) AS sharper FROM totals
+), bisect AS (
+  SELECT 0 AS k, CASE WHEN sharper THEN 1.0 ELSE 0.0 END::double AS low, CASE WHEN sharper THEN 1048576.0 ELSE 1.0 END::double AS high FROM start
+  UNION ALL SELECT k + 1, CASE WHEN up THEN middle ELSE low END, CASE WHEN up THEN high ELSE middle END FROM (
+    SELECT k, low, high, middle, ({inside}) = sharper AS up FROM (
+      SELECT *, (low + high) / 2 AS middle FROM bisect WHERE k < 70) b, start, LATERAL ({sections.format(a="b.middle")}) s) x
+), chosen AS (SELECT CASE WHEN n > 1 THEN round(low, {mixing.DIGITS}) ELSE 1.0 END AS a FROM bisect, totals WHERE k = 70
+), powers AS (SELECT *, CASE WHEN tokens > 0 THEN pow(tokens / largest, a) ELSE 0 END AS power FROM sources, totals, chosen
+), wanted AS (SELECT *, power / sum(power) OVER () * ({t.budget}::double * total) AS w FROM powers
+), budgets AS (
+  SELECT *, cast(CASE WHEN tokens > 0 AND abs(w - round(w / tokens) * tokens) <= w * 1e-9 THEN round(w / tokens) * tokens WHEN abs(w - round(w)) <= w * 1e-9 THEN round(w) ELSE floor(w) END AS bigint) AS budget FROM wanted
+), plan AS (
+  SELECT source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS passes, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest,
+    least({mixing.MAX_BLOCKS}, cast(ceil(docs / {t.block_docs}) AS bigint)) AS blocks FROM budgets
+), placed AS (
+  SELECT d.*, passes, rest, blocks, {turn("passes::varchar", "d.source")} AS last_turn, {number(f"'{t.seed + 1}'", "coalesce(doc_id::varchar, '')")} AS place
+  FROM docs d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source
+), reached AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY last_turn, place) AS upto FROM placed
+), copies AS (SELECT *, unnest(range(passes + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)) AS copy FROM reached)
+SELECT doc_id, source, n_tokens, cast(copy AS int) AS copy, {turn("copy::varchar", "source")} AS turn FROM copies"""
+
+
 def _top_k() -> str:
     return """
 WITH v AS (
@@ -228,6 +262,7 @@ def queries() -> dict[str, str]:
         "op1_quality_rules": _quality_rules(),
         "op2_embedding_dedup": _embedding_dedup(),
         "op3_warc": _warc(),
+        "op6_mixing": _mixing(),
         "op7_url_filters": _url_filters(),
         "op8_secret_scan": _secret_scan(),
         "op10_ngram_join": _ngram_join(),

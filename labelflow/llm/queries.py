@@ -30,6 +30,8 @@ PATTERN_RULES = [
     url_filters.Rule("/health/adult/", "pattern", "allow"),
 ]
 
+MIX = mixing.Target(entropy=0.9, sharpen=True)
+
 TOXICITY = [
     toxicity.Category("low_quality", "quality = 0"),
     toxicity.Category("toxic", "toxic = 1"),
@@ -70,7 +72,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.tokens(F.col("text")).alias("n_tokens"))
     counted = session.materialize(docs, "counted")
-    target = mixing.Target()
+    target = MIX
     mixed = mixing.realise(counted, mixing.plan(counted, target), target)
     return mixed.select("doc_id", "source", "n_tokens", F.col("__mix.__copy").alias("copy"), F.col("__mix.turn").alias("turn"))
 
