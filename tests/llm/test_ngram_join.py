@@ -97,3 +97,23 @@ def test_components_of_long_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 1400)] + [(5, 5), (3000, 2999)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{k: 0 for k in range(201)}, **{k: 1000 for k in range(1000, 1400)}, 2999: 2999, 3000: 2999}
+
+
+def test_a_template_below_the_threshold_makes_no_pairs(spark, monkeypatch):
+    """Texts of 170 common words and 30 of their own share every common n-gram, and none of them is met pair by pair."""
+    met = []
+    verify = ngram_join._Search.verify
+
+    def counted(self, pairs):
+        met.append(pairs.count())
+        return verify(self, pairs)
+
+    monkeypatch.setattr(ngram_join._Search, "verify", counted)
+    common = [f"t{k}" for k in range(170)]
+    for count in (100, 400):
+        rows = [(d, " ".join(common + [f"own{d}x{k}" for k in range(30)])) for d in range(count)]
+        rows += [(1000 + d, rows[d][1] + " one more") for d in range(10)]
+        met.clear()
+        got = {r["doc_id"]: r["component_id"] for r in found(spark, rows)}
+        assert got == {d: d % 1000 for d, _ in rows}
+        assert sum(met) <= 4 * count
