@@ -190,9 +190,12 @@ def train_classifier(splits: DataFrame, config: TrainConfig = TrainConfig()) ->
 
 
 def save_result(result: TrainResult, path: str) -> None:
-    """Write the model, its metrics and details, and a record of the run."""
+    """Write the model (a pipeline, or one that saves itself), its metrics and details, and a record of the run."""
     spark = result.metrics.sparkSession
-    result.model.write().overwrite().save(f"{path}/model")
+    if isinstance(result.model, PipelineModel):
+        result.model.write().overwrite().save(f"{path}/model")
+    else:
+        result.model.save(spark, f"{path}/model")
     result.details.write.mode("overwrite").parquet(f"{path}/details")
     saved = spark.read.parquet(f"{path}/details")
     evaluate(saved, by="split").coalesce(1).write.mode("overwrite").parquet(f"{path}/metrics")

@@ -89,8 +89,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.incremental_import,
         f.resume_score,
         f.incremental_score,
+        f.incremental_score_hashed,
         f.stage_counts,
         f.stage_clear,
+        f.stage_guards,
+        f.split_ratios,
         f.stage_replace,
         f.stage_append,
         f.stage_union,
@@ -100,5 +103,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.train_score,
         f.score_with_function,
         f.reevaluate,
+        f.run_record,
     ]
     return {function.__name__: function for function in functions}

@@ -6,13 +6,16 @@ then runs the operator on them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelflow.operators import classifier, epochs, judge, sampling, splits
 from labelflow.plans.fixtures import CSV_FILES, write_csv_in_order, write_workbooks
 from labelflow.plans.queries import JUDGE, _documents, _judge_input, _labelled, _rounded, keyword_scorer, table
-from labelflow.plans.stages import StageStore, export_csv, union_records, write_csv
+from labelflow.plans.stages import CSV_OPTIONS, STAGES, StageStore, export_csv, union_records, write_csv
 from labelflow.session import materialize, scratch_path
 from labelflow.sources import imports
 from labelflow.sources.csv_files import ROW_BITS
@@ -137,11 +140,19 @@ def import_skips_known(spark, sf_dir):
     """Two deliveries; the second repeats the files of the first under other names."""
     store, orders = StageStore(spark, scratch_path(spark, "store")), _order_texts(spark, sf_dir)
     first, others = orders.filter("status <=> 'O'"), orders.filter("not status <=> 'O'")
-    deliver = lambda rows: write_csv_in_order(rows, "okey", scratch_path(spark, "delivery"))
+
+    def deliver(rows: DataFrame) -> str:
+        """Files of equal bytes whenever the rows are equal."""
+        path = scratch_path(spark, "delivery")
+        rows.repartition(CSV_FILES, "okey").sortWithinPartitions("okey").write.options(**CSV_OPTIONS).csv(path)
+        return path
+
     store.import_csv([deliver(first)], skip_known=True)
     again = deliver(first)
     store.import_csv([again, deliver(others), again], skip_known=True)
-    return store.read("raw").select(ID, "okey", "status")
+    raw = store.read("raw")
+    dense = raw.agg((F.max(ID) == F.count_distinct(ID)).alias("dense"), F.count(F.lit(1)).alias("rows"))
+    return raw.select("okey", "status").join(F.broadcast(dense))
 
 
 def dataset_stats(spark, sf_dir):
@@ -201,6 +212,17 @@ def incremental_score(spark, sf_dir):
     return store.read("predictions")
 
 
+def incremental_score_hashed(spark, sf_dir):
+    """The same over ids that are hashes, in three deliveries; the last holds nothing new."""
+    root = scratch_path(spark, "incremental")
+    store, documents = StageStore(spark, f"{root}/store"), _deliveries(spark, sf_dir)
+    hashed = documents.withColumn("doc_id", F.md5(F.col("doc_id").cast("string")))
+    for rows in (hashed.filter("not lang <=> 'de'"), hashed.filter("not lang <=> 'en'"), hashed.filter("lang <=> 'fr'")):
+        rows.write.mode("append").parquet(f"{root}/in")
+        incremental.incremental_scoring(store, f"{root}/in", hashed.schema, _text_scorer, "doc_id")
+    return store.read("predictions")
+
+
 def _filled_store(spark, sf_dir) -> StageStore:
     """A dataset taken through every stage."""
     store = StageStore(spark, scratch_path(spark, "store"))
@@ -225,6 +247,43 @@ def stage_clear(spark, sf_dir):
     return counts.unionByName(store.counts().withColumn("after", F.lit("derived"))).select("after", "stage", "rows")
 
 
+def stage_guards(spark, sf_dir):
+    """Which stages and columns a dataset with raw records and a sample has, as its guards see them."""
+    store = StageStore(spark, scratch_path(spark, "store"))
+    store.replace("raw", _documents(spark, sf_dir))
+    store.write_sample(store.read("raw").filter("lang <=> 'en'"))
+
+    def passes(check: Callable[[], object]) -> bool:
+        try:
+            check()
+            return True
+        except ValueError:
+            return False
+
+    stages = [("stage", name, passes(lambda name=name: store.read(name))) for name in STAGES]
+    columns = [("column", name, passes(lambda name=name: store.require_column("raw", name))) for name in ("doc_id", "lang", "text")]
+    preview = store.preview("reviewed")
+    found = spark.createDataFrame([*stages, *columns], "kind string, name string, present boolean")
+    rows = store.read("raw").agg(F.count(F.lit(1)).alias("raw_rows")).withColumn("preview_columns", F.lit(len(preview.columns)).cast("long"))
+    return found.join(F.broadcast(rows))
+
+
+def split_ratios(spark, sf_dir):
+    """Ratios that do not add up to one are refused; with the others the rows of every part."""
+    labelled = _labelled(spark, sf_dir).filter("quality is not null").select("doc_id", "quality")
+    tables = []
+    for train, val, test in ((0.8, 0.1, 0.1), (0.5, 0.25, 0.25), (0.8, 0.1, 0.2), (1.1, -0.1, 0.0)):
+        ratios = F.lit(f"{train}/{val}/{test}").alias("ratios")
+        try:
+            parts = splits.assign_splits(labelled, "quality", train, val, test, id_col="doc_id")
+        except ValueError:
+            refused = labelled.agg(F.count(F.lit(1)).alias("rows"))
+            tables.append(refused.select(ratios, F.lit("refused").alias("split"), "rows"))
+            continue
+        tables.append(parts.groupBy("split").agg(F.count(F.lit(1)).alias("rows")).select(ratios, "split", "rows"))
+    return reduce(DataFrame.unionByName, tables)
+
+
 def stage_replace(spark, sf_dir):
     store = StageStore(spark, scratch_path(spark, "store"))
     documents = _labelled(spark, sf_dir).select("doc_id", "lang", "quality")
@@ -281,7 +340,7 @@ def _split_documents(spark, sf_dir, count: int = 300):
 
 
 EPOCHS = epochs.EpochConfig(text_column="text", label_column="quality", id_column="doc_id")
-FEW_WORDS = 40
+FEW_WORDS = 100
 
 
 def train_evaluate(spark, sf_dir):
@@ -300,6 +359,19 @@ def train_score(spark, sf_dir):
     return scored.select("doc_id", F.col(classifier.LABEL_TEXT).alias("label"), (p > 0.5).alias("positive"), sure.alias("sure"))
 
 
+def run_record(spark, sf_dir):
+    """What the record of a saved training run says, next to the saved metrics."""
+    root = scratch_path(spark, "runs")
+    result = epochs.train_by_epochs(_split_documents(spark, sf_dir, FEW_WORDS), EPOCHS)
+    classifier.save_result(result, f"{root}/first")
+    runs = classifier.newest_runs(spark, root)
+    record = F.from_json("record", "config struct<text_column string, label_column string, epochs long>, candidates array<array<double>>")
+    stamped = F.col("created_at").rlike(r"^\d{4}-\d\d-\d\dT").alias("stamped")
+    named = runs.select("run", stamped, record.alias("r")).select("run", "stamped", "r.config.*", F.size("r.candidates").cast("long").alias("tried"))
+    metrics = spark.read.parquet(f"{root}/first/metrics").select("split", "support", "tp", "tn")
+    return metrics.join(F.broadcast(named))
+
+
 def score_with_function(spark, sf_dir):
     """Scores by a given function of the text in place of a trained model."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -278,8 +278,21 @@ union all select 'four', count(*), false from {VARIANTS} t""",
   case when status = 'O' then '' else price end as price from {ORDER_TEXTS} t""",
         "resume_score": SCORED,
         "incremental_score": SCORED,
+        "incremental_score_hashed": f"select md5(cast(doc_id as varchar)) as doc_id, lang, positive from ({SCORED}) s",
         "stage_counts": staged_counts(None, 8),
         "stage_clear": staged_counts("labeled", 3) + " union all " + staged_counts("derived", 1),
+        "stage_guards": """select t.*, (select count(*) from documents) as raw_rows, cast(0 as bigint) as preview_columns from (values
+  ('stage', 'raw', true), ('stage', 'sampled', true), ('stage', 'labeled', false), ('stage', 'reviewed', false), ('stage', 'train', false), ('stage', 'val', false),
+  ('stage', 'test', false), ('stage', 'predictions', false), ('column', 'doc_id', true), ('column', 'lang', true), ('column', 'text', false)) t (kind, name, present)""",
+        "split_ratios": " union all ".join(
+            [
+                f"""select '{train}/{val}/{test}' as ratios, split, count(*) as rows from ({floor_split("(select * from labels)", "quality", "doc_id", "doc_id", train, val, 42)}) t group by split"""
+                for train, val, test in ((0.8, 0.1, 0.1), (0.5, 0.25, 0.25))
+            ]
+            + [f"select '{ratios}', 'refused', count(*) from labels" for ratios in ("0.8/0.1/0.2", "1.1/-0.1/0.0")]
+        ),
+        "run_record": f"""select 'first' as run, true as stamped, 'text' as text_column, 'quality' as label_column, cast(8 as bigint) as epochs, cast(8 as bigint) as tried,
+  split, count(*) as support, count(*) filter (quality = 1) as tp, count(*) filter (quality = 0) as tn from {LEARNT} t group by split""",
         "stage_replace": """select cast(d.doc_id as varchar) as doc_id, lang, coalesce(cast(quality as varchar), '') as quality
 from documents d left join labels l on d.doc_id = l.doc_id""",
         "stage_append": "select doc_id, lang, source, n_chars from documents",
@@ -287,7 +300,7 @@ from documents d left join labels l on d.doc_id = l.doc_id""",
         "export_chunks": """select d.doc_id, md5(d.doc_id || '|' || coalesce(lang, '') || '|' || coalesce(cast(quality as varchar), '')) as cells_md5,
   sheet, min(d.doc_id) over (partition by sheet) as first_id
 from (select *, (row_number() over (order by doc_id) - 1) // 100 + 1 as sheet from documents) d left join labels l on d.doc_id = l.doc_id""",
-        "import_skips_known": f"""select row_number() over (order by coalesce(status, '') <> 'O', okey) as __record_id, okey, coalesce(status, '') as status from {ORDER_TEXTS} t""",
+        "import_skips_known": f"select okey, coalesce(status, '') as status, true as dense, (select count(*) from orders) as rows from {ORDER_TEXTS} t",
         "csv_round_trip": "select conv_id, turn, md5(text) as text_md5 from conversations",
         "train_evaluate": ratios(f"select split, {METRICS.replace('predicted', 'quality')} from {LEARNT} t group by split", "split"),
         "train_score": """select doc_id, case when q = 1 then '正样本' else '负样本' end as label, q = 1 as positive, true as sure from (

@@ -166,6 +166,16 @@ class StageStore:
         filled = [F.coalesce(quote(c), F.lit("")).alias(c) if c in added else by_name(c) for c in rows.columns]
         return rows.select(*filled) if added else rows
 
+    def parts(self, stage: str) -> list[str]:
+        """Folders that were appended to the current version of a stage."""
+        current = self._current(self._table(stage))
+        return sorted(name for name in self._children(current) if name.startswith("part-")) if current else []
+
+    def read_parts(self, stage: str, names: list[str]) -> DataFrame:
+        """The rows of some appended parts."""
+        current = self._current(self._table(stage))
+        return self.spark.read.schema(self._schema(self._table(stage))).parquet(*[f"{current}/{name}" for name in names])
+
     def _unfinished(self) -> list[str]:
         """Raw parts of imports that never got their ledger."""
         done = {f"part-{batch.name}" for batch in self._imports()}
@@ -303,6 +313,7 @@ class StageStore:
                 self._delete(f"{self.root}/{self._table(stage)}")
             if stage == "predictions":  # what was scored before has to be scored again
                 self._delete(f"{self.root}/streams/scoring")
+                self._delete(f"{self.root}/finished")
 
     def clear_downstream(self, step: str) -> None:
         """Drop every stage after ``step``; unknown steps drop nothing."""

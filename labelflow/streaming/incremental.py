@@ -19,6 +19,7 @@ from labelflow.plans.stages import StageStore
 from labelflow.session import broadcast_if_small, measure
 from labelflow.sources.files import literal_path
 from labelflow.sources.imports import ImportOptions
+from labelflow.streaming.finished import FinishedIds
 
 # Files one batch takes: their names pass through the driver.
 FILES_PER_BATCH = 10_000
@@ -100,16 +101,16 @@ def incremental_scoring(
 ) -> None:
     """Score the Parquet files that arrived in ``source`` since the last run.
 
-    A backlog is taken in batches of files, each kept once it is written.
+    A backlog is taken in batches of files, each kept once it is written.  Finished
+    ids are found by their index, of which only the buckets that may hold an id of
+    the batch are read, however the ids are spread.
     """
     def score_batch(batch: DataFrame, number: int) -> None:
-        part, done = f"batch-{number}", None
-        if store.exists("predictions"):
-            # Rows of a failed attempt at this batch do not count as done.  New
-            # ids seldom fall between old ones, so the range prunes most files.
-            low, high = batch.agg(F.min(id_col), F.max(id_col)).first()
-            done = store.read("predictions", without_part=part).filter(F.col(id_col).between(low, high))
+        # Rows of a failed attempt at this batch do not count as done.
+        part, finished = f"batch-{number}", FinishedIds(store, id_col)
+        done = finished.maybe_finished(batch.select(by_name(id_col)), without_part=part) if store.exists("predictions") else None
         store.append("predictions", score_pending(batch, done, scorer, id_col), part=part)
+        finished.add(part)
 
     stream = store.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     query = (

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from labelflow.operators import classifier, epochs
 
-CONFIG = epochs.EpochConfig(text_column="text", label_column="label", id_column="id", features=1 << 12)
+CONFIG = epochs.EpochConfig(text_column="text", label_column="label", id_column="id", features=1 << 12, epochs=5)
 
 
 def documents(spark, n=400):
@@ -35,9 +35,10 @@ def test_epochs_learn_and_score(spark, tmp_path):
 def test_the_best_epoch_wins_even_an_early_one(spark, monkeypatch):
     true, seen = epochs.binary_metrics, []
 
-    def falling(rows):
+    def falling(rows, **options):
         seen.append(rows)
-        return true(rows).withColumn("f1", F.lit([0.5, 0.9, 0.9, 0.1][len(seen) - 1]))
+        measured = true(rows, **options).withColumn("f1", F.lit([0.5, 0.9, 0.9, 0.1][len(seen) - 1]))
+        return measured.withColumn("loss", F.lit([0.4, 0.1, 0.2, 0.0][len(seen) - 1]))
 
     monkeypatch.setattr(epochs, "binary_metrics", falling)
     states = []

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from labelflow.plans.stages import StageStore
 from labelflow.sources.imports import ImportOptions
 from labelflow.streaming import incremental
+from labelflow.streaming.finished import FinishedIds
 
 
 @pytest.fixture()
@@ -64,3 +65,52 @@ def test_incremental_import(spark, store, tmp_path):
     got = store.read("raw").orderBy("__record_id").select("__record_id", "__source_file", "x", "y", "w").collect()
     assert [tuple(r) for r in got] == [(1, "a.csv", "1", "2", ""), (2, "a b.csv", "3", "4", "5")]
     assert store.import_history().count() == 2
+
+
+def hashed(spark, low, high):
+    return spark.range(low, high).select(F.md5(F.col("id").cast("string")).alias("__record_id"))
+
+
+def test_only_buckets_that_may_hold_an_id_are_read(spark, store):
+    for part, (low, high) in {"one": (0, 20_000), "two": (20_000, 40_000)}.items():
+        store.append("predictions", hashed(spark, low, high), part=part)
+        FinishedIds(store, "__record_id").add(part)
+    index = FinishedIds(store, "__record_id")
+    new = index.maybe_finished(hashed(spark, 50_000, 50_200))
+    assert len(new.inputFiles()) <= 4
+    some = index.maybe_finished(hashed(spark, 19_995, 20_005))
+    assert 10 <= len(some.inputFiles()) <= 16
+    known = {r[0] for r in some.collect()}
+    assert {r[0] for r in hashed(spark, 19_995, 20_005).collect()} <= known and len(known) < 2500
+    assert {r[0] for r in hashed(spark, 20_000, 20_005).collect()}.isdisjoint(r[0] for r in index.maybe_finished(hashed(spark, 20_000, 20_005), without_part="two").collect())
+    assert index.maybe_finished(hashed(spark, 0, 0)).count() == 0
+
+
+def test_parts_without_an_index_are_read_themselves(spark, store):
+    index = FinishedIds(store, "__record_id")
+    store.append("predictions", ids(spark, 0, 100), part="plain")
+    assert index.maybe_finished(ids(spark, 50, 150)).count() == 100
+    store.append("predictions", ids(spark, 100, 200), part="more")
+    index.add("more")
+    found = {r[0] for r in index.maybe_finished(ids(spark, 150, 160)).collect()}
+    assert set(range(100)) | set(range(150, 160)) <= found
+    index.add("more")  # a replayed part is indexed anew
+    store.drop("predictions")
+    assert index.maybe_finished(ids(spark, 0, 5)) is None
+
+
+def test_a_crash_before_the_index_scores_nothing_twice(spark, store, tmp_path, monkeypatch):
+    source = str(tmp_path / "in")
+    hashed(spark, 0, 50).write.parquet(source)
+
+    def twice(rows):
+        return rows.withColumn("score", F.lit(1))
+
+    with monkeypatch.context() as broken:
+        broken.setattr(FinishedIds, "add", lambda self, part: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(Exception, match="lost"):
+            incremental.incremental_scoring(store, source, hashed(spark, 0, 1).schema, twice)
+    for low, high in ((0, 50), (40, 90)):
+        hashed(spark, low, high).write.mode("append").parquet(source)
+        incremental.incremental_scoring(store, source, hashed(spark, 0, 1).schema, twice)
+    assert store.read("predictions").count() == store.read("predictions").distinct().count() == 90
