@@ -120,22 +120,18 @@ def test_groups_of_copies_and_a_common_opening(spark):
 
 def test_a_sketch_that_proves_nothing_changes_nothing(spark, monkeypatch):
     rows = [(c, t, "user", f"{c % 7}/{t}" if t < 2 else f"{c}/{t}") for c in range(60) for t in range(5)]
-    wanted = brute(rebuilt(rows, False))
-    monkeypatch.setattr(ct.count_min, "build", lambda digests, count: np.full(count_min.ROWS * count_min.MIN_CELLS, 2, np.uint8))
-    assert result(ct.trie(spark.createDataFrame(rows, SCHEMA))) == wanted
-    half = np.full(count_min.ROWS * count_min.MIN_CELLS, 2, np.uint8)
+    wanted, build = brute(rebuilt(rows, False)), count_min.build
 
-    def patchy(digests, count):
-        true = build(digests, count)
-        half[: len(true)] = np.where(np.arange(len(true)) % 2, 2, true)
-        return half
-
-    build = count_min_build
-    monkeypatch.setattr(ct.count_min, "build", patchy)
-    assert result(ct.trie(spark.createDataFrame(rows, SCHEMA))) == wanted
+    def nothing(digests, count):
+        return np.full_like(build(digests, count), 2)
 
+    def every_other_cell(digests, count):
+        true = build(digests, count)
+        return np.where(np.arange(len(true)) % 2, 2, true).astype(np.uint8)
 
-count_min_build = count_min.build
+    for blunt in (nothing, every_other_cell):
+        monkeypatch.setattr(count_min, "build", blunt)
+        assert result(ct.trie(spark.createDataFrame(rows, SCHEMA))) == wanted
 
 
 @pytest.mark.parametrize("count", [10, 5000])
