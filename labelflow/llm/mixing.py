@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from labelflow import session
 from labelflow.functions.columns import by_name
 
-SECTIONS = 32
+SECTIONS = 8
 MAX_DOUBLINGS = 20
 # Digits of the exponent, and how near its entropy share has to be to the target.
 DIGITS = 6
