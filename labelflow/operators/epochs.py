@@ -211,7 +211,8 @@ def train_by_epochs(splits: DataFrame, config: EpochConfig = EpochConfig(), chec
     prepared = materialize(prepared.sortWithinPartitions("place"), "prepared")
     rows, held = (prepared.filter(F.col("split") == part) for part in ("train", "val"))
     # A task with few rows moves the weights little: the tasks' changes are averaged.
-    rows = rows.coalesce(max(1, rows.count() // TASK_ROWS))
+    # Sorted there, as the order in which files are read is no one's choice.
+    rows = rows.coalesce(max(1, rows.count() // TASK_ROWS)).sortWithinPartitions("place")
     classes = {row["label"]: row["count"] for row in rows.groupBy("label").count().collect()}
     if sum(classes.values()) < 2:
         raise ValueError("training needs at least two samples")
