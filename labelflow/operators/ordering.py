@@ -137,7 +137,7 @@ def _locate(targets: DataFrame, before: DataFrame, on: list[str], bucket: str) -
 
 
 def id_at_rank(df: DataFrame, id_col: str, rank: int, task_rows: int = 65_536) -> int | None:
-    """The ``rank``-th smallest value of a unique integer column (1-based).
+    """The ``rank``-th smallest value of an integer column, repeats counted (1-based).
 
     Counts rows per equal-width range of ids, keeps the range that holds the
     rank, and repeats inside it; the driver sees at most ``task_rows`` counts.
@@ -162,7 +162,7 @@ def id_at_rank(df: DataFrame, id_col: str, rank: int, task_rows: int = 65_536) -
 
 
 def text_at_rank(df: DataFrame, id_col: str, rank: int, task_rows: int = 65_536) -> str | None:
-    """The ``rank``-th smallest value of a unique text column (1-based).
+    """The ``rank``-th smallest value of a text column, repeats counted (1-based).
 
     Counts rows per first differing character, keeps the beginning that holds the
     rank, and repeats inside it; the driver sees a count per character at most.

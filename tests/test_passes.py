@@ -119,3 +119,13 @@ def test_deep_pages_over_text_ids_sort_no_rows_before_them(spark):
         assert [r["id"] for r in rows.collect()] == [f"k{k:05d}" for k in range(2000)][offset : offset + limit]
     plan = page(df, 1500, 100, "id", shallow=50)._jdf.queryExecution().optimizedPlan().toString()
     assert ">= k01500" in plan and "Offset" not in plan
+
+
+@pytest.mark.parametrize("id_type", ["string", "long"])
+@pytest.mark.parametrize("shallow", [0, 10_000])
+def test_pages_of_repeated_ids_hold_each_row_once(spark, id_type, shallow):
+    rows = [(str(100 + k // 3), float(-k), {"k": k}) for k in range(30)]
+    df = spark.createDataFrame(rows, "id string, v double, m map<string,int>").withColumn("id", F.col("id").cast(id_type)).repartition(5)
+    pages = [[(str(r["id"]), r["v"]) for r in page(df, first, 4, "id", shallow=shallow).collect()] for first in range(0, 32, 4)]
+    assert [len(p) for p in pages] == [4] * 7 + [2]
+    assert sum(pages, []) == sorted((k, v) for k, v, _ in rows)
