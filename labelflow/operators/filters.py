@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from operator import and_, or_
+from operator import and_, itemgetter, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,6 +25,8 @@ except ImportError:  # every keyword is a pattern then
 
 # Keywords from which on an automaton reads the texts.
 MANY = 32
+# Of a place and a keyword's number, which the automaton gives for each hit.
+NUMBER = itemgetter(1)
 
 
 def keyword_filter(
@@ -103,14 +105,13 @@ def _met(columns: list[str], words: list[str], every: bool = False) -> Column:
     wanted = sorted({word.lower() for word in words})
 
     def holds(automaton, texts: tuple[str, ...]) -> bool:
+        if not every:
+            return any(next(automaton.iter(text), None) for text in texts)
         seen: set[int] = set()
         for text in texts:
-            for _, number in automaton.iter(text):
-                if not every:
-                    return True
-                seen.add(number)
-                if len(seen) == len(wanted):
-                    return True
+            seen.update(map(NUMBER, automaton.iter(text)))
+            if len(seen) == len(wanted):
+                return True
         return False
 
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:

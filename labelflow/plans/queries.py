@@ -111,17 +111,23 @@ def keyword_many(spark, sf_dir):
 
 
 ALL_WORDS = [f"k{k:03d}" for k in range(1000)]
+# About 5 kB each.
+LONG_TEXTS_PER_TASK = 5_000
 
 
 def keyword_many_all(spark, sf_dir):
     """A thousand keywords that all have to occur, spread over two columns; every third customer lacks one of them."""
-    words = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda k: F.concat(F.lit("K"), F.lpad(k.cast("string"), 3, "0")))
-    lacking = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("K"), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0")))
-    held = F.filter(words, lambda w: ~w.eqNullSafe(lacking))
-    cut = (F.col("c_custkey") % 900 + 1).cast("int")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", held.alias("held"), cut.alias("cut"))
-    first, second = F.slice("held", 1, F.col("cut")), F.slice("held", F.col("cut") + 1, 1000)
-    customers = customers.select("c_custkey", "c_name", F.array_join(first, " ").alias("first"), F.array_join(second, "-").alias("second"))
+    words = F.lit("".join(f"{word.upper()} " for word in ALL_WORDS))
+    lacking = F.concat(F.lit("K"), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"), F.lit(" "))
+    held = F.when(F.col("c_custkey") % 3 == 0, F.replace(words, lacking, F.lit(""))).otherwise(words)
+    # Five characters a word, the last of which is the gap after it.
+    cut = ((F.col("c_custkey") % 900 + 1) * 5).cast("int")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    # The texts are a hundred times the size of the file: they are made in tasks of their own.
+    customers = customers.repartition(max(1, -(-customers.count() // LONG_TEXTS_PER_TASK)))
+    first = F.substring(held, F.lit(1), cut - 1)
+    second = F.replace(F.substring(held, cut + 1, F.length(held) - cut - 1), F.lit(" "), F.lit("-"))
+    customers = customers.select("c_custkey", "c_name", first.alias("first"), second.alias("second"))
     wanted = filters.keyword_filter(customers, ["first", "second"], ALL_WORDS, keyword_mode="all")
     return customers.filter(wanted).select("c_custkey", "c_name")
 

@@ -92,3 +92,9 @@ def test_many_words_make_one_pass(spark):
     df = texts(spark)
     plan = df.filter(filters.keyword_filter(df, ["x", "y"], [f"w{k}" for k in range(500)]))._jdf.queryExecution().toString()
     assert "ArrowEvalPython" in plan and "LIKE" not in plan.upper().split("PHYSICAL PLAN")[1]
+
+
+def test_long_texts_of_a_small_file_are_spread_over_tasks(spark):
+    from labelflow.plans import queries
+
+    assert queries.keyword_many_all(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() >= 3
