@@ -8,7 +8,7 @@ ends, so a job that fails, or loses executors, keeps what its finished tasks pai
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelflow.functions.columns import by_name
-from labelflow.session import join_groups, materialize, measure
+from labelflow.session import join_groups, materialize, measure, scratch_path
 
 ANSWERS = "key string, reply string, error string, asked_at string"
 # Finished tasks' files stay when the job fails.
@@ -63,6 +63,20 @@ def lanes(calls_at_once: int, in_flight: int | None) -> int | None:
     return None if in_flight is None else max(1, in_flight // max(1, calls_at_once))
 
 
+def _rounds(pending: DataFrame, at_once: int) -> Iterator[DataFrame]:
+    """The rows of ``at_once`` slots at a time, in as many partitions.
+
+    Each slot is written as a folder of its own, so a round reads its own rows only.
+    """
+    spark, path = pending.sparkSession, scratch_path(pending.sparkSession, "slots")
+    pending.repartition("slot").write.options(**COMMIT_TASKS).partitionBy("slot").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/slot=*")
+    system = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    slots = [status.getPath().toString() for status in system.globStatus(folder)]
+    for first in range(0, len(slots), at_once):
+        yield spark.read.schema(pending.drop("slot").schema).parquet(*slots[first : first + at_once]).coalesce(at_once)
+
+
 def answered(rows: DataFrame, text_column: str, ledger: Ledger, ask: Callable[[Column], Column], at_once: int | None) -> DataFrame:
     """``rows`` with ``__answer`` (reply and error) for their text; NULL texts are not sent.
 
@@ -76,11 +90,14 @@ def answered(rows: DataFrame, text_column: str, ledger: Ledger, ask: Callable[[C
     pending, seen = measure(pending, "pending")
     tasks = -(-seen["rows"] // ledger.texts_per_task)
     slot = F.pmod(F.xxhash64("__key"), F.lit(max(1, tasks)))
-    for first in range(0, tasks, at_once or tasks or 1):
-        width = min(at_once or tasks, tasks - first)
-        part = pending.filter(slot.between(first, first + width - 1)).repartition(width, slot)
+    if at_once is None or tasks <= at_once:
+        rounds = [pending.repartition(tasks, slot)] if tasks else []
+    else:
+        rounds = _rounds(pending.withColumn("slot", slot), at_once)
+    answer = ask(F.col("text"))
+    for part in rounds:
         now = datetime.now(timezone.utc).isoformat()
-        sent = part.withColumn("answer", ask(F.col("text")))
+        sent = part.withColumn("answer", answer)
         stored = sent.select(F.col("__key").alias("key"), "answer.reply", "answer.error", F.lit(now).alias("asked_at"))
         stored.write.mode("append").options(**COMMIT_TASKS).parquet(ledger.path)
     counts = keyed.filter("__key is not null").groupBy("__key").agg(F.count(F.lit(1)).alias("__rows"))
