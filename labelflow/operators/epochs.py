@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,10 +127,12 @@ def _epoch(rows: DataFrame, start: _State, config: EpochConfig) -> _State:
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast((start.weights, start.squares, start.bias, start.bias_square))
     schema = "slice int, rows long, weights binary, squares binary"
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, squares, bias, bias_square = shared.value
         state, seen = _State(weights.copy(), squares.copy(), bias, bias_square), 0
+        task = pa.array([TaskContext.get().partitionId()], pa.int32())
         for batch in batches:
             y = batch.column(0).to_numpy().astype(np.float64)
             of, words, values = _rows(batch.column(1))
@@ -144,8 +147,8 @@ def _epoch(rows: DataFrame, start: _State, config: EpochConfig) -> _State:
                 parts = [m[k : k + SLICE] for m in moved]
                 # Slices that did not move still say how many rows stand behind it: slice -1.
                 if parts[1].any():
-                    yield _slice(k // SLICE, 0, *parts)
-            yield _slice(-1, seen, np.array([seen * (state.bias - bias)]), np.array([seen * (state.bias_square - bias_square)]))
+                    yield _slice(k // SLICE, 0, *parts).append_column("task", task)
+            yield _slice(-1, seen, np.array([seen * (state.bias - bias)]), np.array([seen * (state.bias_square - bias_square)])).append_column("task", task)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
@@ -157,7 +160,10 @@ def _epoch(rows: DataFrame, start: _State, config: EpochConfig) -> _State:
             yield _slice(k, *found)
 
     parts = spark.sparkContext.defaultParallelism
-    summed = rows.select("label", "words").mapInArrow(steps, schema).repartition(parts, "slice").mapInArrow(add, schema).collect()
+    moves = rows.select("label", "words").mapInArrow(steps, schema + ", task int")
+    # Added in the order of the tasks, so that equal runs round alike.
+    moves = moves.repartition(parts, "slice").sortWithinPartitions("slice", "task").select(columns)
+    summed = moves.mapInArrow(add, schema).collect()
     shared.unpersist()
     found = {r["slice"]: (r["rows"], np.frombuffer(bytes(r["weights"])), np.frombuffer(bytes(r["squares"]))) for r in summed}
     total, bias, bias_square = found.pop(-1)
@@ -207,12 +213,13 @@ def train_by_epochs(splits: DataFrame, config: EpochConfig = EpochConfig(), chec
     samples = materialize(split_samples(splits, config), "samples")
     fitted = samples.filter(F.col("split").isin("train", "val"))
     prepared = fitted.select("split", F.col("label").cast("int").alias("label"), F.xxhash64("index", F.lit(SEED)).alias("place"), word_numbers(F.col("text"), config.features).alias("words"))
-    # In an order without meaning, as steps follow the rows of a task.
-    prepared = materialize(prepared.sortWithinPartitions("place"), "prepared")
+    prepared = materialize(prepared, "prepared")
     rows, held = (prepared.filter(F.col("split") == part) for part in ("train", "val"))
     # A task with few rows moves the weights little: the tasks' changes are averaged.
-    # Sorted there, as the order in which files are read is no one's choice.
-    rows = rows.coalesce(max(1, rows.count() // TASK_ROWS)).sortWithinPartitions("place")
+    # Rows are dealt by a hash of their id and follow it, in an order without meaning: how Spark
+    # cuts the input, and the order in which files are read, do not touch the weights.
+    rows = rows.repartition(max(1, rows.count() // TASK_ROWS), "place").sortWithinPartitions("place", "label", "words")
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     classes = {row["label"]: row["count"] for row in rows.groupBy("label").count().collect()}
     if sum(classes.values()) < 2:
         raise ValueError("training needs at least two samples")
@@ -227,6 +234,7 @@ def train_by_epochs(splits: DataFrame, config: EpochConfig = EpochConfig(), chec
         found = binary_metrics(_predicted(held, state), loss="loss").first()
         _store(spark, path, epoch, found["f1"], found["loss"], state)
         tried.append((epoch, found["f1"], found["loss"]))
+    rows.unpersist()
     best = max(tried, key=lambda t: (t[1], -t[2]))[0]
     chosen = state if best == tried[-1][0] else _load(spark, path, best)
     model = LinearModel(chosen.weights.astype(np.float32), float(chosen.bias))

@@ -77,3 +77,11 @@ def test_tasks_without_rows_and_one_class(spark):
         epochs.train_by_epochs(df.filter("label = 1"), CONFIG)
     with pytest.raises(ValueError, match="two samples"):
         epochs.train_by_epochs(df.filter("split = 'val'"), CONFIG)
+
+
+def test_weights_do_not_depend_on_the_cut_of_the_input(spark, monkeypatch):
+    monkeypatch.setattr(epochs, "TASK_ROWS", 70)
+    config = epochs.EpochConfig(**{**CONFIG.__dict__, "epochs": 2})
+    first, second = (epochs.train_by_epochs(documents(spark).repartition(n), config) for n in (3, 11))
+    assert np.array_equal(first.model.weights, second.model.weights) and first.model.bias == second.model.bias
+    assert first.candidates == second.candidates
